@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import mixing, quality, sharding, simhash
 from .common import table
 
 
@@ -12,8 +13,24 @@ def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality.with_policy(quality.ledger(table(spark, sf_dir, "documents")))
+    return book.withColumn("base_failed", F.expr(f"fail_bits & {quality.BASE} <> 0"))
+
+
+def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_quality_ledger": op6_quality_ledger,
+    "op8_pfair_mix": op8_pfair_mix,
+    "op9_two_pass_shuffle": op9_two_pass_shuffle,
     "op7_simhash_pigeonring": op7_simhash_pigeonring,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_quality_ledger": quality.ORACLE, "op8_pfair_mix": mixing.ORACLE}
