@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, simhash
+from . import bpe, mixing, quality, sharding, simhash
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.with_policy(quality.ledger(table(spark, sf_dir, "documents")))
     return book.withColumn("base_failed", F.expr(f"fail_bits & {quality.BASE} <> 0"))
@@ -27,6 +31,7 @@ def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_bpe_scan": op3_bpe_scan,
     "op6_quality_ledger": op6_quality_ledger,
     "op8_pfair_mix": op8_pfair_mix,
     "op9_two_pass_shuffle": op9_two_pass_shuffle,
