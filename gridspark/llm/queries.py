@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding, simhash
+from . import bpe, mixing, mpeg, pii, quality, secrets, sharding, simhash
 from .common import table
 
 
@@ -13,6 +13,14 @@ def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scanned(table(spark, sf_dir, "documents"))
+
+
+def op2_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -30,11 +38,18 @@ def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op10_assignment_lexer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_pii_anchors": op1_pii_anchors,
+    "op2_mpeg_media": op2_mpeg_media,
     "op3_bpe_scan": op3_bpe_scan,
     "op6_quality_ledger": op6_quality_ledger,
     "op8_pfair_mix": op8_pfair_mix,
     "op9_two_pass_shuffle": op9_two_pass_shuffle,
+    "op10_assignment_lexer": op10_assignment_lexer,
     "op7_simhash_pigeonring": op7_simhash_pigeonring,
 }
 
