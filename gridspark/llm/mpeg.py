@@ -174,19 +174,16 @@ def demux(data: bytes) -> Stream:
     if n >= 128 and data[n - 128 : n - 125] == b"TAG":
         n -= 128
     found: list[tuple[int, Header]] = []
-    synced = False
     while at + 4 <= n:
         h = header(data[at : at + 4])
         fits = h is not None and h.length > 4 + 2 * h.crc + h.side and at + h.length <= n
-        if fits and not synced:
+        if fits:
             follow = at + h.length
-            fits = follow + 4 > n or header(data[follow : follow + 4]) is not None
+            fits = follow == n or header(data[follow : follow + 4]) is not None or _sound(data, at, h)
         if fits:
-            synced = True
             found.append((at, h))
             at += h.length
             continue
-        synced = False
         ahead = data.find(b"\xff", at + 1)
         ahead = n if ahead < 0 or ahead > n else ahead
         out.skipped += ahead - at
@@ -212,6 +209,12 @@ def demux(data: bytes) -> Stream:
     return out
 
 
+def _sound(data: bytes, at: int, h: Header) -> bool:
+    """Whether a frame with junk behind it carries a checksum that holds."""
+    raw = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
+    return h.crc and int(crc16(np.frombuffer(raw, np.uint8)[None, :])[0]) == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 def _checked(data: bytes, found: list[tuple[int, Header]], out: Stream) -> list[bool]:
     """Whether each frame's checksum holds; frames without one count as good."""
     good = [True] * len(found)

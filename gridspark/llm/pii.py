@@ -17,8 +17,10 @@ import string
 from functools import lru_cache
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .common import map_slices, texts
 
@@ -278,10 +280,8 @@ def scanned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def redact(df: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``df`` with its texts redacted, and ``length_col``, if there is one, counted anew. Null texts stay null."""
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("string")
-    def clean(col):
+    def clean(col: pd.Series) -> pd.Series:
         return col.map(lambda t: None if t is None else redacted(t, find(t)))
 
     out = df.withColumn(text_col, clean(F.col(f"`{text_col}`").cast("string")))
