@@ -260,8 +260,8 @@ def decoded(ids_df: DataFrame, path: str | None = None) -> DataFrame:
     return map_slices(ids_df.select("doc_id", "ids"), make, "doc_id long, bytes binary", rows=128)
 
 
-def digests(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a text: doc_id, n_tokens, ids_sha256, decoded_sha256, n_pieces.
+def digests(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row a text: doc_id, n_tokens, ids_sha256, decoded_sha256, n_pieces; with ``with_ids`` also the ids.
 
     Encodes whole texts, then decodes the stored ids. A null text is empty: no
     tokens and the digest of no bytes. Repeated rows each give a row; an empty
@@ -275,11 +275,12 @@ def digests(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text
         def fn(keys, docs):
             out = own.encode(docs)
             back = [own.decode(np.frombuffer(ids, "<u4").tolist()) for ids, _ in out]
-            return {
+            extra = {"ids": [np.frombuffer(ids, "<u4").astype(np.int32) for ids, _ in out]} if with_ids else {}
+            return extra | {
                 "doc_id": keys, "n_tokens": [len(ids) // 4 for ids, _ in out], "ids_sha256": [sha(ids).hexdigest() for ids, _ in out],
                 "decoded_sha256": [sha(b).hexdigest() for b in back], "n_pieces": [len(at) for _, at in out],
             }
 
         return fn
 
-    return map_slices(texts(df, id_col, text_col), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_pieces long", rows=128)
+    return map_slices(texts(df, id_col, text_col), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_pieces long" + ", ids array<int>" * with_ids, rows=128)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, mpeg, pii, quality, secrets, sharding, simhash, toxicity
+from . import bpe, html_main, mixing, mpeg, pii, quality, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -30,6 +30,11 @@ def op4_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_dom_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_main.main_text(pages, html_main.train(pages))
+
+
 def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.with_policy(quality.ledger(table(spark, sf_dir, "documents")))
     return book.withColumn("base_failed", F.expr(f"fail_bits & {quality.BASE} <> 0"))
@@ -52,6 +57,7 @@ QUERIES = {
     "op2_mpeg_media": op2_mpeg_media,
     "op3_bpe_scan": op3_bpe_scan,
     "op4_noisy_channel_toxicity": op4_noisy_channel_toxicity,
+    "op5_dom_boosting": op5_dom_boosting,
     "op6_quality_ledger": op6_quality_ledger,
     "op8_pfair_mix": op8_pfair_mix,
     "op9_two_pass_shuffle": op9_two_pass_shuffle,
