@@ -55,16 +55,16 @@ _SIMPLE = {
 }
 
 
-def _digits(agg) -> int:
+def _places(agg) -> int:
     return 5 if agg is A.VARIANCE else 8
 
 
 def _simple(agg, options):
-    return lambda spark, d: rows(X.events_day(spark, d).collapsed("user_id", agg, **options), _digits(agg), day="day", event_type="event_type")
+    return lambda spark, d: rows(X.events_day(spark, d).collapsed("user_id", agg, **options), _places(agg), day="day", event_type="event_type")
 
 
 for _name, (_agg, _options, _sql) in _SIMPLE.items():
-    query(f"collapsed_{_name}", f"WITH {X.EVENTS}, g AS (SELECT day, event_type, {_sql} AS x FROM ev GROUP BY ALL) SELECT day, event_type, {r('x', _digits(_agg))} FROM g WHERE x IS NOT NULL")(_simple(_agg, _options))
+    query(f"collapsed_{_name}", f"WITH {X.EVENTS}, g AS (SELECT day, event_type, {_sql} AS x FROM ev GROUP BY ALL) SELECT day, event_type, {r('x', _places(_agg))} FROM g WHERE x IS NOT NULL")(_simple(_agg, _options))
 
 
 @query("collapsed_two_dims", f"WITH {X.EVENTS} SELECT event_type, {r('avg(v)', 8)} FROM ev GROUP BY event_type")
@@ -350,7 +350,7 @@ def anomaly(spark, d):
     return rows(g - g.collapsed("supp", A.MEAN), month="month", supp="supp")
 
 
-_OPS = {"add": ("sa.v + qu.v", 2), "subtract": ("sa.v - qu.v", 2), "multiply": ("sa.v * qu.v", 2), "divide": ("sa.v / nullif(qu.v, 0)", 7)}
+_OPS = {"add": ("sa.v + qu.v", 2), "subtract": ("sa.v - qu.v", 2), "multiply": ("sa.v * qu.v", 2), "divide": ("sa.v / nullif(qu.v, 0)", 9)}
 
 
 def _binary(op, digits):
