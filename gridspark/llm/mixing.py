@@ -104,7 +104,7 @@ def mixed(df: DataFrame, tickets: dict[str | None, int] | None = None, source_co
     rows = df.select(
         *([F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")] if keep else []),
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), name.alias("_s"), spread.alias("_h"),
-        F.xxhash64(*(F.col(f"`{c}`") for c in df.columns if keep or c in (id_col, source_col))).alias("_tie"),
+        F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema if f.name in (id_col, source_col) or keep and "map<" not in f.dataType.simpleString())).alias("_tie"),
     )
     rows = rows.withColumn("_b", F.expr(f"cast(_h * {buckets} div {PRIME} as int)"))
     counts = rows.groupBy("_s", "_b").agg(F.count("*").alias("_n"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 SHARDS, SEED = 8, 20_240_607
 BUCKET_BYTES = 64 << 20
 MIN_BUCKETS, MIN_ROWS = 1024, 256
+SLOTS_PER_FILE = 65_536
 
 
 def bucket_count(rows: int, size: int) -> int:
@@ -64,27 +65,30 @@ def sharded(df: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str =
 
 
 def write_shards(df: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write whole rows as ``path/shard=k`` in slot order, by the same two passes with the rows carried along."""
-    spark = df.sparkSession
-    light = _records(df, id_col, text_col)
-    rows, size = light.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).head()
+    """Write whole rows as ``path/shard=k`` in slot order, by the same two passes with the rows carried along.
+
+    ``df`` may have any columns but shard and slot.
+    """
+    if {c.lower() for c in df.columns} & {"shard", "slot"}:
+        raise ValueError("columns shard and slot are the writer's")
+    rows, size = _records(df, id_col, text_col).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).head()
     n = bucket_count(rows, size)
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.crc32(body.cast("binary")), (F.octet_length(body) + 1).cast("long"))
-    whole = df.withColumn("_key", key).withColumn("_bucket", F.pmod(key, F.lit(n)))
+    own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)]
+    whole = df.select(key.alias("_key"), F.pmod(key, F.lit(n)).alias("_bucket"), F.col(id_col).cast("long").alias("_id"), *own)
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = whole.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    carried = whole.join(offsets, "_bucket")
-    names = [c for c in carried.columns if not c.startswith("_")]
+    names = [f"c{k}" for k in range(len(df.columns))]
 
     def shuffle(pdf):
-        pdf = pdf.sort_values(["_key", id_col], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["_key", "_id"], kind="stable", ignore_index=True)
         place = pdf["_off"].to_numpy() + fisher_yates(len(pdf), seed + int(pdf["_bucket"].iloc[0]))
         pdf["shard"], pdf["slot"] = (place % shards).astype("int32"), place // shards
         return pdf.sort_values("slot")[[*names, "shard", "slot"]]
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "shard int", "slot long"])
-    out = carried.groupBy("_bucket").applyInPandas(shuffle, schema)
-    per = max(1, -(-rows // shards) // 65_536)
-    dealt = out.repartitionById(shards * per, F.expr(f"cast(shard * {per} + least({per - 1}, slot div 65536) as int)")) if rows else out
-    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    schema = ", ".join([*(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(df.schema)), "shard int", "slot long"])
+    out = whole.join(offsets, "_bucket").groupBy("_bucket").applyInPandas(shuffle, schema)
+    files = max(1, -(-rows // (shards * SLOTS_PER_FILE)))
+    dealt = out.repartitionById(shards * files, F.expr(f"cast(shard * {files} + slot div {SLOTS_PER_FILE} as int)")).sortWithinPartitions("shard", "slot")
+    dealt.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns)), "shard", "slot").write.partitionBy("shard").parquet(path)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_slices, texts, written
+from .common import arrow_schema, fresh, map_slices, texts, written
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -200,6 +200,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows without an id can't be named and all stay. All columns are kept as they are.
     """
     groups = near_duplicates(df.where(F.col(id_col).isNotNull()), id_col, text_col)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_keep_id"))
-    kept = df.join(keep, F.col(id_col) == F.col("_keep_id"), "left_semi").dropDuplicates([id_col])
+    own = fresh(df, "_keep_id")
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias(own))
+    kept = df.join(keep, F.col(id_col) == F.col(own), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(df.where(F.col(id_col).isNull()))

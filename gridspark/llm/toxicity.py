@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import map_slices, texts, written
+from .common import fresh, map_slices, texts, written
 
 #: Bound on the labelled rows that the classifier is fitted on.
 SAMPLE = 20_000
@@ -272,4 +272,5 @@ def without_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFr
         for col in batches:
             yield col.map(lambda t: own(t or "")).astype("float64")
 
-    return df.withColumn("_toxicity", score(F.col(f"`{text_col}`").cast("string"))).where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    own = fresh(df, "_toxicity")
+    return df.withColumn(own, score(F.col(f"`{text_col}`").cast("string"))).where(F.col(own) < THRESHOLD).drop(own)
