@@ -87,6 +87,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
+    """The ``bound`` rows of the smallest hash of ``key``; all rows where there are no more.
+
+    Rows beyond a hash threshold, set from the row count, are left out before
+    the sort, so that each task sorts and sends its share of about twice the
+    bound, not the bound.
+    """
+    own, n = fresh(df, "_hash"), df.count()
+    hashed = df.withColumn(own, F.xxhash64(F.col(key)))
+    if n > 2 * bound:
+        limit = int((2 * bound + 200) / n * 2**64) - 2**63
+        hashed = hashed.where(F.col(own) < F.lit(min(limit, 2**63 - 1)))
+    return hashed.orderBy(own, key).limit(bound).drop(own)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

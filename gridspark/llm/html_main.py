@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import bounded_sample, map_slices
 from .gbt import BoostedTrees
 
 #: Bound on the pages that the trees are fitted on, and the number of composed pages.
@@ -327,8 +327,8 @@ def _composed_rows(words: list[str], rng: random.Random) -> tuple[np.ndarray, li
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> BoostedTrees:
     """Fit the trees on a bounded sample of ``pages`` and on composed pages."""
-    at = F.col(id_col)
-    rows = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(at.cast("string")).alias("h"), F.col(html_col).cast("string").alias("html")).orderBy("h", "html").limit(SAMPLE_PAGES).collect()
+    own = pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html"))
+    rows = bounded_sample(own, "id", SAMPLE_PAGES).collect()
     xs, ys, words = [], [], []
     for r in rows:
         page = parse(r[1])
