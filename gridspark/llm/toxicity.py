@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import fresh, map_slices, texts, written
+from .common import bounded_sample, fresh, map_slices, texts, written
 
 #: Bound on the labelled rows that the classifier is fitted on.
 SAMPLE = 20_000
@@ -207,9 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     counts = character_counts(docs, id_col, text_col)
     own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropna().where(fold(F.col("_id")) != HELD_OUT)
-    chosen = own.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
+    chosen = bounded_sample(own.dropDuplicates(["_id"]), "_id", SAMPLE)
     rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # SAMPLE rows at most
-    sample = written(rows.select("text", "toxic").repartition(8, F.xxhash64("text")), "toxfit")
+    sample = written(rows.select("_id", "text", "toxic").repartition(8, F.xxhash64("_id")).drop("_id"), "toxfit")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel, got = Channel(counts), np.zeros((2, BUCKETS), np.int32)
