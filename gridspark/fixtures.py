@@ -30,8 +30,9 @@ def as_time(c: Coord) -> Coord:
 
 def events_day(spark: SparkSession, d: str) -> Grid:
     """Mean value by day, event type and user; many cells are masked."""
-    df = table(spark, d, "events").groupBy(F.expr(DAY.format("ts")).alias("day"), "event_type", "user_id").agg(F.avg("value").alias("v"))
-    g = Grid.from_table(df, {"day": _days(spark, d, "events", "ts"), "event_type": None, "user_id": None}, "v", long_name="value", units="m")
+    raw = table(spark, d, "events")
+    df = raw.groupBy(F.expr(DAY.format("ts")).alias("day"), "event_type", "user_id").agg(F.avg("value").alias("v"))
+    g = Grid.from_table(df, {"day": _days(spark, d, "events", "ts"), "event_type": None, "user_id": None}, "v", source=raw, long_name="value", units="m")
     return g.replace_coord(as_time(g.coord("day")))
 
 
@@ -51,8 +52,9 @@ ORDERS = f"od AS (SELECT {SQL_DAY.format('o_orderdate')} AS day, sum(o_totalpric
 def sales(spark: SparkSession, d: str) -> Grid:
     """Extended price by ship month (months since 1970) and supplier."""
     month = F.expr("cast((year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 as bigint)")
-    df = table(spark, d, "lineitem").groupBy(month.alias("month"), F.col("l_suppkey").alias("supp")).agg(F.sum("l_extendedprice").alias("v"))
-    return Grid.from_table(df, {"month": None, "supp": None}, "v", long_name="sales", units="kg")
+    raw = table(spark, d, "lineitem").withColumns({"month": month, "supp": F.col("l_suppkey")})
+    df = raw.groupBy("month", "supp").agg(F.sum("l_extendedprice").alias("v"))
+    return Grid.from_table(df, {"month": None, "supp": None}, "v", source=raw, long_name="sales", units="kg")
 
 
 SALES = "sa AS (SELECT CAST((year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 AS BIGINT) AS month, l_suppkey AS supp, sum(l_extendedprice) AS v FROM lineitem GROUP BY ALL)"
@@ -61,8 +63,9 @@ SALES = "sa AS (SELECT CAST((year(l_shipdate) - 1970) * 12 + month(l_shipdate) -
 def quantity(spark: SparkSession, d: str) -> Grid:
     """Quantity by ship month and supplier: weights for :func:`sales`."""
     month = F.expr("cast((year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 as bigint)")
-    df = table(spark, d, "lineitem").groupBy(month.alias("month"), F.col("l_suppkey").alias("supp")).agg(F.sum("l_quantity").alias("v"))
-    return Grid.from_table(df, {"month": None, "supp": None}, "v", long_name="quantity", units="m")
+    raw = table(spark, d, "lineitem").withColumns({"month": month, "supp": F.col("l_suppkey")})
+    df = raw.groupBy("month", "supp").agg(F.sum("l_quantity").alias("v"))
+    return Grid.from_table(df, {"month": None, "supp": None}, "v", source=raw, long_name="quantity", units="m")
 
 
 QUANTITY = "qu AS (SELECT CAST((year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 AS BIGINT) AS month, l_suppkey AS supp, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
@@ -93,7 +96,7 @@ PLANE = "pl AS (SELECT CAST(l_linenumber AS BIGINT) AS x, CAST(l_quantity AS BIG
 def embed(spark: SparkSession, d: str) -> Grid:
     """Embedding components by vector and component."""
     df = table(spark, d, "embeddings").select(F.col("vec_id"), F.posexplode("embedding").alias("comp", "v")).withColumn("comp", F.col("comp").cast("bigint"))
-    return Grid.from_table(df, {"vec_id": None, "comp": np.arange(64)}, "v", long_name="embedding")
+    return Grid.from_table(df, {"vec_id": None, "comp": np.arange(64)}, "v", source=table(spark, d, "embeddings"), long_name="embedding")
 
 
 EMBED = "em AS (SELECT vec_id, CAST(unnest(range(0, 64)) AS BIGINT) AS comp, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"

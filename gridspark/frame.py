@@ -193,12 +193,13 @@ class Grid(Named):
     # Building.
 
     @staticmethod
-    def from_table(df: DataFrame, axes: dict[str, Sequence | np.ndarray], value: str | Column, dense: bool = False, limit: int = 1_000_000, **names) -> Grid:
+    def from_table(df: DataFrame, axes: dict[str, Sequence | np.ndarray], value: str | Column, dense: bool = False, limit: int = 1_000_000, source: DataFrame | None = None, **names) -> Grid:
         """A grid from a table with one column for each axis.
 
         ``axes`` maps a dimension (and column) to its points; without points
-        (None) the distinct values are read, at most ``limit`` of them. Rows
-        outside the points are dropped, repeated cells are an error of the
+        (None) the distinct values are read from ``source`` (``df`` itself by
+        default; name the table below an aggregate to read one column of it),
+        at most ``limit`` of them. Rows outside the points are dropped, repeated cells are an error of the
         caller, found by :meth:`repeated_cells`. ``dense`` adds a masked row
         for every cell that has none.
         """
@@ -206,7 +207,7 @@ class Grid(Named):
         out = df.withColumn("v", (F.col(value) if isinstance(value, str) else value).cast("double"))
         for dim, points in axes.items():
             if points is None:
-                found = [r[0] for r in df.select(dim).where(F.col(dim).isNotNull()).distinct().limit(limit + 1).collect()]
+                found = [r[0] for r in (df if source is None else source).select(dim).where(F.col(dim).isNotNull()).distinct().limit(limit + 1).collect()]
                 if len(found) > limit:
                     raise GridError(f"axis {dim} has more than {limit} points")
                 points = sorted(found)
@@ -215,7 +216,7 @@ class Grid(Named):
             coords.append(Coord(long_name=dim, points=points, dims=(dim,), is_dim=numeric and monotonic(points)))
             dims[dim] = len(points)
             kind = "double" if points.dtype.kind == "f" else "long" if numeric else df.schema[dim].dataType.simpleString()
-            table = spark.createDataFrame([(p, i) for i, p in enumerate(points.tolist())], f"`_p` {kind}, `{index(dim)}` int")
+            table = local_table(spark, [(p, i) for i, p in enumerate(points.tolist())], f"`_p` {kind}, `{index(dim)}` int")
             out = out.join(sized(table, len(points)), F.col(f"`{dim}`") == F.col("_p")).drop("_p")
         out = out.select(*(index(d) for d in dims), "v")
         grid = Grid(df=out, dims=dims, coords=tuple(coords), **names)
@@ -437,6 +438,17 @@ class Grid(Named):
         return scheme.regrid(self, target)
 
 
+def local_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A small table the plan holds itself, so its size is known to the optimiser; ``schema`` in simple DDL."""
+    import pyarrow as pa
+
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64()}
+    fields = [x.strip().rsplit(" ", 1) for x in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    arrays = [pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=[n.strip("`") for n, _ in fields]))
+
+
 def sized(df: DataFrame, cells: int) -> DataFrame:
     """A broadcast hint where the known number of rows allows it; else the optimiser decides."""
     return F.broadcast(df) if cells <= BROADCAST_CELLS else df
@@ -454,7 +466,7 @@ def coord_table(grid: Grid, coord: Coord, column: str, bounds: bool = False) ->
         b = coord.bounds.reshape(-1, coord.bounds.shape[-1]).astype(float)
         cols += [b.min(axis=1).tolist(), b.max(axis=1).tolist()]
         schema += f", `{column}_lo` double, `{column}_hi` double"
-    return grid.spark.createDataFrame(list(zip(*cols)), schema)
+    return local_table(grid.spark, list(zip(*cols)), schema)
 
 
 def join_table(df: DataFrame, grid: Grid, coord: Coord, column: str, bounds: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..frame import Coord, Grid, GridError, coord_table, index, sized
+from ..frame import Coord, Grid, GridError, coord_table, index, local_table, sized
 
 #: Fixed value: the default radius of the Earth in metres.
 EARTH_RADIUS = 6_367_470.0
@@ -34,7 +34,7 @@ def _outer(grid: Grid, y: Coord, a: np.ndarray, x: Coord, b: np.ndarray, name: s
     for c, values, col in ((y, a, "_a"), (x, b, "_b")):
         cols = [f"`{index(d)}` int" for d in c.dims]
         rows = [(*([k] if c.dims else []), float(v)) for k, v in enumerate(values)]
-        table = spark.createDataFrame(rows, ", ".join([*cols, f"{col} double"]))
+        table = local_table(spark, rows, ", ".join([*cols, f"{col} double"]))
         dims |= {d: grid.dims[d] for d in c.dims}
         df = table if df is None else df.crossJoin(F.broadcast(table)) if len(values) <= 1_000_000 else df.join(table)
     dims = {d: n for d, n in grid.dims.items() if d in dims}

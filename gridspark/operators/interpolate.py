@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import Coord, Grid, GridError, index, join_table, monotonic, sized
+from ..frame import Coord, Grid, GridError, index, join_table, local_table, monotonic, sized
 from ..units import Unit, days_from_civil, reference_seconds
 
 MODES = ("linear", "extrapolate", "error", "nan", "mask", "nanmask")
@@ -34,7 +34,7 @@ class Weights:
     def table(self, grid: Grid, dim: str, name: str) -> DataFrame:
         counts = np.bincount(self.target, minlength=self.targets)
         rows = list(zip(self.source.tolist(), self.target.tolist(), self.weight.tolist(), counts[self.target].tolist()))
-        return sized(grid.spark.createDataFrame(rows, f"`{index(dim)}` int, `_t_{name}` int, `_w_{name}` double, `_k_{name}` int"), len(rows))
+        return sized(local_table(grid.spark, rows, f"`{index(dim)}` int, `_t_{name}` int, `_w_{name}` double, `_k_{name}` int"), len(rows))
 
 
 def _wrapped(c: Coord, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,7 +215,7 @@ def along_trajectory(grid: Grid, samples: dict[str, Sequence[float]], method: st
         joint = [({**at, d: s}, k, x * y) for at, k, x in joint for s, y in by.get(k, [])]
     counts = np.bincount([k for _, k, _ in joint], minlength=n)
     rows = [(*(at[d] for d in dims), k, w, int(counts[k])) for at, k, w in joint]
-    table = grid.spark.createDataFrame(rows, ", ".join([*(f"`{index(d)}` int" for d in dims), "i_index int, _w double, _k int"]))
+    table = local_table(grid.spark, rows, ", ".join([*(f"`{index(d)}` int" for d in dims), "i_index int, _w double, _k int"]))
     left = {d: m for d, m in grid.dims.items() if d not in dims}
     df = grid.df.join(sized(table, len(rows)), [index(d) for d in dims]).groupBy(*(index(d) for d in left), "i_index").agg(F.when(F.count("v") == F.first("_k"), F.sum(F.col("_w") * F.col("v"))).alias("v"))
     coords = [c for c in grid.coords if not set(c.dims) & set(dims)]

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frame import Coord, Grid, GridError, sized
+from ..frame import Coord, Grid, GridError, local_table, sized
 
 #: What a connectivity maps from and to.
 ROLES = ("edge_node_connectivity", "face_node_connectivity", "face_edge_connectivity", "face_face_connectivity", "edge_face_connectivity", "boundary_node_connectivity", "volume_node_connectivity", "volume_edge_connectivity", "volume_face_connectivity", "volume_volume_connectivity")
@@ -34,7 +34,7 @@ class Connectivity:
         a = np.ma.filled(np.ma.asarray(indices), -1)
         a = a.T if location_axis == 1 else a
         rows = [(i, j, int(x) - start_index if x >= start_index else None) for i, r in enumerate(a.tolist()) for j, x in enumerate(r)]
-        return Connectivity(role, spark.createDataFrame(rows, "loc int, pos int, target int"), start_index, location_axis)
+        return Connectivity(role, local_table(spark, rows, "loc int, pos int, target int"), start_index, location_axis)
 
     def lengths(self) -> DataFrame:
         """How many targets each location has."""
@@ -67,13 +67,13 @@ class Mesh:
         k = x.bounds.shape[-1]
         bx, by = x.bounds.reshape(-1, k).astype(float), y.bounds.reshape(-1, k).astype(float)
         rows = [(i, j, a, b) for i, (r, s) in enumerate(zip(bx.tolist(), by.tolist())) for j, (a, b) in enumerate(zip(r, s))]
-        corners = spark.createDataFrame(rows, "loc int, pos int, x double, y double")
+        corners = local_table(spark, rows, "loc int, pos int, x double, y double")
         distinct = np.unique(np.stack([bx.ravel(), by.ravel()], axis=1), axis=0)
-        nodes = spark.createDataFrame([(n, float(a), float(b)) for n, (a, b) in enumerate(distinct)], "node int, x double, y double")
+        nodes = local_table(spark, [(n, float(a), float(b)) for n, (a, b) in enumerate(distinct)], "node int, x double, y double")
         role = "edge_node_connectivity" if k == 2 else "face_node_connectivity"
         links = corners.join(sized(nodes, len(distinct)), ["x", "y"]).select("loc", "pos", F.col("node").alias("target"))
         place = "edge" if k == 2 else "face"
-        centres = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x.points.ravel(), y.points.ravel()))], "loc int, x double, y double")
+        centres = local_table(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x.points.ravel(), y.points.ravel()))], "loc int, x double, y double")
         return Mesh(nodes, (Connectivity(role, links),), {place: centres}, 1 if k == 2 else 2)
 
     def corners(self, location: str) -> DataFrame:
@@ -118,7 +118,7 @@ def recombine_submeshes(full: Grid, parts: Sequence[Grid], dim: str, index_coord
     for k, p in enumerate(parts):
         c = p.coord(index_coord)
         (d,) = c.dims
-        table = full.spark.createDataFrame([(i, int(x)) for i, x in enumerate(c.points)], f"`i_{d}` int, _full int")
+        table = local_table(full.spark, [(i, int(x)) for i, x in enumerate(c.points)], f"`i_{d}` int, _full int")
         own = p.df.join(sized(table, len(c.points)), f"i_{d}").drop(f"i_{d}").withColumnRenamed("_full", f"i_{dim}").withColumn("_k", F.lit(k)).select(*full.keys(), "v", "_k")
         rows = own if rows is None else rows.unionByName(own)
     best = rows.groupBy(*full.keys()).agg(F.max_by("v", "_k").alias("v"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..frame import CellMethod, Coord, Grid, GridError, index, monotonic, sized
+from ..frame import CellMethod, Coord, Grid, GridError, index, local_table, monotonic, sized
 from ..functions.aggregators import Aggregator
 from ..units import Unit
 
@@ -322,13 +322,13 @@ def aggregated_by(grid: Grid, coords, agg: Aggregator, weights=None, mdtol: floa
     group, first = groups_of(by)
     counts = np.bincount(group)
     col = index(dim)
-    table = grid.spark.createDataFrame([(k, g, int(counts[g])) for k, g in enumerate(group)], f"`{col}` int, _g int, _n int")
+    table = local_table(grid.spark, [(k, g, int(counts[g])) for k, g in enumerate(group)], f"`{col}` int, _g int, _n int")
     df, w, wu = _weighted(grid, weights)
     order = F.col("_at")
     df = df.join(sized(table, len(group)), col).withColumn("_at", F.col(col)).drop(col).withColumnRenamed("_g", col)
     if agg.kind in ("run", "peak"):
         ranks = [int(np.sum(np.asarray(group[:k]) == g)) for k, g in enumerate(group)]
-        place = grid.spark.createDataFrame(list(enumerate(ranks)), "_at int, _rank int")
+        place = local_table(grid.spark, list(enumerate(ranks)), "_at int, _rank int")
         df, order = df.join(sized(place, len(group)), "_at"), F.col("_rank")
     out = aggregate(df, grid.keys(), agg, F.max("_n"), mdtol, w, order, **options)
     made_coords = []

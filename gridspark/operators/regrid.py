@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Coord, Grid, GridError, index, sized
+from ..frame import Coord, Grid, GridError, index, local_table, sized
 from .interpolate import Linear, Nearest, Weights, apply_weights
 
 #: Pairs of target cells and source points up to which nearest points are found on the driver.
@@ -146,7 +146,7 @@ class PointInCell:
         ok = (kx >= 0) & (ky >= 0)
         dx, dy = tx.dims[0], ty.dims[0]
         rows = list(zip(*(a[ok].tolist() for a in at), ky[ok].tolist(), kx[ok].tolist(), w[ok].tolist()))
-        table = grid.spark.createDataFrame(rows, ", ".join([*(f"`{index(d)}` int" for d in sx.dims), "_y int, _x int, _w double"]))
+        table = local_table(grid.spark, rows, ", ".join([*(f"`{index(d)}` int" for d in sx.dims), "_y int, _x int, _w double"]))
         left = {d: n for d, n in grid.dims.items() if d not in sx.dims}
         df = grid.df.join(sized(table, len(rows)), [index(d) for d in sx.dims]).where("v is not null")
         mean = F.try_divide(F.sum(F.col("_w") * F.col("v")), F.sum("_w"))
@@ -195,7 +195,7 @@ class UnstructuredNearest:
         if len(points) * lon.size <= DRIVER_PAIRS:
             at = _nearest_on_sphere(points, _unit(lon.ravel(), lat.ravel()))
             rows = [(int(s), k // lon.shape[1], k % lon.shape[1]) for k, s in enumerate(at)]
-            table = grid.spark.createDataFrame(rows, schema)
+            table = local_table(grid.spark, rows, schema)
         else:
             shared = grid.spark.sparkContext.broadcast((points, tx.points.astype(float), ty.points.astype(float)))  # axes and one dimension long
 
@@ -252,7 +252,7 @@ def project_rotated(grid: Grid, pole_lon: float, pole_lat: float, nx: int, ny: i
     at_x[wx.target], at_y[wy.target] = wx.source, wy.source
     rows = [(int(at_y[k]), int(at_x[k]), k // nx, k % nx) for k in range(tlon.size) if at_x[k] >= 0 and at_y[k] >= 0]
     dx, dy = sx.dims[0], sy.dims[0]
-    table = grid.spark.createDataFrame(rows, f"`{index(dy)}` int, `{index(dx)}` int, _y int, _x int")
+    table = local_table(grid.spark, rows, f"`{index(dy)}` int, `{index(dx)}` int, _y int, _x int")
     df = grid.df.join(sized(table, len(rows)), [index(dy), index(dx)]).drop(index(dx), index(dy)).withColumnRenamed("_y", index(dy)).withColumnRenamed("_x", index(dx)).select(*grid.keys(), "v")
     tx = Coord(standard_name="grid_longitude", units="degrees", points=gx, dims=(dx,), is_dim=True)
     ty = Coord(standard_name="grid_latitude", units="degrees", points=gy, dims=(dy,), is_dim=True)

@@ -8,7 +8,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..frame import Coord, Grid, GridError, index, monotonic, sized
+from ..frame import Coord, Grid, GridError, index, local_table, monotonic, sized
 from ..units import Unit
 from .maths import resolved
 
@@ -99,7 +99,7 @@ def differentiate(grid: Grid, name: str) -> Grid:
     top = delta(grid, name)
     (d,) = c.dims
     steps = coord_delta(c, c.circular)
-    table = grid.spark.createDataFrame([(k, float(x)) for k, x in enumerate(steps)], f"`{index(d)}` int, _d double")
+    table = local_table(grid.spark, [(k, float(x)) for k, x in enumerate(steps)], f"`{index(d)}` int, _d double")
     df = top.df.join(sized(table, len(steps)), index(d)).withColumn("v", F.try_divide(F.col("v"), F.col("_d"))).select(*top.df.columns)
     try:
         units = (Unit.parse(grid.units) / Unit.parse(c.units)).symbol()
@@ -132,7 +132,7 @@ def curl(u: Grid, v: Grid, x: str, y: str, spherical: bool = False, radius: floa
     out = df.withColumn("v", F.col("_l") - F.col("_r")).select(*left.keys(), "v")
     if scale is not None:
         (d,) = left.coord(y).dims
-        table = u.spark.createDataFrame([(k, float(s)) for k, s in enumerate(scale)], f"`{index(d)}` int, _s double")
+        table = local_table(u.spark, [(k, float(s)) for k, s in enumerate(scale)], f"`{index(d)}` int, _s double")
         out = out.join(sized(table, len(scale)), index(d)).withColumn("v", F.col("v") * F.col("_s")).select(*left.keys(), "v")
     return replace(left, df=out, long_name=f"k curl component of {spatial_name(u.name(), v.name())}")
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Cell, Coord, Grid, GridError, index, join_table, monotonic, sized
+from ..frame import Cell, Coord, Grid, GridError, index, join_table, local_table, monotonic, sized
 
 
 def _taken(c: Coord, picks: dict[str, np.ndarray], dropped: set[str]) -> Coord:
@@ -50,7 +50,7 @@ def take_indices(grid: Grid, picks: dict[str, np.ndarray], dropped: Iterable[str
                 df = df.where(F.pmod(F.col(col) - int(p[0]), F.lit(abs(step))) == 0)
             df = df.withColumn(col, ((F.col(col) - int(p[0])) / step).cast("int") if step != 1 else F.col(col) - int(p[0]))
         else:
-            table = grid.spark.createDataFrame([(int(o), k) for k, o in enumerate(p)], f"`{col}` int, _new int")
+            table = local_table(grid.spark, [(int(o), k) for k, o in enumerate(p)], f"`{col}` int, _new int")
             df = df.join(sized(table, n), col).drop(col).withColumnRenamed("_new", col)
     for d in gone:
         if dims.pop(d) != 1:

@@ -205,3 +205,47 @@ def test_streams(spark, tmp_path):
         assert runs.loc[str(user)].longest == best
     assert drain(events.by_season(stream, "ts", "value", A.MAX), "complete", "seasons").select("season").distinct().count() == 1
     assert drain(events.sessions(stream, "ts", "user_id", "1 hour"), "complete", "sess").agg(F.sum("n")).head()[0] == src.count()
+
+
+def test_pp_round_trip(spark, tmp_path):
+    from gridspark.sources import pp
+
+    t = Coord(standard_name="time", units="hours since 1970-01-01", points=np.array([12.0, 36.0]), bounds=np.array([[0.0, 24], [24, 48]]), dims=("time",), is_dim=True)
+    z = Coord(standard_name="height", units="m", points=np.array([10.0, 50, 100]), dims=("level",), is_dim=True)
+    y = Coord(standard_name="latitude", units="degrees", points=np.array([-45.0, 45.0]), dims=("y",), is_dim=True)
+    x = Coord(standard_name="longitude", units="degrees", points=np.array([0.0, 90, 180, 270]), dims=("x",), is_dim=True, circular=True)
+    a = np.ma.masked_equal(np.arange(48.0).reshape(2, 3, 2, 4), 7)
+    g = field(spark, a, ["time", "level", "y", "x"], [t, z, y, x], attributes={"STASH": "m01s03i236"})
+    store.save(g, f"{tmp_path}/x.pp")
+    (back,) = store.load_raw(spark, f"{tmp_path}/x.pp")
+    assert values(back).tolist() == a.tolist() and back.name() == "m01s03i236"
+    for n in ("time", "height", "latitude", "longitude"):
+        assert back.coord(n).points.tolist() == g.coord(n).points.tolist()
+    assert back.coord("time").bounds.tolist() == t.bounds.tolist() and back.coord("longitude").circular
+    (tmp_path / "little.pp").write_bytes(pp.to_bytes(g[0, 0], "<"))
+    assert values(store.load_one(spark, f"{tmp_path}/little.pp")).tolist() == a[0, 0].tolist()
+
+
+def test_lists_text_and_systems(spark):
+    from gridspark.functions import systems
+    from gridspark.operators import collection as K
+
+    g = simple_2d(spark)
+    many = K.GridList([g[:, :2], g[:, 2:]])
+    assert values(many.concatenate_one()).tolist() == values(g).tolist() and len(many[:1] + many) == 3
+    with pytest.raises(TypeError):
+        many.append(3)
+    assert K.xml(g, True) == K.xml(simple_2d(spark), True) != K.xml(g * 1.0, True) and "coord" in K.dot(g)
+    assert K.find_metadata(g.coords, axis="x") == [] and len(K.find_metadata(g.coords, "foo")) == 1
+    assert K.hexdigest(np.arange(3)) == K.hexdigest(np.arange(3)) != K.hexdigest(np.arange(3.0))
+    with pytest.raises(GridError):
+        K.checked_attributes({"units": "m"})
+    a, b = (g.with_df(g.df, attributes=x) for x in ({"p": 1, "q": 2}, {"p": 1, "q": 3, "r": 4}))
+    assert K.combine_metadata(a, b).attributes == {"p": 1, "r": 4} and K.combine_metadata(a, b, False).attributes == {"p": 1}
+    assert list(K.metadata_difference(a, b)) == ["attributes"] and not K.is_masked(g) and K.is_masked(simple_3d(spark, True))
+    assert K.clip_string("a long text of many words", 8) == "a long text..."
+    assert systems.GeogCS(6_378_137.0, None, 298.257223563).semi_minor_axis == pytest.approx(6_356_752.314245)
+    for s in (systems.osgb(), systems.RotatedGeogCS(37.5, 177.5, ellipsoid=systems.GeogCS(6_371_229.0)), systems.AlbersEqualArea()):
+        assert systems.from_dict(systems.to_dict(s)) == s
+    lon, lat = systems.RotatedGeogCS(37.5, 177.5).to_true(0.0, 90.0)
+    assert lat == pytest.approx(37.5)
