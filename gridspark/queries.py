@@ -32,14 +32,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def rows(grid: Grid, digits: int = 4, **names: str) -> DataFrame:
+def rows(grid: Grid, digits: int = 6, **names: str) -> DataFrame:
     """Unmasked cells with the labels ``names`` (column=coordinate) and the value rounded."""
     out = grid.labelled(*names.values(), value="v") if names else grid.df
     out = out.where("v is not null").select(*(F.col(f"`{c}`").alias(k) for k, c in names.items()), (F.round("v", digits) + F.lit(0.0)).alias("v"))
     return out
 
 
-def r(expression: str, digits: int = 4) -> str:
+def r(expression: str, digits: int = 6) -> str:
     return f"round({expression}, {digits}) + 0.0 AS v"
 
 
@@ -56,7 +56,7 @@ _SIMPLE = {
 
 
 def _places(agg) -> int:
-    return 5 if agg is A.VARIANCE else 8
+    return 6 if agg is A.VARIANCE else 8
 
 
 def _simple(agg, options):
@@ -154,9 +154,9 @@ _SEASON = "CASE WHEN month(dt) IN (12, 1, 2) THEN 'djf' WHEN month(dt) IN (3, 4,
 _DATED = f"{X.ORDERS}, dd AS (SELECT *, DATE '1970-01-01' + CAST(day AS INTEGER) AS dt FROM od)"
 
 
-@query("agg_by_season", f"WITH {_DATED} SELECT {_SEASON} AS season, {r('avg(v)')} FROM dd GROUP BY 1")
+@query("agg_by_season", f"WITH {_DATED} SELECT {_SEASON} AS season, {r('avg(v)', 3)} FROM dd GROUP BY 1")
 def agg_by_season(spark, d):
-    return rows(C.add_season(X.orders_day(spark, d), "day").aggregated_by("season", A.MEAN), season="season")
+    return rows(C.add_season(X.orders_day(spark, d), "day").aggregated_by("season", A.MEAN), 3, season="season")
 
 
 @query(
@@ -183,9 +183,9 @@ for _name, (_add, _sql) in _PARTS.items():
     query(f"agg_by_{_name}", f"WITH {_DATED.replace('* ,', '*,')}, k AS (SELECT {_sql.replace('day(dt)', 'day(dt)')} AS key, v FROM dd) SELECT key, {r('max(v)')} FROM k GROUP BY key")(_by_part(_name, _add))
 
 
-@query("agg_by_season_membership", f"WITH {_DATED}, k AS (SELECT month(dt) IN (11, 12, 1) AS key, v FROM dd) SELECT CAST(key AS BOOLEAN) AS key, {r('avg(v)')} FROM k GROUP BY key")
+@query("agg_by_season_membership", f"WITH {_DATED}, k AS (SELECT month(dt) IN (11, 12, 1) AS key, v FROM dd) SELECT CAST(key AS BOOLEAN) AS key, {r('avg(v)', 3)} FROM k GROUP BY key")
 def agg_by_season_membership(spark, d):
-    return rows(C.add_season_membership(X.orders_day(spark, d), "day", "ndj").aggregated_by("season_membership", A.MEAN), key="season_membership")
+    return rows(C.add_season_membership(X.orders_day(spark, d), "day", "ndj").aggregated_by("season_membership", A.MEAN), 3, key="season_membership")
 
 
 @query(
@@ -281,7 +281,7 @@ def indexing(spark, d):
 @query("reverse", f"WITH {X.PRICE} SELECT 50 - size AS i, {r('v')} FROM ps WHERE v IS NOT NULL")
 def reverse(spark, d):
     g = subset.reverse(X.price_size(spark, d), "size")
-    return g.df.where("v is not null").select(F.col("i_size").cast("bigint").alias("i"), (F.round("v", 4) + F.lit(0.0)).alias("v"))
+    return g.df.where("v is not null").select(F.col("i_size").cast("bigint").alias("i"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
 
 
 @query("subset_semi_join", f"WITH {X.SALES} SELECT month, supp, {r('v')} FROM sa WHERE supp IN (2, 3, 5, 7, 11)")
@@ -372,9 +372,9 @@ for _op, _sql in _UNARY.items():
     )
 
 
-@query("exponentiate", f"WITH {X.PRICE} SELECT size, {r('v * v', 2)} FROM ps WHERE v IS NOT NULL")
+@query("exponentiate", f"WITH {X.PRICE} SELECT size, {r('v * v', 5)} FROM ps WHERE v IS NOT NULL")
 def exponentiate(spark, d):
-    return rows(X.price_size(spark, d) ** 2, 2, size="size")
+    return rows(X.price_size(spark, d) ** 2, 5, size="size")
 
 
 @query("apply_ufunc", f"WITH {X.PRICE} SELECT size, {r('atan2(v, size)', 6)} FROM ps WHERE v IS NOT NULL")
@@ -388,9 +388,9 @@ def ifunc_numpy(spark, d):
     return rows(maths.FieldFunction(np.cbrt, lambda g: "1")(X.price_size(spark, d)), 6, size="size")
 
 
-@query("cube_times_coord", f"WITH {X.PRICE} SELECT size, {r('v * size', 2)} FROM ps WHERE v IS NOT NULL")
+@query("cube_times_coord", f"WITH {X.PRICE} SELECT size, {r('v * size')} FROM ps WHERE v IS NOT NULL")
 def cube_times_coord(spark, d):
-    return rows(X.price_size(spark, d) * X.price_size(spark, d).coord("size"), 2, size="size")
+    return rows(X.price_size(spark, d) * X.price_size(spark, d).coord("size"), 6, size="size")
 
 
 # Statistics and calculus.
@@ -436,11 +436,11 @@ def delta_circular(spark, d):
 
 @query("curl", f"""WITH {X.PLANE}, q AS (SELECT x, y, v, v * v / 1000 AS u FROM pl), c AS (SELECT a.x, a.y, ((b.v - a.v) + (e.v - c.v)) / 2 - ((c.u - a.u) + (e.u - b.u)) / 2 AS k
     FROM q a JOIN q b ON b.x = a.x + 1 AND b.y = a.y JOIN q c ON c.x = a.x AND c.y = a.y + 1 JOIN q e ON e.x = a.x + 1 AND e.y = a.y + 1)
-    SELECT x + 0.5 AS x, y + 0.5 AS y, {r('k', 2)} FROM c""")
+    SELECT x + 0.5 AS x, y + 0.5 AS y, {r('k', 4)} FROM c""")
 def curl(spark, d):
     v = X.price_plane(spark, d)
     u = (v * v / 1000.0).named("u")
-    return rows(stats.curl(u, v.named("v"), "x", "y"), 2, x="x", y="y")
+    return rows(stats.curl(u, v.named("v"), "x", "y"), 4, x="x", y="y")
 
 
 # Combining.
@@ -547,18 +547,18 @@ def regrid_linear_circular(spark, d):
     return rows(X.world(spark, d).regrid(target, interpolate.Linear()), longitude="longitude", latitude="latitude")
 
 
-@query("point_in_cell", f"SELECT CAST(floor(l_discount / 0.025) AS BIGINT) AS i_y, CAST(floor((l_quantity - 1) / 7) AS BIGINT) AS i_x, {r('sum(l_extendedprice * (1 + l_tax)) / sum(1 + l_tax)', 2)} FROM lineitem WHERE l_quantity >= 1 AND l_quantity < 50 AND l_discount < 0.1 GROUP BY 1, 2")
+@query("point_in_cell", f"SELECT CAST(floor(l_discount / 0.025) AS BIGINT) AS i_y, CAST(floor((l_quantity - 1) / 7) AS BIGINT) AS i_x, {r('sum(l_extendedprice * (1 + l_tax)) / sum(1 + l_tax)', 5)} FROM lineitem WHERE l_quantity >= 1 AND l_quantity < 50 AND l_discount < 0.1 GROUP BY 1, 2")
 def point_in_cell(spark, d):
     edges_x, edges_y = np.arange(1, 51, 7.0), np.array([0.0, 0.025, 0.05, 0.075, 0.1])
     out = regrid.bin_points(X.table(spark, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", edges_x, edges_y, 1 + F.col("l_tax"))
-    return out.select(F.col("i_y").cast("bigint"), F.col("i_x").cast("bigint"), (F.round("v", 2) + F.lit(0.0)).alias("v"))
+    return out.select(F.col("i_y").cast("bigint"), F.col("i_x").cast("bigint"), (F.round("v", 5) + F.lit(0.0)).alias("v"))
 
 
 @query("point_in_cell_regrid", f"WITH {X.NATIONS} SELECT CAST(floor((lon + 180) / 90) AS BIGINT) AS x, CAST(floor((lat + 90) / 60) AS BIGINT) AS y, {r('avg(v)')} FROM na WHERE lat < 90 GROUP BY 1, 2")
 def point_in_cell_regrid(spark, d):
     g = X.nations(spark, d)
     out = g.regrid(regrid.make_grid(spark, 4, 3, xlims=(-180.0, 180.0)), regrid.PointInCell())
-    return out.df.select(F.col("i_longitude").cast("bigint").alias("x"), F.col("i_latitude").cast("bigint").alias("y"), (F.round("v", 4) + F.lit(0.0)).alias("v"))
+    return out.df.select(F.col("i_longitude").cast("bigint").alias("x"), F.col("i_latitude").cast("bigint").alias("y"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
 
 
 @query("unstructured_nearest", f"""WITH {X.NATIONS}, t AS (SELECT x, y FROM (SELECT unnest([-135.5, -45.25, 44.75, 134.5]) AS x), (SELECT unnest([-60.5, 1.25, 61.75]) AS y)),
