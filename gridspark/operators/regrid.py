@@ -257,3 +257,21 @@ def project_rotated(grid: Grid, pole_lon: float, pole_lat: float, nx: int, ny: i
     tx = Coord(standard_name="grid_longitude", units="degrees", points=gx, dims=(dx,), is_dim=True)
     ty = Coord(standard_name="grid_latitude", units="degrees", points=gy, dims=(dy,), is_dim=True)
     return _moved(grid, df, sx, sy, tx, ty)
+
+
+def regrid_area_weighted(grid: Grid, target: Grid, mdtol: float = 0.0) -> Grid:
+    """Functional form; here any missing part masks by default."""
+    return AreaWeighted(mdtol).regrid(grid, target)
+
+
+def regrid_weighted_points(grid: Grid, weights: np.ndarray, target: Grid) -> Grid:
+    """Functional form of :class:`PointInCell` with weights."""
+    return PointInCell(weights).regrid(grid, target)
+
+
+def xy_grids(grid: Grid, corners: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Two-axis arrays of x and y at the cells' points, or at the corners of contiguous cells."""
+    from ..functions.axes import contiguous_edges
+
+    x, y = _xy(grid)
+    return tuple(np.meshgrid(contiguous_edges(x), contiguous_edges(y)) if corners else np.meshgrid(x.points, y.points))

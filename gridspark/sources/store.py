@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import CellMethod, Coord, Grid, GridError, index
+from ..functions.systems import from_dict, to_dict
 from ..operators.combine import combine
 from ..operators.subset import Constraint, NameConstraint, extract
 
@@ -33,7 +34,7 @@ def _unarray(x):
 def metadata_json(grid: Grid) -> str:
     def one(c: Coord) -> dict:
         own = {k: getattr(c, k) for k in ("standard_name", "long_name", "var_name", "units", "is_dim", "circular", "climatological", "calendar", "role")}
-        return own | {"attributes": c.attributes, "dims": list(c.dims), "points": _array(c.points), "bounds": _array(c.bounds)}
+        return own | {"coord_system": to_dict(c.coord_system), "attributes": c.attributes, "dims": list(c.dims), "points": _array(c.points), "bounds": _array(c.bounds)}
 
     return json.dumps({
         "standard_name": grid.standard_name, "long_name": grid.long_name, "var_name": grid.var_name, "units": grid.units, "attributes": grid.attributes, "dims": list(grid.dims.items()),
@@ -43,7 +44,7 @@ def metadata_json(grid: Grid) -> str:
 
 def from_metadata(text: str, df: DataFrame) -> Grid:
     m = json.loads(text)
-    coords = tuple(Coord(**{**{k: v for k, v in c.items() if k not in ("points", "bounds", "dims")}, "points": _unarray(c["points"]), "bounds": _unarray(c["bounds"]), "dims": tuple(c["dims"])}) for c in m["coords"])
+    coords = tuple(Coord(**{**{k: v for k, v in c.items() if k not in ("points", "bounds", "dims", "coord_system")}, "coord_system": from_dict(c.get("coord_system")), "points": _unarray(c["points"]), "bounds": _unarray(c["bounds"]), "dims": tuple(c["dims"])}) for c in m["coords"])
     methods = tuple(CellMethod(a, tuple(b), tuple(c), tuple(d)) for a, b, c, d in m["cell_methods"])
     return Grid(df=df, dims=dict(m["dims"]), coords=coords, cell_methods=methods, **{k: m[k] for k in ("standard_name", "long_name", "var_name", "units", "attributes")})
 

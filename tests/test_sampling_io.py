@@ -102,8 +102,12 @@ def test_meshes(spark):
 def test_store_round_trip(spark, tmp_path):
     g = simple_3d(spark, True).with_coord(Coord(long_name="label", points=np.array(["a", "b"]), dims=("wibble",))).collapsed("latitude", A.MEAN)
     path = f"{tmp_path}/one.grid"
+    from gridspark.functions.systems import GeogCS
+
+    g = g.replace_coord(__import__("dataclasses").replace(g.coord("longitude"), coord_system=GeogCS(6_371_229.0)))
     store.save(g, path)
     back = store.load_one(spark, path)
+    assert back.coord("longitude").coord_system == GeogCS(6_371_229.0)
     assert back.equals(g) and [str(m) for m in back.cell_methods] == ["latitude: mean"]
     assert values(store.load_one(spark, path, Constraint(wibble=30.0))).shape == (4,)
     store.save([simple_2d(spark)[:, :2], simple_2d(spark)[:, 2:]], f"{tmp_path}/two.grid")
@@ -249,3 +253,61 @@ def test_lists_text_and_systems(spark):
         assert systems.from_dict(systems.to_dict(s)) == s
     lon, lat = systems.RotatedGeogCS(37.5, 177.5).to_true(0.0, 90.0)
     assert lat == pytest.approx(37.5)
+
+
+FIELD_TEXT = """NAME III (version 6.0)
+Run name:                  x
+X grid origin:             -10.0
+X grid size:               3
+X grid resolution:         2.0
+Y grid origin:             40.0
+Y grid size:               2
+Y grid resolution:         1.5
+Number of field cols:      2
+Number of preliminary cols: 4
+
+Fields:
+"""
+
+
+def test_dispersion_text(spark, tmp_path):
+    from gridspark.sources import dispersion
+
+    cells = {"Species Category": ["VOLCANIC"] * 2, "Quantity": ["Air Concentration", "Dosage"], "Species": ["ASH"] * 2, "Units": ["g / m^3"] * 2, "Time Av or Int": ["003 hr time averaged", ""], "Time": ["01/02/2020  03:00 UTC"] * 2, "Z": ["From 0 to 100m agl"] * 2}
+    text = FIELD_TEXT + "".join(", , , , " + ", ".join(cells.get(r, ["", ""])) + ",\n" for r in dispersion.FIELD_ROWS)
+    text += "X (Lat-Long), Y (Lat-Long), X, Y,\n" + "".join(f" {x}.5, {y}.5, 0, 0, {10 * y + x}.0, {x / 2}, \n" for y in (1, 2) for x in (1, 2, 3))
+    (tmp_path / "field.txt").write_text(text)
+    a, b = store.load_raw(spark, f"{tmp_path}/field.txt")
+    assert values(a).tolist() == [[11, 12, 13], [21, 22, 23]] and values(b)[0].tolist() == [0.5, 1, 1.5]
+    assert a.name() == "ASH_AIR_CONCENTRATION" and a.coord("longitude").points.tolist() == [-10, -8, -6] and a.cell_methods[0].method == "mean"
+    assert a.coord("time").points.item() == 24 * 18293 + 3
+    series = "NAME III (version 6.0)\nRun name: x\nNumber of field cols: 1\nNumber of series: 1\n\nFields:\n"
+    cells = {"Species": ["ASH"], "Quantity": ["Dosage"], "Location": ["Here"], "X": ["X = -3.5 Lat-Long"], "Y": ["Y = 50.7 Lat-Long"]}
+    series += "".join(", " + ", ".join(cells.get(r, [""])) + ",\n" for r in dispersion.SERIES_ROWS) + "T,\n" + "01/02/2020  02:00 UTC, 2.5, \n01/02/2020  01:00 UTC, 1.5, \n"
+    (tmp_path / "series.txt").write_text(series)
+    (c,) = store.load_raw(spark, f"{tmp_path}/series.txt")
+    assert values(c).tolist() == [1.5, 2.5] and c.coord("longitude").points.item() == -3.5 and c.coord("location").points.item() == "Here"
+
+
+def test_mesh_files_and_rasters(spark, tmp_path):
+    import struct
+
+    from gridspark.operators.subset import Extent, intersect_all
+    from gridspark.sources import mesh_files
+
+    x = Coord(long_name="x", points=np.array([0.5, 1.5]), bounds=np.array([[0.0, 1, 1, 0], [1, 2, 2, 1]]), dims=("f",))
+    y = Coord(long_name="y", points=np.array([0.5, 0.5]), bounds=np.array([[0.0, 0, 1, 1], [0, 0, 1, 1]]), dims=("f",))
+    m = mesh.Mesh.from_bounds(spark, x, y)
+    mesh_files.save_mesh(m, f"{tmp_path}/m.nc")
+    back = mesh_files.load_mesh(spark, f"{tmp_path}/m.nc")
+    assert back.nodes.exceptAll(m.nodes).isEmpty() and [r.area for r in back.face_areas().collect()] == [1, 1]
+    assert back.points("face").orderBy("loc").collect() == m.points("face").orderBy("loc").collect()
+    with pytest.raises(GridError):
+        mesh_files.load_mesh(spark, f"{tmp_path}/m.nc", "other")
+    world = regrid.make_grid(spark, 4, 2)
+    store.save(world, f"{tmp_path}/w.tif")
+    raw = (tmp_path / "w.tif").read_bytes()
+    assert raw[:4] == b"II*\0" and struct.unpack_from("<8f", raw, 8) == (0.0,) * 8
+    gx, gy = regrid.xy_grids(world, corners=True)
+    assert gx.shape == (3, 5) and gy[0, 0] == -90
+    assert intersect_all(world, Extent("longitude", 0, 100), ignore_bounds=True).dims["longitude"] == 1
