@@ -205,12 +205,9 @@ class Grid(Named):
         """
         spark, coords, dims = df.sparkSession, [], {}
         out = df.withColumn("v", (F.col(value) if isinstance(value, str) else value).cast("double"))
+        found = _distinct(df if source is None else source, [d for d, p in axes.items() if p is None], limit)
         for dim, points in axes.items():
-            if points is None:
-                found = [r[0] for r in (df if source is None else source).select(dim).where(F.col(dim).isNotNull()).distinct().limit(limit + 1).collect()]
-                if len(found) > limit:
-                    raise GridError(f"axis {dim} has more than {limit} points")
-                points = sorted(found)
+            points = found[dim] if points is None else points
             points = np.asarray(points)
             numeric = points.dtype.kind in "iuf"
             coords.append(Coord(long_name=dim, points=points, dims=(dim,), is_dim=numeric and monotonic(points)))
@@ -438,6 +435,23 @@ class Grid(Named):
         return scheme.regrid(self, target)
 
 
+def _distinct(df: DataFrame, columns: list[str], limit: int) -> dict[str, list]:
+    """The sorted distinct values of several columns, in one pass; nulls left out."""
+    if not columns:
+        return {}
+    entries = [F.struct(F.lit(k).alias("k"), *(F.when(F.lit(j == k), F.col(f"`{c}`")).alias(f"x{j}") for j, c in enumerate(columns))) for k, _ in enumerate(columns)]
+    rows = df.select(*(f"`{c}`" for c in columns)).select(F.explode(F.array(*entries)).alias("e")).select("e.*").distinct().limit(len(columns) * (limit + 1)).collect()
+    out: dict[str, list] = {c: [] for c in columns}
+    for r in rows:
+        if r[1 + r[0]] is not None:
+            out[columns[r[0]]].append(r[1 + r[0]])
+    for c, values in out.items():
+        if len(values) > limit:
+            raise GridError(f"axis {c} has more than {limit} points")
+        values.sort()
+    return out
+
+
 def local_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     """A small table the plan holds itself, so its size is known to the optimiser; ``schema`` in simple DDL."""
     import pyarrow as pa

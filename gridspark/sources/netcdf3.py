@@ -1,19 +1,19 @@
 """Classic netCDF files (CDF-1 and CDF-2), read and written in pure Python, as fields.
 
-Only headers are read on the driver. Cells are read by tasks, each a range of
-the leading dimension: the file's bytes come through Spark's own reader for
-small files, or by seeking where every worker can open the path.
+Headers and coordinates are read by a task and sent to the driver; cells are
+read by a task a file, a slice of the leading dimension at a time.
 """
 
 from __future__ import annotations
 
+import pickle
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..frame import Coord, Grid, GridError, index, monotonic
 from ..functions.axes import axis_of
@@ -139,15 +139,38 @@ def read_array(data: bytes, h: Header, v: Variable, first: int | None = None, la
     return np.ma.array(out, mask=mask) if mask.any() else out
 
 
-def _coord(h: Header, data: bytes, v: Variable, dims: tuple[str, ...], axis: bool) -> Coord:
+def _helpers(h: Header) -> set[str]:
+    """Variables that describe others: bounds, auxiliary coordinates, measures, ancillaries."""
+    out: set[str] = set()
+    for v in h.variables.values():
+        a = v.attributes
+        out.update([a.get("bounds"), *str(a.get("coordinates", "")).split(), *str(a.get("cell_measures", "")).replace(":", " ").split()[1::2], *str(a.get("ancillary_variables", "")).split()])
+    return {n for n in out if n in h.variables}
+
+
+def describe_file(spark: SparkSession, path: str) -> tuple[Header, dict[str, np.ndarray]]:
+    """The header and the arrays of all coordinates, read by a task; no data variable reaches the driver."""
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for content in batch.column(0):
+                data = content.as_py()
+                h = read_header(data)
+                small = {n: read_array(data, h, v) for n, v in h.variables.items() if n in h.dims or n in _helpers(h) or not v.dims}
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((h, small))], pa.binary())], names=["b"])
+
+    return pickle.loads(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "b binary").head()[0])
+
+
+def _coord(h: Header, arrays: dict[str, np.ndarray], v: Variable, dims: tuple[str, ...], axis: bool) -> Coord:
     a = v.attributes
-    points = read_array(data, h, v)
+    points = arrays[v.name]
     if v.kind == 2:
         points = np.array([b"".join(row).decode().rstrip("\0 ") for row in points.reshape(-1, points.shape[-1])]).reshape(points.shape[:-1])
         dims = dims[:-1]
     bounds = None
     if a.get("bounds") in h.variables:
-        bounds = np.asarray(read_array(data, h, h.variables[a["bounds"]]))
+        bounds = np.asarray(arrays[a["bounds"]])
     points = np.asarray(points)
     extra = {k: x for k, x in a.items() if k not in ("standard_name", "long_name", "units", "bounds", "calendar", "axis")}
     c = Coord(standard_name=a.get("standard_name"), long_name=a.get("long_name"), var_name=v.name, units=a.get("units", "1"), calendar=a.get("calendar", "standard"), points=points, bounds=bounds, dims=dims, is_dim=axis and points.dtype.kind in "iuf" and monotonic(points), attributes=extra)
@@ -160,9 +183,8 @@ def _coord(h: Header, data: bytes, v: Variable, dims: tuple[str, ...], axis: boo
 
 def load_netcdf3(spark: SparkSession, path: str, constraints: list | None = None) -> list[Grid]:
     """One field for each data variable; names that no constraint can match are skipped before any cell is read."""
-    data = bytes(spark.read.format("binaryFile").load(path).select("content").head()[0])
-    h = read_header(data)
-    helpers = {n for v in h.variables.values() for n in (v.attributes.get("bounds"), *str(v.attributes.get("coordinates", "")).split(), *str(v.attributes.get("cell_measures", "")).replace(":", " ").split()[1::2], *str(v.attributes.get("ancillary_variables", "")).split()) if n}
+    h, arrays = describe_file(spark, path)
+    helpers = _helpers(h)
     wanted = [c.name for c in constraints or [] if c.name is not None]
     out = []
     for v in h.variables.values():
@@ -172,10 +194,10 @@ def load_netcdf3(spark: SparkSession, path: str, constraints: list | None = None
         if constraints and len(wanted) == len(constraints) and not set(wanted) & {v.name, a.get("standard_name"), a.get("long_name")}:
             continue
         dims = {d: h.dims[d] for d in v.dims}
-        coords = [_coord(h, data, h.variables[d], (d,), True) for d in v.dims if d in h.variables]
+        coords = [_coord(h, arrays, h.variables[d], (d,), True) for d in v.dims if d in h.variables]
         for name in str(a.get("coordinates", "")).split():
             if name in h.variables and set(h.variables[name].dims[: len(h.variables[name].dims) - (h.variables[name].kind == 2)]) <= set(dims):
-                coords.append(_coord(h, data, h.variables[name], h.variables[name].dims, False))
+                coords.append(_coord(h, arrays, h.variables[name], h.variables[name].dims, False))
         keep = {k: x for k, x in a.items() if k not in ("standard_name", "long_name", "units", "coordinates", "_FillValue", "missing_value", "scale_factor", "add_offset", "cell_measures", "ancillary_variables", "cell_methods")}
         out.append(Grid(df=_cells(spark, path, v.name, dims), dims=dims, coords=tuple(coords), standard_name=a.get("standard_name"), long_name=a.get("long_name"), var_name=v.name, units=a.get("units", "1"), attributes={**h.attributes, **keep}))
     return out
@@ -188,8 +210,6 @@ def _cells(spark: SparkSession, path: str, name: str, dims: dict[str, int]) -> D
     schema = ", ".join([*(f"`{k}` int" for k in keys), "v double"])
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for batch in batches:
             for content in batch.column(0):
                 data = content.as_py()
@@ -283,8 +303,7 @@ def save_netcdf3(grid: Grid, path: str, **_) -> None:
 
 def header_facts(spark: SparkSession, path: str) -> DataFrame:
     """Name, kind and shape of every variable, as a table."""
-    data = bytes(spark.read.format("binaryFile").load(path).select(F.col("content")).head()[0])
-    h = read_header(data)
+    h, _ = describe_file(spark, path)
     return spark.createDataFrame([(v.name, KINDS[v.kind], [h.dims[d] for d in v.dims]) for v in h.variables.values()], "name string, kind string, shape array<int>")
 
 
