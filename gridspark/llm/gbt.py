@@ -8,7 +8,7 @@ import numpy as np
 class BoostedTrees:
     """Complete binary trees of one depth; ``fit`` on the driver, ``predict`` anywhere."""
 
-    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 1.0, min_weight: float = 2.0):
+    def __init__(self, rounds: int = 60, depth: int = 5, rate: float = 0.2, bins: int = 32, ridge: float = 1.0, min_weight: float = 2.0):
         self.rounds, self.depth, self.rate, self.bins, self.ridge, self.min_weight = rounds, depth, rate, bins, ridge, min_weight
 
     def _binned(self, x: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ nothing below a dropped node is kept.
 
 The trees are fitted on at most ``SAMPLE_PAGES`` pages, labelled by the page
 elements whose purpose is certain (articles, navigation, footers, forms, named
-asides), and on as many composed pages whose labels are known by construction.
+asides), and on composed pages whose labels are known by construction.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import html as references
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +28,7 @@ from .common import bounded_sample, map_slices
 from .gbt import BoostedTrees
 
 #: Bound on the pages that the trees are fitted on, and the number of composed pages.
-SAMPLE_PAGES, COMPOSED_PAGES = 300, 300
+SAMPLE_PAGES, COMPOSED_PAGES = 300, 600
 
 # Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,7 +55,9 @@ TOKENS = {
 GROUPS = tuple(TOKENS)
 TAGS = ("article", "main", "section", "div", "p", "nav", "header", "footer", "aside", "form", "ul", "li", "table", "a", "span", "heading", "other")
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>""", re.S)
+START = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.I)
 PART = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -92,6 +95,8 @@ def parse(markup: str) -> Page:
     page = Page([Node("#page", -1, 0, ())])
     nodes, stack, block, at = page.nodes, [(0, "#page")], 0, 0
     silent = 0
+    open_tags: Counter[str] = Counter()
+    quoted = True
 
     def text(raw: str) -> None:
         if raw and not silent:
@@ -104,21 +109,33 @@ def parse(markup: str) -> Page:
         nonlocal block, silent
         while len(stack) > depth:
             _, name = stack.pop()
+            open_tags[name] -= 1
             silent -= name in SILENT
             if name not in INLINE:
                 block += 1
 
     while True:
-        m = TAG.search(markup, at)
-        if not m:
+        start = START.search(markup, at)
+        if not start:
             text(markup[at:])
             return page
-        text(markup[at : m.start()])
-        at, name = m.end(), (m[2] or "").lower()
-        if not name:
+        text(markup[at : start.start()])
+        if start[0][1] in "!?":
+            end = "-->" if start[0] == "<!--" else ">"
+            close_at = markup.find(end, start.end())
+            if close_at < 0:
+                return page
+            at = close_at + len(end)
             continue
+        m = TAG.match(markup, start.start()) if quoted else None
+        if not m:  # an unclosed quote: from here on a tag ends at its first bracket
+            quoted, m = False, PLAIN_TAG.match(markup, start.start())
+        if not m:
+            text(markup[start.start() :])
+            return page
+        at, name = m.end(), m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if open_tags[name] else ():
                 if stack[depth][1] == name:
                     pop_to(depth)
                     break
@@ -129,7 +146,7 @@ def parse(markup: str) -> Page:
             continue
         ends = ("p",) if name in CLOSES_P else ()
         for closing in (*ends, *CLOSES.get(name, ())):
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if open_tags[closing] else ():
                 if stack[depth][1] == closing:
                     pop_to(depth)
                     break
@@ -152,6 +169,7 @@ def parse(markup: str) -> Page:
             stack.append((len(nodes) - 1, name))
         else:
             stack.append((top_node(), name))
+        open_tags[name] += 1
         silent += name in SILENT
 
 
@@ -270,6 +288,13 @@ def teacher(page: Page) -> list[bool]:
     return label
 
 
+#: Parts of a main text beside plain blocks.
+PARTS = [
+    "<h2>{}</h2>", "<h3>{}</h3>", "<ul><li>{}</li><li>{}</li></ul>", "<ol><li><p>{}</p></li><li>{}</li></ol>", "<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>",
+    "<table><tr><th>{}</th><td>{}</td></tr><tr><td>{}</td><td>{}</td></tr></table>", "<figure><img src='a.png'><figcaption>{}</figcaption></figure>", "<p>{} <a href='#'>{}</a> {}</p>", "<div><p>{}</p><p>{}</p></div>", "<dl><dt>{}</dt><dd>{}</dd></dl>",
+]
+
+
 def composed(words: list[str], rng: random.Random) -> str:
     """A page made from parts; x-keep and x-drop elements mark what is main text."""
 
@@ -296,8 +321,16 @@ def composed(words: list[str], rng: random.Random) -> str:
     kinds = ["menu", "head", "foot", "side", "ad", "notice", "comment", "share", "form"]
     body, inside = [], rng.random() < 0.4
     parts = [f"<h1>{prose(3, 9)}</h1>"] if rng.random() < 0.8 else []
+    block = rng.choice(["<p>{}</p>"] * 6 + ["<div>{}</div>", "<p><span>{}</span></p>"])
     for _ in range(rng.choice([1, 2, 3, 5, 9, 15])):
-        parts.append(rng.choice(["<p>{}</p>"] * 8 + ["<h2>{}</h2>", "<ul><li>{}</li><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>"]).replace("{}", prose(1, 4) if rng.random() < 0.15 else prose(5, 80)))
+        part = rng.choice([block] * 10 + PARTS)
+        while "{}" in part:
+            part = part.replace("{}", prose(1, 4) if rng.random() < 0.15 else prose(5, 80), 1)
+        parts.append(part)
+    if parts and rng.random() < 0.2:
+        parts[0] = f"<header>{parts[0]}</header>"
+    if rng.random() < 0.2:
+        parts = ["<section>", *parts, "</section>"]
     marked = [f'<x-drop>{noise(rng.choice(["ad", "share", "notice", "comment", "side"]))}</x-drop>' for _ in range(rng.randint(1, 2))] if inside else []
     for part in marked:
         parts.insert(rng.randint(0, len(parts)), part)
