@@ -38,7 +38,9 @@ QUOTES = "\"'"
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 1.0, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "key": 0.6, "auth": 0.6, "private": 0.5, "access": 0.4, "api": 0.4, "signing": 0.4, "encryption": 0.4}
 HARMLESS = {"public": -0.6, "id": -0.3, "name": -0.4, "path": -0.5, "file": -0.5, "url": -0.4, "type": -0.5, "length": -0.6, "example": -0.5}
 THRESHOLD = 1.2
-MIN_LITERAL, MAX_LITERAL = 8, 4096
+MIN_LITERAL, MAX_LITERAL = 8, 512
+#: Most terms of one expression, and most blanks and colons between a name and its sign.
+MAX_TERMS, MAX_GAP = 32, 64
 
 OPERATOR = re.compile("[:=]")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
@@ -90,7 +92,7 @@ def _base_value(t: str, op: int) -> tuple[int, int]:
 def _name(t: str, op: int) -> str:
     """The assigned name left of the operator, or an empty text."""
     i = op
-    while i > 0 and t[i - 1] in " \t:":  # := and a space before the sign
+    while i > 0 and op - i < MAX_GAP and t[i - 1] in " \t:":  # := and a space before the sign
         i -= 1
     if i > 0 and t[i - 1] == "]":
         i -= 1
@@ -108,7 +110,7 @@ def _terms(t: str, op: int) -> list[tuple[str, int, int, bool]]:
     while True:
         while j < n and t[j] in " \t>":
             j += 1
-        if j >= n or t[j] in "\r\n":
+        if j >= n or t[j] in "\r\n" or len(out) >= MAX_TERMS:
             return out
         if t[j] in QUOTES:
             e = j + 1
