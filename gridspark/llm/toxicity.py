@@ -92,7 +92,7 @@ class Channel:
         if found is not None:
             return found
         logp = self.logp
-        best: dict[tuple[int, int], tuple[float, str]] = {(GAP, GAP): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(GAP, GAP): (0.0, None)}  # paths are linked backwards
         before = ""
         for ch in token:
             arcs: list[tuple[str, float]] = []
@@ -103,18 +103,23 @@ class Channel:
             else:
                 arcs = [("", 0.0)]
             before = ch
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, path) in best.items():
                 for x, cost in arcs:
                     if x:
                         c = ord(x) - 97 if "a" <= x <= "z" else FOREIGN
-                        state, value, text = (b, c), score + cost + logp[a][b][c], path + x
+                        state, value, link = (b, c), score + cost + logp[a][b][c], (path, x)
                     else:
-                        state, value, text = (a, b), score + cost, path
+                        state, value, link = (a, b), score + cost, path
                     if state not in after or value > after[state][0]:
-                        after[state] = (value, text)
+                        after[state] = (value, link)
             best = after
-        out = max((score + logp[a][b][GAP], text) for (a, b), (score, text) in best.items())[1]
+        (a, b), (_, path) = max(best.items(), key=lambda x: (x[1][0] + logp[x[0][0]][x[0][1]][GAP], x[0]))
+        letters = []
+        while path is not None:
+            path, x = path
+            letters.append(x)
+        out = "".join(reversed(letters))
         if len(self.memo) >= MEMO:
             self.memo.clear()
         if len(token) <= 64:

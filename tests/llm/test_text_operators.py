@@ -154,3 +154,17 @@ def test_pages_give_the_article(spark):
 def test_digests_of_nothing():
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(pii.spans_text(pii.find(None)).encode()).hexdigest()
     assert secrets.find("") == [] and pii.find("") == []
+
+
+def test_hostile_texts_take_linear_time():
+    from gridspark.llm import toxicity
+
+    n = 200_000
+    for t in (":" * n, "k=a+a" * (n // 5), "token=" * (n // 6), "= " * n, "a" * n + "@", "+1" * n, "1." * n, "1 " * n, " St." * n, "A" * n + " St." * 50, "://" * n):
+        secrets.find(t)
+        pii.find(t)
+    for t in ("<b>" * n + "</i>" * n, "<p>" * n, "<div>" * 20_000, "<" * n, "<a href='" * 20_000, "&amp" * n, "</p>" * n):
+        html_main.features(html_main.parse(t))
+    channel = toxicity.Channel(np.ones(28**3))
+    assert len(channel.restore("a1" * 50_000)) >= 50_000
+    assert channel.restore("x" * n).strip("x") == ""
