@@ -16,6 +16,7 @@ from .functions import calendar as C
 from .functions import spherical as S
 from .functions import vertical as V
 from .operators import combine, interpolate, maths, mesh, regrid, shape, stats, subset
+from .streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -662,3 +663,22 @@ def fingerprint(spark, d):
     n, _ = X.sales(spark, d).fingerprint()
     return spark.range(1).select(F.lit(n).cast("bigint").alias("n"))
 
+
+
+# Streams.
+
+_SECONDS = "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(start as timestamp_ntz))"
+
+
+@query("stream_daily_mean", f"SELECT CAST(epoch(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS BIGINT) AS start_s, event_type, count(value) AS n, {r('avg(value)', 8)} FROM events GROUP BY 1, 2")
+def stream_daily_mean(spark, d):
+    out = events.drained(events.windowed(events.event_stream(spark, d), "ts", "value", A.MEAN, "1 day", by=("event_type",)), "daily")
+    return out.select(F.expr(_SECONDS).alias("start_s"), "event_type", "n", (F.round("v", 8) + F.lit(0.0)).alias("v"))
+
+
+@query("stream_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+    SELECT user_id, CAST(floor(epoch(CAST(min(ts) AS TIMESTAMP))) AS BIGINT) AS start_s, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, d):
+    out = events.drained(events.sessions(events.event_stream(spark, d), "ts", "user_id", "6 hours"), "sessions")
+    return out.select("user_id", F.expr(_SECONDS).alias("start_s"), "n")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.aggregators import Aggregator
@@ -54,3 +55,32 @@ def longest_runs(stream: DataFrame, key: str, time: str, passes: Column) -> Data
         yield pd.DataFrame({"key": [keys[0]], "longest": [best], "n": [n]})
 
     return own.groupBy("key").applyInPandasWithState(step, "key string, longest long, n long", "run long, best long, n long", "update", GroupStateTimeout.NoTimeout)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it; below the warehouse where it names none."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_streams").rstrip("/")
+
+
+def drained(df: DataFrame, label: str) -> DataFrame:
+    """Run a complete-mode aggregation over all that its source has now, and read its last result back.
+
+    Offsets, state and results lie in the shared folder, so a lost executor
+    costs a retry; the result is replaced as a whole by every batch.
+    """
+    spark = df.sparkSession
+    at = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/result")
+
+    query = df.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{at}/result")
+
+
+def event_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
+    """A table of the driver's folder as a stream of files."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
