@@ -78,9 +78,15 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[..., dict[str, list]]]
     return df.mapInArrow(run, ddl)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly if it comes from fewer files than there are cores; a file of one row group is one task otherwise."""
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    return df.repartition(cores) if 0 < 2 * files < cores else df
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and the whole text alone, null texts as empty."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return spread(df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_slices
+from .common import bounded_sample, map_slices, spread
 from .gbt import BoostedTrees
 
 #: Bound on the pages that the trees are fitted on, and the number of composed pages.
@@ -403,5 +403,5 @@ def main_text(pages: DataFrame, model: BoostedTrees, id_col: str = "page_id", ur
 
         return fn
 
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    own = spread(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")))
     return map_slices(own, make, "page_id long, url string, text string, n_chars long", rows=256)
