@@ -170,7 +170,8 @@ def _unit(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
     return np.stack([np.cos(b) * np.cos(a), np.cos(b) * np.sin(a), np.sin(b)], axis=-1)
 
 
-def _nearest_on_sphere(points: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def _nearest(points: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which point has the greatest product with each wanted vector."""
     out = np.empty(len(wanted), np.int64)
     step = max(1, 4_000_000 // max(1, len(points)))
     for k in range(0, len(wanted), step):
@@ -180,7 +181,12 @@ def _nearest_on_sphere(points: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class UnstructuredNearest:
-    """The source point nearest on the sphere to each target point; the source's x and y share one dimension."""
+    """The source point nearest to each target point, on the sphere or, ``planar``, in the plane of x and y.
+
+    The source's x and y share one dimension.
+    """
+
+    planar: bool = False
 
     def regrid(self, grid: Grid, target: Grid) -> Grid:
         tx, ty = _xy(target)
@@ -188,12 +194,14 @@ class UnstructuredNearest:
         if sx.dims != sy.dims or len(sx.dims) != 1:
             raise GridError("source x and y lie on one common dimension")
         (d,) = sx.dims
-        points = _unit(sx.points.astype(float), sy.points.astype(float))
+        own = self._source if self.planar else _unit
+        wanted = self._wanted if self.planar else _unit
+        points = own(sx.points.astype(float), sy.points.astype(float))
         lon, lat = np.meshgrid(tx.points.astype(float), ty.points.astype(float))
         dx, dy = tx.dims[0], ty.dims[0]
         schema = f"`{index(d)}` int, _y int, _x int"
         if len(points) * lon.size <= DRIVER_PAIRS:
-            at = _nearest_on_sphere(points, _unit(lon.ravel(), lat.ravel()))
+            at = _nearest(points, wanted(lon.ravel(), lat.ravel()))
             rows = [(int(s), k // lon.shape[1], k % lon.shape[1]) for k, s in enumerate(at)]
             table = local_table(grid.spark, rows, schema)
         else:
@@ -205,7 +213,7 @@ class UnstructuredNearest:
                 p, x, y = shared.value
                 for pdf in batches:
                     j, i = pdf["id"].to_numpy() // len(x), pdf["id"].to_numpy() % len(x)
-                    yield pd.DataFrame({index(d): _nearest_on_sphere(p, _unit(x[i], y[j])).astype("int32"), "_y": j.astype("int32"), "_x": i.astype("int32")})
+                    yield pd.DataFrame({index(d): _nearest(p, wanted(x[i], y[j])).astype("int32"), "_y": j.astype("int32"), "_x": i.astype("int32")})
 
             table = grid.spark.range(lon.size).mapInPandas(find, schema)
         left = {k: n for k, n in grid.dims.items() if k != d}
@@ -213,6 +221,15 @@ class UnstructuredNearest:
         coords = [c for c in grid.coords if d not in c.dims] + [ty, tx]
         return replace(grid, df=out, dims={**left, dy: len(ty.points), dx: len(tx.points)}, coords=tuple(coords))
 
+    @staticmethod
+    def _source(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Vectors whose product with (x, y, 1) is greatest for the nearest point."""
+        return np.stack([x, y, -(x * x + y * y) / 2], axis=-1)
+
+    @staticmethod
+    def _wanted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.stack([x, y, np.ones_like(x)], axis=-1)
+
 
 def make_grid(spark, nx: int = 30, ny: int = 20, xlims: tuple[float, float] = (0.0, 360.0), ylims: tuple[float, float] = (-90.0, 90.0), x_points=None, y_points=None) -> Grid:
     """A regular latitude-longitude field of zeros, cells inside the limits."""

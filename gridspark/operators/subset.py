@@ -354,6 +354,29 @@ def mask_where(grid: Grid, where: Grid | Coord | Callable) -> Grid:
     return grid.with_df(grid.df.withColumn("v", F.when(~where(F.col("v")), F.col("v"))))
 
 
+def polygon_problem(polygon: list[tuple[float, float]]) -> str | None:
+    """Why a ring of points is no simple polygon, or None."""
+    p = [tuple(map(float, q)) for q in polygon]
+    p = p[:-1] if len(p) > 1 and p[0] == p[-1] else p
+    if len(set(p)) < 3 or len(set(p)) < len(p):
+        return "it needs three points or more, all different"
+    if not np.all(np.isfinite(p)):
+        return "a point isn't finite"
+
+    def side(a, b, c):
+        return np.sign((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
+
+    n = len(p)
+    for i in range(n):
+        a, b = p[i], p[(i + 1) % n]
+        for j in range(i + 2, n if i else n - 1):
+            c, d = p[j], p[(j + 1) % n]
+            if side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
+                return f"edges {i} and {j} cross"
+    area = sum(p[k - 1][0] * p[k][1] - p[k][0] * p[k - 1][1] for k in range(n))
+    return "it has no area" if area == 0 else None
+
+
 def polygon_weights(x: Coord, y: Coord, polygon: list[tuple[float, float]]) -> np.ndarray:
     """The share of each cell (y, x) that a polygon covers, by clipping it to the cell; the polygon may be concave."""
     bx, by = (c.bounds if c.bounds is not None else c.guess_bounds().bounds for c in (x, y))
@@ -394,6 +417,9 @@ def geometry_area_weights(grid: Grid, polygon: list[tuple[float, float]], normal
 
 def mask_outside_shape(grid: Grid, polygon: list[tuple[float, float]], minimum_weight: float = 0.0, all_touched: bool = False, invert: bool = False) -> Grid:
     """Mask the cells outside a polygon: covered by less than ``minimum_weight``, or (at 0) whose centre is outside."""
+    problem = polygon_problem(polygon)
+    if problem:
+        raise GridError(f"the shape is invalid: {problem}")
     x, y = grid.coord(axis="x"), grid.coord(axis="y")
     if minimum_weight or all_touched:
         share = polygon_weights(x, y, polygon)

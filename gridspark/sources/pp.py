@@ -74,6 +74,20 @@ def _headers(spark: SparkSession, path: str) -> list[tuple[list[int], list[float
     return [(list(x.i), list(x.r)) for x in files.mapInArrow(run, "i array<long>, r array<double>").collect()]
 
 
+def field_table(spark: SparkSession, path: str) -> DataFrame:
+    """One row a record: file, number, the named header words as columns; lazily, a task a file."""
+    names = [*WORDS, *REALS]
+
+    def run(batches):
+        for b in batches:
+            for path_, content in zip(b.column(0).to_pylist(), b.column(1)):
+                rows = [(path_, k, *(int(i[w]) for w in WORDS.values()), *(float(r[w]) for w in REALS.values())) for k, (i, r, _) in enumerate(records(content.as_py()))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["path", "record", *names])
+
+    schema = ", ".join(["path string", "record long", *(f"{n} long" for n in WORDS), *(f"{n} double" for n in REALS)])
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+
+
 def _time(ints: list[int], at: int, calendar: str) -> float:
     y, m, d, h, mi = ints[at : at + 5]
     return float(days_from_civil(y, m, d, calendar)) * 24 + h + mi / 60

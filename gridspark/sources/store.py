@@ -8,7 +8,8 @@ name or first bytes and a writer by the target's name; others can be added.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -111,6 +112,18 @@ def add_writer(extension: str, writer: Callable) -> None:
     WRITERS[extension] = writer
 
 
+@contextmanager
+def chunks(spark: SparkSession, size: int) -> Iterator[None]:
+    """Inside, files are read in splits of about ``size`` bytes; plans keep what held when they ran."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def find_writer(path: str) -> Callable:
     for extension, writer in WRITERS.items():
         if path.endswith("." + extension):

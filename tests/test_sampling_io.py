@@ -74,6 +74,9 @@ def test_point_in_cell_nearest_and_projection(spark):
     assert got.tolist() == [[None, 10], [2, 20]]
     assert values(src.regrid(target, regrid.PointInCell(np.array([1.0, 3, 1, 1]))))[1, 0] == 2.5
     assert values(src.regrid(regrid.make_grid(spark, x_points=[2.0, 180.0], y_points=[0.0, 60.0]), regrid.UnstructuredNearest())).tolist() == [[1, 20], [3, 20]]
+    flat = field(spark, [1.0, 2, 3], ["p"], [axis("x", [0.0, 5, 9], dim="p"), Coord(long_name="y", points=np.array([0.0, 0, 9]), dims=("p",))])
+    square = field(spark, np.zeros((2, 2)), ["y", "x"], [axis("y", [0.0, 8]), axis("x", [1.0, 7])])
+    assert values(flat.regrid(square, regrid.UnstructuredNearest(planar=True))).tolist() == [[1, 2], [1, 3]]
     world = regrid.make_grid(spark, 36, 18)
     turned = regrid.project_rotated(world, 0.0, 90.0, 6, 4)
     assert turned.dims == {"latitude": 4, "longitude": 6}
@@ -127,6 +130,14 @@ def test_store_round_trip(spark, tmp_path):
     assert store.decode_uri("http://a/b") == ("http", "//a/b") and store.decode_uri("/a:b") == ("file", "/a:b")
 
 
+def test_chunks_set_the_split_size(spark):
+    path = "/root/testdata/sf0.1/lineitem.parquet"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    with store.chunks(spark, 1 << 20):
+        assert spark.read.parquet(path).rdd.getNumPartitions() > 4
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
 def test_netcdf_round_trip(spark, tmp_path):
     g = simple_2d(spark)
     g = g.with_df(g.df.withColumn("v", F.when(F.col("v") != 5, F.col("v") + 0.25)), attributes={"title": "t", "k": 3}).with_coord(Coord(long_name="height", units="m", points=np.array(2.5), dims=())).with_coord(Coord(long_name="area", points=np.arange(12.0).reshape(3, 4), dims=("bar", "foo")))
@@ -226,6 +237,8 @@ def test_pp_round_trip(spark, tmp_path):
     for n in ("time", "height", "latitude", "longitude"):
         assert back.coord(n).points.tolist() == g.coord(n).points.tolist()
     assert back.coord("time").bounds.tolist() == t.bounds.tolist() and back.coord("longitude").circular
+    table = pp.field_table(spark, f"{tmp_path}/x.pp")
+    assert table.count() == 6 and {r.blev for r in table.collect()} == {10, 50, 100} and table.where("lbuser4 = 3236").count() == 6
     (tmp_path / "little.pp").write_bytes(pp.to_bytes(g[0, 0], "<"))
     assert values(store.load_one(spark, f"{tmp_path}/little.pp")).tolist() == a[0, 0].tolist()
 

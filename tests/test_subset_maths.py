@@ -76,6 +76,9 @@ def test_masks_and_shapes(spark):
     tri = [(-0.5, -0.5), (3.5, -0.5), (-0.5, 2.5)]
     w = subset.geometry_area_weights(h, tri).points
     assert w.sum() == pytest.approx(6.0) and w[0, 0] == pytest.approx(1.0)
+    assert subset.polygon_problem(tri) is None and subset.polygon_problem([(0, 0), (1, 1), (1, 0), (0, 1)]) and subset.polygon_problem([(0, 0), (1, 1)]) and subset.polygon_problem([(0, 0), (1, 1), (2, 2)])
+    with pytest.raises(GridError):
+        subset.mask_outside_shape(h, [(0, 0), (1, 1), (1, 0), (0, 1)])
     assert values(subset.mask_outside_shape(h, tri, minimum_weight=0.5)).count() == (w >= 0.5).sum()
     assert values(subset.mask_outside_shape(h, tri, all_touched=True, invert=True)).count() == (w == 0).sum()
 
