@@ -7,6 +7,7 @@ dimensions, so absent rows need not be made.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import replace
 
@@ -283,7 +284,7 @@ def groups_of(coords: list[Coord]) -> tuple[list[int], list[int]]:
 def grouped_coord(c: Coord, dim: str, group: list[int], circular_end: bool = True, climatological: bool = False) -> Coord:
     """A coordinate that shares the grouped dimension, one cell for each group."""
     axis = c.dims.index(dim)
-    members = [np.flatnonzero(np.asarray(group) == g) for g in range(max(group) + 1)]
+    members = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group))[:-1])
     if c.points.dtype.kind in "US":
         if c.bounds is not None:
             raise GridError("bounded texts can't be grouped")
@@ -327,7 +328,10 @@ def aggregated_by(grid: Grid, coords, agg: Aggregator, weights=None, mdtol: floa
     order = F.col("_at")
     df = df.join(sized(table, len(group)), col).withColumn("_at", F.col(col)).drop(col).withColumnRenamed("_g", col)
     if agg.kind in ("run", "peak"):
-        ranks = [int(np.sum(np.asarray(group[:k]) == g)) for k, g in enumerate(group)]
+        seen, ranks = Counter(), []
+        for g in group:
+            ranks.append(seen[g])
+            seen[g] += 1
         place = local_table(grid.spark, list(enumerate(ranks)), "_at int, _rank int")
         df, order = df.join(sized(place, len(group)), "_at"), F.col("_rank")
     out = aggregate(df, grid.keys(), agg, F.max("_n"), mdtol, w, order, **options)
