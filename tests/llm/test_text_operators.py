@@ -168,3 +168,24 @@ def test_hostile_texts_take_linear_time():
     channel = toxicity.Channel(np.ones(28**3))
     assert len(channel.restore("a1" * 50_000)) >= 50_000
     assert channel.restore("x" * n).strip("x") == ""
+
+
+def test_secrets_of_any_length_and_number_of_terms():
+    rng = random.Random(12)
+    blob = lambda n: "".join(rng.choice("ABCDEFGHKMabcdefghkm23456789") for _ in range(n))
+    pairs = lambda t: [t[s:e] for s, k, e in secrets.find(t) if k == "pair"]
+    long, parts = blob(3000), [blob(9) for _ in range(60)]
+    for name in ("auth_key", "signing_key", "credentials", "client_secret_value"):
+        assert pairs(f'{name} = "{long}"') == pairs(f"{name} = {long}\n") == [long]
+        assert pairs(f'{name} = "{long}" + "{parts[0]}"') == [long, parts[0]]
+    assert pairs("signing_key = " + " + ".join(f'"{p}"' for p in parts)) == parts
+    lines = ['k = "' + parts[0] + '"', *(f'k = k + "{p}"' for p in parts[1:])]
+    assert pairs("\n".join(lines) + "\nsigning_key = k") == parts
+    assert pairs("x" * 300 + "_auth_key = '" + parts[0] + "'") == pairs("auth_key" + " " * 100 + "= '" + parts[0] + "'") == [parts[0]]
+
+
+def test_shared_and_doubled_values_take_linear_time():
+    n = 100_000
+    doubled = "".join(f"b{i + 1}=b{i}+b{i}\n" for i in range(n // 10)) + "token=b1"
+    for t in ("token=x+" * (n // 8), "a=a+a\n" * (n // 6), doubled, "token=a+token\n" * (n // 14), "token" * (n // 5) + ":" * n, "token=" * (n // 6) + "+ " * n, "auth_key='" + "ab1" * n + "'", '="\\' * n):
+        secrets.find(t)
