@@ -466,13 +466,23 @@ def concat_cubes(spark, d):
     return rows(combine.concatenate_one([g[30:], g[:12], g[12:30]]), month="month", supp="supp")
 
 
+def _combined_blocks(g: Grid) -> Grid:
+    """A field cut into two blocks of months by three of suppliers, which together are all of it, and combined again."""
+    cuts = [np.linspace(0, g.dims[k], n + 1).astype(int) for k, n in (("month", 2), ("supp", 3))]
+    months, supps = ([slice(int(a), int(b)) for a, b in zip(c[:-1], c[1:]) if a < b] for c in cuts)
+    (whole,) = combine.combine([g[m, s] for s in supps for m in months], "comprehensive")
+    return whole
+
+
 @query("combine_cubes", f"WITH {X.SALES} SELECT month, supp, {r('v')} FROM sa WHERE supp <= 3")
 def combine_cubes(spark, d):
-    g = X.sales(spark, d).extract(subset.Constraint(supp=lambda c: c.point <= 3))
-    parts = subset.slices_over(g, "supp")
-    halves = [p[s] for p in parts for s in (slice(0, 40), slice(40, None))]
-    (whole,) = combine.combine(halves, "comprehensive")
-    return rows(whole, month="month", supp="supp")
+    whole = _combined_blocks(X.sales(spark, d))
+    return rows(whole.extract(subset.Constraint(supp=lambda c: c.point <= 3)), month="month", supp="supp")
+
+
+@query("combine_whole_field", f"WITH {X.SALES} SELECT month, supp, {r('v')} FROM sa")
+def combine_whole_field(spark, d):
+    return rows(_combined_blocks(X.sales(spark, d)), month="month", supp="supp")
 
 
 # Interpolation and regridding.

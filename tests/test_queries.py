@@ -38,3 +38,9 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_combine_reaches_every_supplier(spark, duck):
+    got = __spark_entry__.queries()["combine_whole_field"](spark, SF).toPandas()
+    n, suppliers = duck.execute("SELECT count(*), count(DISTINCT l_suppkey) FROM (SELECT DISTINCT date_trunc('month', l_shipdate), l_suppkey FROM lineitem)").fetchone()
+    assert len(got) == n and got.supp.nunique() == suppliers > 3
