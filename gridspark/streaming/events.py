@@ -81,6 +81,10 @@ def drained(df: DataFrame, label: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
-    """A table of the driver's folder as a stream of files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table of the driver's folder as a stream of files: a folder of part files, or a single file."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)

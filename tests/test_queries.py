@@ -51,3 +51,10 @@ def test_save_and_load_reads_written_cells(spark, duck):
         got = __spark_entry__.queries()[name](spark, SF)
         assert got.inputFiles() and all("/stored-" in f and "/cells/" in f for f in got.inputFiles())
         assert got.select("supp").distinct().count() == suppliers
+
+
+@pytest.mark.parametrize("name", ["stream_daily_mean", "stream_sessions"])
+def test_streams_read_a_table_of_part_files(spark, duck, tmp_path, name):
+    spark.read.parquet(f"{SF}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got, want = _sorted(__spark_entry__.queries()[name](spark, str(tmp_path)).toPandas()), _sorted(duck.execute(ORACLES[name]).df())
+    assert len(got) == len(want) > 0 and got["n"].sum() == want["n"].sum() and np.array_equal(got["start_s"], want["start_s"])
