@@ -12,6 +12,10 @@ is laid out, from the tickets and the sources' row counts alone; each row
 then finds its slot by arithmetic from its rank inside its source. Ranks come
 from row numbers inside hash buckets plus bucket offsets, so a source with a
 third of all rows is spread over many tasks.
+
+Any number of sources is placed. A phase that ends inside its first period is
+laid out up to its end only, so the driver's work grows with the slots that
+are served, never with sources times phases.
 """
 
 from __future__ import annotations
@@ -19,17 +23,21 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 32
 TICKETS = 1024
-MAX_SOURCES = 500
+#: Up to so many sources the schedule is a broadcast table of arrays; beyond, a table of blocks that is joined.
+BROADCAST_SOURCES = 500
 ROWS_PER_BUCKET, MAX_BUCKETS = 4096, 1 << 16
 PRIME, STEP, SHIFT = 2_147_483_647, 1_103_515_245, 12_345
 
-PHASES = "array<struct<source:string,phases:array<struct<phase:int,lo:long,hi:long,start:long,row_start:long,w:long,total:long,slots:array<int>>>>>"
+PHASE = "struct<phase:int,lo:long,hi:long,start:long,row_start:long,w:long,total:long,slots:array<int>>"
+PHASES = f"array<struct<source:string,phases:array<{PHASE}>>>"
+PART = ("phase", "lo", "hi", "start", "row_start", "w", "total", "slots")
 
 
 def period(tickets: list[int]) -> list[int]:
@@ -54,29 +62,71 @@ def plan(rows: list[int], tickets: list[int], block_rows: int = BLOCK_ROWS) -> l
     """For each source its phases: block range, first slot and row of the phase, tickets, slots in a period."""
     left = [-(-r // block_rows) for r in rows]
     done, out = [0] * len(rows), [[] for _ in rows]
+    alike: dict[int, list[int]] = {}  # sources that are left, by tickets
+    for i, n in enumerate(left):
+        if n:
+            alike.setdefault(tickets[i], []).append(i)
+    weights = sorted(alike, reverse=True)
+    total = sum(w * len(own) for w, own in alike.items())
     start = row_start = phase = 0
-    while any(left):
-        live = [i for i, n in enumerate(left) if n]
-        own = [tickets[i] for i in live]
-        total, order = sum(own), period(own)
-        slots: list[list[int]] = [[] for _ in live]
-        for slot, j in enumerate(order):
-            slots[j].append(slot)
-        last = [(left[i] - 1) // w * total + s[(left[i] - 1) % w] for i, w, s in zip(live, own, slots)]
-        length = min(last) + 1
-        ended = live[last.index(min(last))]
-        for i, w, s in zip(live, own, slots):
-            whole, part = divmod(length, total)
-            took = whole * w + sum(x < part for x in s)
+    while total:
+        slots, ended = _served(alike, weights, total, left, tickets)
+        if ended is None:
+            last, ended = min(((left[i] - 1) // tickets[i] * total + s[(left[i] - 1) % tickets[i]], i) for i, s in slots.items())
+        else:
+            last = slots[ended][-1]
+        length = last + 1
+        whole, part = divmod(length, total)
+        for i, s in slots.items():
+            w = tickets[i]
+            took = whole * w + bisect_left(s, part)
             if took:
                 out[i].append({"phase": phase, "lo": done[i], "hi": done[i] + took, "start": start, "row_start": row_start, "w": w, "total": total, "slots": s})
             left[i], done[i] = left[i] - took, done[i] + took
         start += length
         row_start += length * block_rows - (-rows[ended] % block_rows)
         phase += 1
+        own = alike[tickets[ended]]
+        del own[bisect_left(own, ended)]
+        total -= tickets[ended]
     return out
 
 
+def _served(alike: dict[int, list[int]], weights: list[int], total: int, left: list[int], tickets: list[int]) -> tuple[dict[int, list[int]], int | None]:
+    """The slots of each source that is served in one period, up to the first source that runs out, and that source.
+
+    Sources that weren't served yet wait in order behind the first one of
+    their tickets, as their deadlines are equal.
+    """
+    slots: dict[int, list[int]] = {}
+    waiting: list[tuple[int, int, int]] = []  # release, source, block
+    ready: list[tuple[int, int, int]] = []
+    fresh, group = dict.fromkeys(weights, 0), 0
+    for slot in range(total):
+        while waiting and waiting[0][0] <= slot:
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // tickets[i]), i, k))
+        while group < len(weights) and (not ready or -(-total // weights[group]) <= ready[0][0]):
+            w = weights[group]
+            if alike[w]:
+                heapq.heappush(ready, (-(-total // w), alike[w][0], 0))
+            group += 1
+        due, i, k = heapq.heappop(ready)
+        assert due > slot
+        w = tickets[i]
+        if not k:
+            slots[i] = []
+            fresh[w] += 1
+            if fresh[w] < len(alike[w]):
+                heapq.heappush(ready, (due, alike[w][fresh[w]], 0))
+        slots[i].append(slot)
+        if k + 1 == left[i]:
+            return slots, i
+        if k + 1 < w:
+            heapq.heappush(waiting, ((k + 1) * total // w, i, k + 1))
+    return slots, None
+
+
 def default_tickets(rows: list[int]) -> list[int]:
     """Target weights proportional to the square root of a source's rows, as tickets of about ``TICKETS``."""
     scale = sum(math.sqrt(r) for r in rows)
@@ -108,27 +158,37 @@ def mixed(df: DataFrame, tickets: dict[str | None, int] | None = None, source_co
     )
     rows = rows.withColumn("_b", F.expr(f"cast(_h * {buckets} div {PRIME} as int)"))
     counts = rows.groupBy("_s", "_b").agg(F.count("*").alias("_n"))
-    sizes = {r[0]: r[1] for r in counts.groupBy("_s").agg(F.sum("_n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sizes = {r[0]: r[1] for r in counts.groupBy("_s").agg(F.sum("_n")).collect()}
     names = sorted(sizes)
     shares = default_tickets([sizes[s] for s in names]) if tickets is None else [tickets[None if s == "null" else s[1:]] for s in names]
     phases = plan([sizes[s] for s in names], shares, block_rows)
-    text = json.dumps([{"source": s, "phases": p} for s, p in zip(names, phases)])
-    # bounded by MAX_SOURCES phases of at most TICKETS + MAX_SOURCES slots
-    table = spark.range(1).select(F.explode(F.from_json(F.lit(text), PHASES)).alias("_t")).select(F.col("_t.source").alias("_s"), F.col("_t.phases").alias("_p"))
     before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     order = Window.partitionBy("_s", "_b").orderBy("_h", "doc_id", "_tie")
     ranked = rows.join(offsets, ["_s", "_b"]).withColumn("_r", F.col("_off") + F.row_number().over(order) - 1)
-    placed = (
-        ranked.join(F.broadcast(table), "_s")
-        .withColumn("block", F.expr(f"_r div {block_rows}"))
-        .withColumn("_q", F.expr("filter(_p, p -> block >= p.lo and block < p.hi)[0]"))
-        .withColumn("_k", F.expr("block - _q.lo"))
-        .withColumn("_t", F.expr("_k div _q.w * _q.total + _q.slots[cast(_k % _q.w as int)]"))
-        .withColumn("position", F.expr(f"_q.row_start + _t * {block_rows} + _r % {block_rows}"))
-    )
+    ranked = ranked.withColumn("block", F.expr(f"_r div {block_rows}"))
+    slot = "_k div _q.w * _q.total + _q.slots[cast(_k % _q.w as int)]"
+    if len(names) <= BROADCAST_SOURCES:
+        text = json.dumps([{"source": s, "phases": p} for s, p in zip(names, phases)])
+        # bounded by BROADCAST_SOURCES phases of at most TICKETS + BROADCAST_SOURCES slots
+        table = spark.range(1).select(F.explode(F.from_json(F.lit(text), PHASES)).alias("_t")).select(F.col("_t.source").alias("_s"), F.col("_t.phases").alias("_p"))
+        placed = (
+            ranked.join(F.broadcast(table), "_s")
+            .withColumn("_q", F.expr("filter(_p, p -> block >= p.lo and block < p.hi)[0]"))
+            .withColumn("_k", F.expr("block - _q.lo"))
+            .withColumn("_t", F.expr(slot))
+        )
+    else:
+        parts = [(s, tuple(p[k] for k in PART)) for s, own in zip(names, phases) for p in own]
+        table = (
+            spark.createDataFrame(parts, f"_s string, _q {PHASE}")
+            .withColumn("block", F.expr("explode(sequence(_q.lo, _q.hi - 1))"))
+            .withColumn("_k", F.expr("block - _q.lo"))
+            .withColumn("_t", F.expr(slot))
+            .withColumn("_q", F.expr("named_struct('phase', _q.phase, 'start', _q.start, 'row_start', _q.row_start, 'w', _q.w, 'total', _q.total)"))
+        )
+        placed = ranked.join(table, ["_s", "block"])
+    placed = placed.withColumn("position", F.expr(f"_q.row_start + _t * {block_rows} + _r % {block_rows}"))
     if keep:
         return placed.select("_row.*", F.col("position").alias("_position"))
     return placed.selectExpr(

@@ -241,6 +241,20 @@ def test_mixed_places_every_row_once(spark):
     assert explicit.count() == len(got)
 
 
+def test_mixed_places_any_number_of_sources(spark, monkeypatch):
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('site', cast(pow(id, 0.8) as int)) as source")
+    n = docs.select("source").distinct().count()
+    assert n > 1000
+    got = mixing.mixed(docs).toPandas().sort_values("position", ignore_index=True)
+    assert got.position.tolist() == list(range(9000)) and got.doc_id.nunique() == 9000 and got.source.nunique() == n
+    assert ((got.release <= got.slot) & (got.slot < got.deadline)).all()
+    few = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = mixing.mixed(few, block_rows=4).toPandas().sort_values("position", ignore_index=True)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert mixing.mixed(few, block_rows=4).toPandas().sort_values("position", ignore_index=True).equals(want)
+    assert mixing.in_mixed_order(few, block_rows=4).select("doc_id").toPandas().doc_id.tolist() == want.doc_id.tolist()
+
+
 # Sharding.
 
 
