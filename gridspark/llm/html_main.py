@@ -35,6 +35,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noscript template iframe noembed".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 SILENT = frozenset("head script style noscript template iframe svg math object select option datalist button textarea title".split())
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "option": ("select",), "p": ("div", "article", "section", "main", "td", "th", "li", "body", "aside", "footer", "header", "nav", "form", "blockquote")}
@@ -99,6 +100,8 @@ def parse(markup: str) -> Page:
     quoted = True
 
     def text(raw: str) -> None:
+        if open_tags["head"] and raw.strip(" \t\n\r\f"):
+            end_head()
         if raw and not silent:
             page.runs.append((top_node(), block, references.unescape(raw) if "&" in raw else raw))
 
@@ -114,6 +117,10 @@ def parse(markup: str) -> Page:
             if name not in INLINE:
                 block += 1
 
+    def end_head() -> None:
+        """An open head ends where the body begins: at its tag, at any tag or text that a head can't hold."""
+        pop_to(next(depth for depth, (_, name) in enumerate(stack) if name == "head"))
+
     while True:
         start = START.search(markup, at)
         if not start:
@@ -140,6 +147,11 @@ def parse(markup: str) -> Page:
                     pop_to(depth)
                     break
             continue
+        if open_tags["head"]:
+            if name == "head":
+                continue
+            if name not in HEAD:
+                end_head()
         if name in VOID:
             if name in ("br", "hr"):
                 block += 1

@@ -189,3 +189,18 @@ def test_shared_and_doubled_values_take_linear_time():
     doubled = "".join(f"b{i + 1}=b{i}+b{i}\n" for i in range(n // 10)) + "token=b1"
     for t in ("token=x+" * (n // 8), "a=a+a\n" * (n // 6), doubled, "token=a+token\n" * (n // 14), "token" * (n // 5) + ":" * n, "token=" * (n // 6) + "+ " * n, "auth_key='" + "ab1" * n + "'", '="\\' * n):
         secrets.find(t)
+
+
+def test_head_without_end_tag():
+    def read(markup):
+        page = html_main.parse(markup)
+        return html_main.joined(page, [True] * len(page.nodes))
+
+    head = "<!DOCTYPE html><html><head><meta charset=utf-8><title>T</title><script>var a = '<p>'</script><link rel=x href=y>\n"
+    body = "<article><h1>A</h1><p>one two</p></article>"
+    for begin in ("<body>", "<body class=x>", "", "</head><body>", "<head><body>"):
+        assert read(f"<!DOCTYPE html>{head}{begin}{body}") == "A one two", begin
+    assert read(f"{head}plain <b>bold</b>{body}") == "plain bold A one two"
+    assert read(f"{head}<img src=x>first{body}</body></html>") == "first A one two"
+    assert read("<head><title>T</title><style>p {}</style>") == ""
+    assert len(html_main.parse(head + body).nodes) == len(html_main.parse(head + "</head>" + body).nodes)
