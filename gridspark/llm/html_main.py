@@ -72,6 +72,7 @@ class Node:
     groups: tuple[int, ...]
     children: list[int] = field(default_factory=list)
     block: bool = True
+    place: int = 0  # among the children of the parent
 
 
 @dataclass
@@ -176,7 +177,7 @@ def parse(markup: str) -> Page:
             block += 1
         if not inline or groups or name == "a":
             parent = top_node()
-            nodes.append(Node(name, parent, len(stack), groups, block=not inline))
+            nodes.append(Node(name, parent, len(stack), groups, block=not inline, place=len(nodes[parent].children)))
             nodes[parent].children.append(len(nodes) - 1)
             stack.append((len(nodes) - 1, name))
         else:
@@ -219,6 +220,7 @@ def features(page: Page) -> np.ndarray:
         if start[k] >= 0 and (start[up] < 0 or start[k] < start[up]):
             start[up] = start[k]
     inherited = [0] * n
+    kinds: dict[int, Counter[str]] = {}
     rows = []
     log = math.log1p
     for k, node in enumerate(nodes):
@@ -230,10 +232,12 @@ def features(page: Page) -> np.ndarray:
         inherited[k] = above | mask | {"nav": 1, "header": 2, "footer": 4, "aside": 8, "form": 256, "article": 512, "main": 512}.get(node.tag, 0)
         if node.parent >= 0:
             kin = up.children
-            j = kin.index(k) if len(kin) < 64 else min(63, k - kin[0])
+            j = node.place
+            if node.parent not in kinds:
+                kinds[node.parent] = Counter(nodes[x].tag for x in kin)
             before = size[kin[j - 1]] if 0 < j < len(kin) else 0
             after = size[kin[j + 1]] if j + 1 < len(kin) else 0
-            alike = sum(nodes[x].tag == node.tag for x in kin[:64]) / min(64, len(kin))
+            alike = kinds[node.parent][node.tag] / len(kin)
             share = size[k] / (size[node.parent] or 1)
             count = len(kin)
         else:

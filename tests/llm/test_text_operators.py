@@ -204,3 +204,14 @@ def test_head_without_end_tag():
     assert read(f"{head}<img src=x>first{body}</body></html>") == "first A one two"
     assert read("<head><title>T</title><style>p {}</style>") == ""
     assert len(html_main.parse(head + body).nodes) == len(html_main.parse(head + "</head>" + body).nodes)
+
+
+def test_sibling_features_of_long_flat_pages():
+    words = [1 + (7 * k) % 23 for k in range(200)]
+    page = html_main.parse("<main>" + "".join(f"<p><a>{'x' * n}</a></p>" if k < 150 else f"<ul>{'x' * n}</ul>" for k, n in enumerate(words)) + "</main>")
+    (core,) = page.nodes[0].children
+    kin = page.nodes[core].children
+    rows = html_main.features(page)[kin]
+    assert rows[:, 8].tolist() == list(range(200))
+    assert np.allclose(rows[:, 10], [0.75] * 150 + [0.25] * 50)
+    assert np.allclose(rows[:, 12], np.log1p([0, *words[:-1]])) and np.allclose(rows[:, 13], np.log1p([*words[1:], 0]))
