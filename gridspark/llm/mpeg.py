@@ -6,9 +6,11 @@ Each frame's side information declares no audio, so its main data is ancillary
 data, which is where the payload lies; the last frame takes the smallest
 bitrate that fits, so the stream has a variable bitrate.
 
-``demux`` trusts nothing: it parses the tags, finds the first header that a
-second valid header follows, resynchronises after junk, verifies every
-frame's CRC-16, and returns payload, exact duration and frame seek offsets.
+``demux`` trusts nothing: it parses the tags (ID3v1, ID3v2.2 to 2.4), finds the
+first header that a second valid header follows, resynchronises after junk,
+verifies every frame's CRC-16, reads Xing, Info and VBRI tables, and returns
+payload, exact duration and frame seek offsets. A frame in sync outranks
+whatever its bytes look like, so a payload may hold tags and headers itself.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from .common import map_slices, texts
 
 UNIT = 192
 
-#: Bitrates in kbit/s and sample rates of MPEG-1 and MPEG-2 Layer III by header index.
-BITRATES = {1: (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), 2: (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
-RATES = {1: (44_100, 48_000, 32_000), 2: (22_050, 24_000, 16_000)}
+#: Bitrates in kbit/s and sample rates of MPEG-1, MPEG-2 and MPEG-2.5 (as 25) Layer III by header index.
+LOW_BITRATES = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
+BITRATES = {1: (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), 2: LOW_BITRATES, 25: LOW_BITRATES}
+RATES = {1: (44_100, 48_000, 32_000), 2: (22_050, 24_000, 16_000), 25: (11_025, 12_000, 8_000)}
 CRC_POLYNOMIAL = 0x8005
 
 HEAD = 4 + 2 + 17  # header, checksum, side information of a mono frame
@@ -57,7 +60,7 @@ def header(raw: bytes) -> Header | None:
     """The meaning of four header bytes, or None where they are no Layer III header."""
     if len(raw) < 4 or raw[0] != 0xFF or raw[1] & 0xE0 != 0xE0:
         return None
-    version = {3: 1, 2: 2}.get(raw[1] >> 3 & 3)
+    version = {3: 1, 2: 2, 0: 25}.get(raw[1] >> 3 & 3)
     bitrate, rate = raw[2] >> 4, raw[2] >> 2 & 3
     if version is None or raw[1] >> 1 & 3 != 1 or bitrate in (0, 15) or rate == 3 or raw[3] & 3 == 2:
         return None
@@ -126,12 +129,15 @@ def mux(payload: bytes, tags: dict[str, str] | None = None) -> bytes:
     toc = (starts[np.arange(100) * len(frames) // 100] * 256 // total).astype(np.uint8).tobytes()
     xing = b"Xing" + (7).to_bytes(4, "big") + len(frames).to_bytes(4, "big") + total.to_bytes(4, "big") + toc
     info = _frame_head(info_index) + xing + bytes(CAPACITY[info_index] - len(xing))
-    return b"".join([_id3({"payload": str(len(payload)), **(tags or {})}), info, *frames])
+    return b"".join([_id3({**(tags or {}), "payload": str(len(payload))}), info, *frames])
 
 
 @dataclass
 class Stream:
-    """What a stream holds. ``offsets``: where each audio frame begins; ``skipped``: bytes of junk."""
+    """What a stream holds. ``offsets``: where each audio frame begins; ``skipped``: bytes of junk.
+
+    ``toc``: the 100 shares of a Xing table; ``entries``: the seek offsets of a VBRI table.
+    """
 
     payload: bytes = b""
     tags: dict[str, str] = field(default_factory=dict)
@@ -143,27 +149,93 @@ class Stream:
     skipped: int = 0
     xing_frames: int | None = None
     xing_bytes: int | None = None
+    quality: int | None = None
     toc: bytes = b""
+    entries: list[int] = field(default_factory=list)
+
+    @property
+    def duration_us(self) -> int:
+        return self.samples * 1_000_000 // max(1, self.rate)
 
     def seek(self, sample: int) -> int:
-        """Offset of the frame that holds a sample."""
+        """Offset of the frame that holds a sample, exactly; 0 for a stream without frames."""
+        if not self.offsets:
+            return 0
         return self.offsets[min(len(self.offsets) - 1, max(0, sample) * len(self.offsets) // max(1, self.samples))]
 
+    def seek_by_table(self, sample: int, length: int) -> int:
+        """Where a player that knows only the Xing table of a stream of ``length`` bytes would start to look."""
+        if len(self.toc) < 100:
+            return self.seek(sample)
+        share = self.toc[min(99, max(0, sample) * 100 // max(1, self.samples))]
+        return share * (self.xing_bytes or length) // 256
+
+
+ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")  # Fixed values: by the first byte of a text frame.
+
+
+def _text(raw: bytes) -> list[str]:
+    """The texts of a text frame, by its encoding byte."""
+    if not raw or raw[0] > 3:
+        return []
+    out = raw[1:].decode(ENCODINGS[raw[0]], "replace").split("\0")
+    return out if out[-1] else out[:-1]
+
+
+def _synched(raw: bytes) -> int:
+    return sum((b & 127) << s for b, s in zip(raw, (21, 14, 7, 0)))
+
 
 def _tags(data: bytes) -> tuple[dict[str, str], int]:
-    """TXXX entries of a leading ID3v2 tag and where it ends."""
-    if data[:3] != b"ID3" or len(data) < 10 or max(data[6:10]) > 127:
+    """Text entries of a leading ID3v2 tag of version 2.2, 2.3 or 2.4, and where the tag ends.
+
+    User texts (TXX, TXXX) go by their description, other text frames by their
+    identifier; an entry that runs over the tag's end is left out.
+    """
+    if data[:3] != b"ID3" or len(data) < 10 or max(data[6:10]) > 127 or data[3] not in (2, 3, 4):
         return {}, 0
-    size = lambda raw: sum((b & 127) << s for b, s in zip(raw, (21, 14, 7, 0)))
-    end, at, out = min(len(data), 10 + size(data[6:10])), 10, {}
-    while at + 10 <= end and data[at : at + 1] != b"\0":
-        kind, n = data[at : at + 4], size(data[at + 4 : at + 8])
-        body = data[at + 10 : min(end, at + 10 + n)]
-        if kind == b"TXXX" and body[:1] == b"\3" and b"\0" in body[1:]:
-            key, value = body[1:].split(b"\0", 1)
-            out[key.decode("utf-8", "replace")] = value.decode("utf-8", "replace")
-        at += 10 + n
-    return out, end
+    major, flags = data[3], data[5]
+    end = min(len(data), 10 + _synched(data[6:10]))
+    body = data[10:end]
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    at = 0
+    if flags & 0x40 and major > 2 and len(body) >= 4:
+        at = _synched(body[:4]) if major == 4 else 4 + int.from_bytes(body[:4], "big")
+    wide, out = (3, 6) if major == 2 else (4, 10), {}
+    while at + wide[1] <= len(body) and body[at : at + 1] != b"\0":
+        kind = body[at : at + wide[0]]
+        raw = body[at + wide[0] : at + 2 * wide[0]]
+        n = _synched(raw) if major == 4 else int.from_bytes(raw, "big")
+        own = body[at + wide[1] : at + wide[1] + n]
+        coded = body[at + 9] if major > 2 else 0
+        if major == 4 and (flags & 0x80 or coded & 2):
+            own = own.replace(b"\xff\0", b"\xff")
+        if major == 4 and coded & 1:
+            own = own[4:]
+        if kind[:1] == b"T" and len(own) and at + wide[1] + n <= len(body):
+            texts = _text(own)
+            if kind in (b"TXX", b"TXXX"):
+                if texts:
+                    out[texts[0]] = "\0".join(texts[1:])
+            else:
+                out[kind.decode("latin-1")] = "\0".join(texts)
+        at += wide[1] + n
+    return out, min(len(data), end + (10 if major == 4 and flags & 0x10 else 0))
+
+
+#: The fields of an ID3v1 tag behind its mark, by width.
+ID3V1 = (("title", 30), ("artist", 30), ("album", 30), ("year", 4), ("comment", 30))
+
+
+def _last_tag(raw: bytes) -> dict[str, str]:
+    out, at = {}, 3
+    for key, width in ID3V1:
+        value = raw[at : at + width].split(b"\0")[0].decode("latin-1").rstrip()
+        at += width
+        if value:
+            out[key] = value
+    return out
 
 
 def demux(data: bytes) -> Stream:
@@ -171,30 +243,34 @@ def demux(data: bytes) -> Stream:
     out = Stream()
     out.tags, at = _tags(data)
     n = len(data)
-    if n >= 128 and data[n - 128 : n - 125] == b"TAG":
-        n -= 128
+    tag = n - 128 if n >= 128 and data[n - 128 : n - 125] == b"TAG" else n  # a tag only where no frame covers it
     found: list[tuple[int, Header]] = []
-    while at + 4 <= n:
+    while at + 4 <= n and at != tag:
         h = header(data[at : at + 4])
-        fits = h is not None and h.length > 4 + 2 * h.crc + h.side and at + h.length <= n
+        fits = h is not None and h.length >= 4 + 2 * h.crc + h.side and at + h.length <= n
         if fits:
             follow = at + h.length
-            fits = follow == n or header(data[follow : follow + 4]) is not None or _sound(data, at, h)
+            fits = follow in (n, tag) or header(data[follow : follow + 4]) is not None or _sound(data, at, h)
         if fits:
             found.append((at, h))
             at += h.length
             continue
         ahead = data.find(b"\xff", at + 1)
-        ahead = n if ahead < 0 or ahead > n else ahead
+        ahead = n if ahead < 0 else ahead
+        if at < tag < ahead:
+            ahead = tag
         out.skipped += ahead - at
         at = ahead
-    out.skipped += max(0, n - at) if at < n else 0
+    if at == tag < n:
+        out.tags = _last_tag(data[tag:]) | out.tags
+        at = n
+    out.skipped += max(0, n - at)
     good = _checked(data, found, out)
     bodies, first = [], True
     for (start, h), ok in zip(found, good):
         body = start + 4 + 2 * h.crc + h.side
-        if first and data[body : body + 4] in (b"Xing", b"Info"):
-            _table(data[body : start + h.length], out)
+        if first and (data[body : body + 4] in (b"Xing", b"Info") or data[start + 36 : start + 40] == b"VBRI"):
+            _table(data, start, body, start + h.length, out)
             first = False
             continue
         first = False
@@ -204,8 +280,9 @@ def demux(data: bytes) -> Stream:
         if ok:
             bodies.append(data[body : start + h.length])
     out.payload = b"".join(bodies)
-    if out.tags.get("payload", "").isdigit():
-        out.payload = out.payload[: int(out.tags["payload"])]
+    size = out.tags.get("payload", "")
+    if size.isascii() and size.isdigit():
+        out.payload = out.payload[: int(size)]
     return out
 
 
@@ -232,24 +309,44 @@ def _checked(data: bytes, found: list[tuple[int, Header]], out: Stream) -> list[
     return good
 
 
-def _table(body: bytes, out: Stream) -> None:
-    flags, at = int.from_bytes(body[4:8], "big"), 8
-    if flags & 1:
-        out.xing_frames, at = int.from_bytes(body[at : at + 4], "big"), at + 4
-    if flags & 2:
-        out.xing_bytes, at = int.from_bytes(body[at : at + 4], "big"), at + 4
-    if flags & 4:
-        out.toc = body[at : at + 100]
+def _table(data: bytes, start: int, body: int, end: int, out: Stream) -> None:
+    """The Xing or VBRI table of the frame at ``start``; a table that runs over the frame's end is read as far as it goes."""
+    number = lambda at, width: int.from_bytes(data[at : min(end, at + width)], "big")
+    if data[body : body + 4] in (b"Xing", b"Info"):
+        flags, at = number(body + 4, 4), body + 8
+        if flags & 1:
+            out.xing_frames, at = number(at, 4), at + 4
+        if flags & 2:
+            out.xing_bytes, at = number(at, 4), at + 4
+        if flags & 4:
+            out.toc, at = data[at : min(end, at + 100)], at + 100
+        if flags & 8:
+            out.quality = number(at, 4)
+        return
+    at = start + 36
+    out.quality, out.xing_bytes, out.xing_frames = number(at + 8, 2), number(at + 10, 4), number(at + 14, 4)
+    count, scale, width = number(at + 18, 2), number(at + 20, 2), number(at + 22, 2)
+    place = end
+    for k in range(count):
+        entry = at + 26 + k * width
+        if not width or entry + width > end:
+            break
+        place += number(entry, width) * scale
+        out.entries.append(place)
 
 
 def feature(s: Stream) -> str:
     """Rate, frames, exact duration as samples and microseconds, checksum counts, digests of the seek table and offsets."""
     offsets = zlib.crc32(np.array(s.offsets, "<u8").tobytes())
-    return f"mp3 rate={s.rate} frames={len(s.offsets)} samples={s.samples} us={s.samples * 1_000_000 // max(1, s.rate)} crc={s.checksums - s.bad_checksums}/{s.checksums} toc={zlib.crc32(s.toc):08x} seek={offsets:08x}"
+    return f"mp3 rate={s.rate} frames={len(s.offsets)} samples={s.samples} us={s.duration_us} crc={s.checksums - s.bad_checksums}/{s.checksums} toc={zlib.crc32(s.toc):08x} seek={offsets:08x}"
 
 
 def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the text's payload as a media column: media, n_samples, rate, seek_offsets."""
+    """doc_id and the text's payload as a media column: media, n_samples, rate, seek_offsets.
+
+    A null or empty text is a payload of 192 blanks; repeated rows each give
+    a row; an empty table gives none; other columns are ignored.
+    """
 
     def make():
         def fn(keys, docs):
@@ -263,7 +360,7 @@ def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a text, from the stored stream read back: sizes, digests and features.
+    """One row a text, from the stored stream read back: sizes, digests, features and the frames' offsets, comma-joined.
 
     A null or empty text is a payload of 192 blanks. Equal texts give equal
     values; repeated rows each give a row; an empty table gives none; other
@@ -274,18 +371,18 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         sha = hashlib.sha256
 
         def fn(keys, docs):
-            names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_us")
+            names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_us", "seek_offsets")
             out = {"doc_id": keys, **{k: [] for k in names}}
             for t in docs:
                 raw = t.encode()
                 media = mux(padded(raw))
                 s = demux(media)
-                row = (len(raw), len(s.payload), sha(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(media), sha(media).hexdigest(), feature(s), len(s.offsets), s.samples * 1_000_000 // s.rate)
+                row = (len(raw), len(s.payload), sha(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(media), sha(media).hexdigest(), feature(s), len(s.offsets), s.duration_us, ",".join(map(str, s.offsets)))
                 for k, v in zip(names, row):
                     out[k].append(v)
             return out
 
         return fn
 
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_us long"
+    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_us long, seek_offsets string"
     return map_slices(texts(df, id_col, text_col), make, ddl, rows=128)
