@@ -108,6 +108,12 @@ def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     return hashed.orderBy(own, key).limit(bound).drop(own)
 
 
+def row_hash(df: DataFrame) -> F.Column:
+    """A hash of all columns but maps, and of which are null, as a hash of values alone passes nulls over."""
+    own = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*own, *(c.isNull() for c in own))
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}
