@@ -14,7 +14,8 @@ the chain budgets before the full Hamming check.
 
 Only distinct fingerprints are searched, and a bucket gives the edges of
 stars that span its links, never all its pairs; a bucket of more than
-``BLOCK`` fingerprints is dealt out as pairs of blocks to further tasks.
+``BLOCK`` fingerprints is dealt out as pairs of blocks to further tasks, which
+sends each of its n fingerprints out n / ``BLOCK`` times.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, fresh, map_slices, texts, written
+from .common import arrow_schema, fresh, map_slices, row_hash, spread, texts, written
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -123,33 +124,27 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for other in range(n):
                 yield x, None, key, min(block, other), max(block, other)
 
+    def buckets() -> Iterator[tuple[int, np.ndarray]]:
+        """Each key with its fingerprints, joined once, however many batches they came in."""
+        open_key, pieces = None, []
+        for b in batches:
+            keys, fps = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)].tolist() if len(keys) else [0]
+            for s, e in zip(cuts, cuts[1:]):
+                if keys[s] != open_key:
+                    if sum(map(len, pieces)) > 1:
+                        yield open_key, np.concatenate(pieces)
+                    open_key, pieces = int(keys[s]), []
+                pieces.append(fps[s:e].view(np.uint64))
+        if sum(map(len, pieces)) > 1:
+            yield open_key, np.concatenate(pieces)
+
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PAIRS)], schema=PAIRS)
 
     out: list[tuple] = []
-    rest_k, rest_f = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def runs(keys, fps, last: bool):
-        cut = len(keys) if last or not len(keys) else int(np.searchsorted(keys, keys[-1]))
-        ends = np.flatnonzero(np.diff(keys[:cut])) + 1
-        starts, ends = np.r_[0, ends], np.r_[ends, cut]
-        wide = (ends - starts) > 1
-        return zip(starts[wide].tolist(), ends[wide].tolist()), cut
-
-    for b in batches:
-        keys = np.r_[rest_k, b.column(0).to_numpy()]
-        fps = np.r_[rest_f, b.column(1).to_numpy()]
-        spans, cut = runs(keys, fps, False)
-        for s, e in spans:
-            for row in bucket(int(keys[s]), fps[s:e].view(np.uint64)):
-                out.append(row)
-                if len(out) >= 10_000:
-                    yield batch(out)
-                    out = []
-        rest_k, rest_f = keys[cut:], fps[cut:]
-    spans, _ = runs(rest_k, rest_f, True)
-    for s, e in spans:
-        for row in bucket(int(rest_k[s]), rest_f[s:e].view(np.uint64)):
+    for key, fps in buckets():
+        for row in bucket(key, fps):
             out.append(row)
             if len(out) >= 10_000:
                 yield batch(out)
@@ -176,6 +171,21 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     return found.where("v is not null").select("u", "v").unionByName(more)
 
 
+def _component_ids(classes: DataFrame, first: str) -> DataFrame:
+    """(fp, ``first``), one row a fingerprint → (fp, least ``first`` of all fingerprints linked to it).
+
+    Most fingerprints link to no other and need no join by root; those that do
+    are joined to their root's least value by root and a part of the root, so
+    that a component of any size is spread.
+    """
+    found = components(links(classes.select("fp")))
+    parts = 64
+    held = found.withColumnRenamed("node", "fp").join(classes, "fp").withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(parts)).cast("int"))
+    least = held.groupBy("root").agg(F.min(first).alias("least"), F.collect_set("part").alias("part")).select("root", "least", F.explode("part").alias("part"))
+    named = held.join(least, ["root", "part"]).select("fp", "least")
+    return classes.join(named, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col(first)).otherwise(F.col("least")).alias("least"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -187,20 +197,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     fps = written(fingerprints(df, id_col, text_col), "fp")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fpclass")
-    found = components(links(classes.select("fp")))
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(_component_ids(classes, "first_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id names their component; of rows that repeat that id, one stays.
+    """Of each component of fingerprints the one row that comes first by id (null last), then by a hash of the row.
 
-    Rows without an id can't be named and all stay. All columns are kept as they are.
+    Only rows whose fingerprints link are dropped: rows that share an id but
+    no link all stay. Rows equal in every column are one row. All columns are
+    kept as they are; an empty table gives no rows.
     """
-    groups = near_duplicates(df.where(F.col(id_col).isNotNull()), id_col, text_col)
-    own = fresh(df, "_keep_id")
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias(own))
-    kept = df.join(keep, F.col(id_col) == F.col(own), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+
+    def make():
+        def fn(ids, docs, hashes):
+            fps = [fingerprint(t) for t in docs]
+            return {"doc_id": ids, "fp": [x - (1 << 64) if x >> 63 else x for x in fps], "tie": hashes}
+
+        return fn
+
+    slim = spread(df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), row_hash(df).alias("tie")))
+    fps = map_slices(slim, make, "doc_id long, fp long, tie long")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("tie"))).alias("first")
+    classes = written(fps.groupBy("fp").agg(first), "fpclass")
+    keep = _component_ids(classes, "first").select("least.doc_id", "least.tie").distinct()
+    own = [fresh(df, x) for x in ("_own_id", "_own_null", "_own_tie")]
+    kept = [fresh(df, x) for x in ("_kept_id", "_kept_null", "_kept_tie")]
+    named = lambda key, tie, names: [F.coalesce(key, F.lit(0)).alias(names[0]), key.isNull().alias(names[1]), tie.alias(names[2])]
+    marked = df.select("*", *named(F.col(f"`{id_col}`").cast("long"), row_hash(df), own))
+    keep = keep.select(*named(F.col("doc_id"), F.col("tie"), kept))
+    same = [F.col(a) == F.col(b) for a, b in zip(own, kept)]
+    return marked.join(keep, same, "left_semi").dropDuplicates(own).drop(*own)
