@@ -27,6 +27,9 @@ from bisect import bisect_left
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
+
+from .common import fresh, row_hash
 
 BLOCK_ROWS = 32
 TICKETS = 1024
@@ -133,21 +136,24 @@ def default_tickets(rows: list[int]) -> list[int]:
     return [max(1, math.floor(TICKETS * math.sqrt(r) / scale + 0.5)) for r in rows]
 
 
-def mixed(df: DataFrame, tickets: dict[str | None, int] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, keep: bool = False) -> DataFrame:
+def mixed(df: DataFrame, tickets: dict[str | None, int] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, keep: bool = False, position: str = "_position") -> DataFrame:
     """Place every row in the interleaved order.
 
     Returns doc_id, source, phase, block (of the source), slot, release,
     deadline, position (from 0, gapless); with ``keep`` all columns of ``df``
-    and ``_position``. ``tickets`` maps each source to its target weight;
+    and the position as ``_position``. ``tickets`` maps each source to its target weight;
     without it :func:`default_tickets` holds. Null sources are a source of
     their own. Rows inside a source are ordered by a multiplicative hash of
-    the id (null as 0), then by id, then by a hash of the row; rows equal in
-    all columns are interchangeable. An empty table gives no rows; a single
-    source keeps its own order.
+    the id (of the row's numbers, dates and flags where the id is null), then
+    by id, then by a hash of the row; rows equal in all columns are interchangeable. Any other column
+    may have any name; ``keep`` needs ``_position`` to be free, and
+    ``position`` names another. An empty table gives no rows; a single source
+    keeps its own order.
     """
     spark = df.sparkSession
     name = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
-    at = F.coalesce(F.col(id_col).cast("long"), F.lit(0))
+    light = [f"`{f.name}`" for f in df.schema if isinstance(f.dataType, (NumericType, BooleanType, DateType, TimestampType))]  # texts needn't be read
+    at = F.coalesce(F.col(id_col).cast("long"), row_hash(df.select(*light)) if light else F.lit(0))
     spread = F.pmod(F.pmod(at, F.lit(PRIME)) * F.lit(STEP) + F.lit(SHIFT), F.lit(PRIME))
     n = df.count()
     buckets = min(MAX_BUCKETS, max(1, -(-n // ROWS_PER_BUCKET) * 4))
@@ -190,7 +196,7 @@ def mixed(df: DataFrame, tickets: dict[str | None, int] | None = None, source_co
         placed = ranked.join(table, ["_s", "block"])
     placed = placed.withColumn("position", F.expr(f"_q.row_start + _t * {block_rows} + _r % {block_rows}"))
     if keep:
-        return placed.select("_row.*", F.col("position").alias("_position"))
+        return placed.select("_row.*", F.col("position").alias(position))
     return placed.selectExpr(
         "doc_id", "source", "_q.phase as phase", "block", "_q.start + _t as slot",
         "_q.start + _k * _q.total div _q.w as release", "_q.start + ((_k + 1) * _q.total + _q.w - 1) div _q.w as deadline", "position",
@@ -199,10 +205,11 @@ def mixed(df: DataFrame, tickets: dict[str | None, int] | None = None, source_co
 
 def in_mixed_order(df: DataFrame, rows_per_file: int = 8192, **how) -> DataFrame:
     """The rows of ``df`` dealt into partitions by position and sorted, so that files follow the mix."""
-    placed = mixed(df, keep=True, **how)
+    own = fresh(df, "_position")
+    placed = mixed(df, keep=True, position=own, **how)
     files = max(1, -(-df.count() // rows_per_file))
-    dealt = placed.repartitionById(files, F.expr(f"cast(_position div {rows_per_file} as int)"))
-    return dealt.sortWithinPartitions("_position").drop("_position")
+    dealt = placed.repartitionById(files, F.expr(f"cast({own} div {rows_per_file} as int)"))
+    return dealt.sortWithinPartitions(own).drop(own)
 
 
 ORACLE = f"""

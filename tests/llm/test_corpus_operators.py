@@ -1,5 +1,6 @@
 """Near-duplicates, quality, mixing, sharding, toxicity and the pipeline against plain versions; odd inputs for all."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -332,3 +333,106 @@ def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert {f"op{n}_" for n in range(1, 11)} <= {n.split("_")[0] + "_" for n in names} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+# Inputs that lost or corrupted data once.
+
+
+def test_shards_keep_large_ids_beside_nulls(spark, tmp_path):
+    rows = [(2**60 + 1, "a"), (2**60 + 3, "b"), (None, "c"), (None, None), (-(2**63), "d"), (2**63 - 1, "e")] + [(7, "same")] * 500 + [(None, "copy")] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.sharded(df).collect()
+    plain = lambda i, t: (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter(plain(*r) for r in rows)
+    assert sorted(r.slot * 8 + r.shard for r in got) == list(range(len(rows)))
+    sharding.write_shards(df, f"{tmp_path}/ids")
+    back = spark.read.parquet(f"{tmp_path}/ids").collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter(rows)
+    assert sorted(r.slot * 8 + r.shard for r in back) == list(range(len(rows)))
+    sharding.write_shards(df.limit(0), f"{tmp_path}/none")
+    assert spark.read.schema("doc_id long, text string").parquet(f"{tmp_path}/none").count() == 0
+
+
+def test_shards_equal_a_plain_two_pass_shuffle(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    n = sharding.bucket_count(1000, sum(len(t.encode()) + 1 for t in docs.toPandas().text))
+    keyed = docs.selectExpr("doc_id", "text", f"xxhash64({sharding.SEED}, doc_id, crc32(cast(text as binary)), cast(octet_length(text) + 1 as long), 0L) as k").toPandas()
+    buckets, order = {}, []
+    for r in keyed.sort_values("k").itertuples():
+        buckets.setdefault(r.k % n, []).append(r.doc_id)
+    for b in sorted(buckets):
+        own, rng = buckets[b], np.random.Generator(np.random.PCG64(sharding.SEED + b))
+        places = list(range(len(own)))
+        swaps = rng.integers(0, np.arange(len(own), 1, -1)).tolist() if len(own) > 1 else []
+        for i, j in zip(range(len(own) - 1, 0, -1), swaps):
+            places[i], places[j] = places[j], places[i]
+        laid = [None] * len(own)
+        for x, p in zip(own, places):
+            laid[p] = x
+        order += laid
+    got = {r.slot * 8 + r.shard: r.doc_id for r in sharding.sharded(docs).collect()}
+    assert [got[p] for p in range(1000)] == order
+
+
+def test_near_duplicates_with_repeated_and_missing_ids(spark):
+    one, two = "the first text of an id that repeats here", "nothing at all like the other one, really"
+    rows = [(1, one, None), (1, two, None), (2, two, "x"), (None, one, None), (None, "alone without any id", None), (None, "alone without any id", None), (9, None, "x"), (9, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _kept_id string")
+    for _ in range(2):
+        kept = sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(df).collect()), key=str)
+        assert kept == sorted([(1, one), (1, two), (None, "alone without any id"), (9, None), (9, "x")], key=str)
+        df = df.repartition(5)
+
+
+def test_mixing_takes_any_column_name_and_null_ids(spark):
+    docs = spark.createDataFrame([(k if k % 3 else None, "ab"[k % 2], k, f"t{k}") for k in range(400)], "doc_id long, source string, _position long, text string")
+    got = mixing.in_mixed_order(docs, block_rows=4)
+    assert got.columns == docs.columns and sorted(r._position for r in got.collect()) == list(range(400))
+    assert sorted(r.position for r in mixing.mixed(docs, block_rows=4).collect()) == list(range(400))
+
+
+def test_hubs_are_split_in_components(spark):
+    rows = [(0, k) for k in range(1, 3000)] + [(k, k + 10_000) for k in range(1, 3000)]
+    got = components.components(spark.createDataFrame(rows, "u long, v long")).collect()
+    assert len(got) == 1 + 2 * 2999 and {r.root for r in got} == {0}
+
+
+def test_media_digests_equal_plain_hashing(spark):
+    texts = [("y" * at + "TAG" + "y" * 400)[:n] for n in (192, 384, 960, 7680) for at in (0, 64, 89, 256, 832, 7552)]
+    texts += ["", "ID3" * 70, "Xing" + "z" * 188, "Info", "VBRI" * 300, "é" * 96, "a" * 191, "a" * 193]
+    odd_texts = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, None)], "doc_id long, text string")
+    for df in (odd_texts, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")):
+        source = {r.doc_id: (r.text or "").encode() for r in df.collect()}
+        got = mpeg.digests(df).collect()
+        assert len(got) == len(source)
+        for r in got:
+            raw = source[r.doc_id]
+            want = raw + b" " * ((192 - len(raw) % 192) % 192 if raw else 192)
+            assert (r.n_bytes, r.payload_bytes) == (len(raw), len(want))
+            assert r.payload_sha256 == hashlib.sha256(want).hexdigest() and r.tail_crc32 == zlib.crc32(want[-16:])
+            assert len(r.seek_offsets.split(",")) == r.n_frames and r.duration_us == r.n_frames * 1152 * 1_000_000 // 48_000
+
+
+def test_media_column_is_read_by_a_plain_parser(spark):
+    df = spark.createDataFrame([(1, "TAG" * 900), (2, None), (3, "x" * 5000)], "doc_id long, text string")
+    for r in mpeg.stored(df).collect():
+        data, at, offsets, payload = r.media, 10 + sum((b & 127) << s for b, s in zip(r.media[6:10], (21, 14, 7, 0))), [], b""
+        while at < len(data):  # every header in place, none searched for
+            assert data[at] == 255 and data[at + 1] == 0xFA and data[at + 2] & 12 == 4
+            kbit = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)[data[at + 2] >> 4]
+            offsets.append(at)
+            payload += data[at + 23 : at + 3 * kbit] if len(offsets) > 1 else b""
+            at += 3 * kbit
+        assert at == len(data) and offsets[1:] == r.seek_offsets and r.n_samples == 1152 * len(r.seek_offsets)
+        assert mpeg.demux(data).payload == payload[: len(mpeg.demux(data).payload)]
+    assert mpeg.stored(df.limit(0)).count() == 0
+
+
+def test_text_writers_take_no_rows_and_nulls(spark):
+    df = spark.createDataFrame([(None, None, None), (1, "a.b@c.de", 8)], "doc_id long, text string, n_chars int")
+    assert [tuple(r) for r in pii.redact(df).collect()] == [(None, None, None), (1, "<EMAIL>", 7)]
+    model = toxicity.Model(np.zeros(28**3, np.int64), {}, -3.0)
+    assert toxicity.without_toxic(df, model).count() == 2
+    assert bpe.encoded(df).count() == 2
+    for run in (pii.redact, bpe.encoded, lambda d: toxicity.without_toxic(d, model), simhash.drop_near_duplicates):
+        assert run(df.limit(0)).count() == 0
