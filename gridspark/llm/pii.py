@@ -39,8 +39,7 @@ USERINFO = ALNUM | frozenset("-._~!$&'()*+,;=%:")
 IBAN_CUES = ("IBAN", "Iban", "iban")
 SSN_CUES = ("SSN", "ssn", "Social Security", "social security")
 STREET_CUES = (" Street", " Avenue", " Road", " Boulevard", " Lane", " Drive", " Square", " Court", " St.", " Ave.", " Rd.", " Blvd.", " Ln.", " Dr.")
-#: Longest reach of a cue, in code points: an identifier begins within it.
-REACH = 24
+LINE_ENDS = frozenset("\n\r")
 #: The lengths of an IBAN.
 IBAN_LENGTHS = (15, 34)
 
@@ -72,10 +71,11 @@ def automaton():
     return out
 
 
-# Parsers: (text, anchor's start, anchor's end, end of the kind's last match) → (start, end, valid) or None.
+# Parsers: (text, anchor's start, anchor's end, end of the kind's last match, notes of the text) → (start, end, valid) or None.
+# Notes hold how far a kind's walk got, so that no stretch of a text is walked twice.
 
 
-def _email(t: str, a: int, b: int, floor: int):
+def _email(t: str, a: int, b: int, floor: int, notes: dict):
     s = a
     while s > floor and t[s - 1] in LOCAL:
         s -= 1
@@ -97,7 +97,7 @@ def _email(t: str, a: int, b: int, floor: int):
     return (s, e, True) if labels > 1 else None
 
 
-def _ip(t: str, a: int, b: int, floor: int):
+def _ip(t: str, a: int, b: int, floor: int, notes: dict):
     s = a
     while s > floor and t[s - 1] in DIGITS:
         s -= 1
@@ -118,7 +118,7 @@ def _ip(t: str, a: int, b: int, floor: int):
     return s, e, all(len(p) < 4 and int(p or 0) <= 255 for p in parts)
 
 
-def _card(t: str, a: int, b: int, floor: int):
+def _card(t: str, a: int, b: int, floor: int, notes: dict):
     s, n = a, len(t)
     while s > floor:
         if t[s - 1] in DIGITS:
@@ -139,7 +139,7 @@ def _card(t: str, a: int, b: int, floor: int):
     return s, e, 14 <= len(digits) <= 19 and luhn(digits)
 
 
-def _phone(t: str, a: int, b: int, floor: int):
+def _phone(t: str, a: int, b: int, floor: int, notes: dict):
     n, e = len(t), b
     while e < n and t[e] in PHONE:
         e += 1
@@ -150,10 +150,25 @@ def _phone(t: str, a: int, b: int, floor: int):
     return a, e, 10 <= sum(c in DIGITS for c in t[a:e]) <= 15
 
 
-def _iban(t: str, a: int, b: int, floor: int):
-    n, s = len(t), b
-    while s < min(n, b + REACH) and t[s] in " :#.-\t":
+def _along(t: str, b: int, notes: dict, kind: str, begins) -> int:
+    """The first place from ``b`` on in the same line where ``begins`` holds, or the end of the line."""
+    if kind in notes and notes[kind][0] <= b <= notes[kind][1]:
+        return notes[kind][1]
+    s, n = b, len(t)
+    while s < n and t[s] not in LINE_ENDS and not begins(t, s):
         s += 1
+    notes[kind] = b, s
+    return s
+
+
+def _iban_begins(t: str, s: int) -> bool:
+    return t[s].isupper() and t[s : s + 2].isascii() and t[s : s + 2].isalpha() and t[s + 2 : s + 4].isdigit() and t[s - 1] not in ALNUM
+
+
+def _iban(t: str, a: int, b: int, floor: int, notes: dict):
+    """The first identifier that begins in the cue's line."""
+    n = len(t)
+    s = _along(t, max(b, floor), notes, "iban", _iban_begins)
     e, raw, held = s, "", s
     while e < n and len(raw) < IBAN_LENGTHS[1]:
         if t[e] in ALNUM:
@@ -170,10 +185,14 @@ def _iban(t: str, a: int, b: int, floor: int):
     return (s, held, True) if held > s else None
 
 
-def _ssn(t: str, a: int, b: int, floor: int):
-    n, s = len(t), b
-    while s < min(n, b + REACH) and t[s] not in DIGITS:
-        s += 1
+def _digit_begins(t: str, s: int) -> bool:
+    return t[s] in DIGITS
+
+
+def _ssn(t: str, a: int, b: int, floor: int, notes: dict):
+    """The number that the first digit behind the cue in its line begins."""
+    n = len(t)
+    s = _along(t, max(b, floor), notes, "ssn", _digit_begins)
     part = t[s : s + 11]
     if len(part) < 11 or part[3] not in " -" or part[6] != part[3] or (s + 11 < n and t[s + 11] in DIGITS):
         return None
@@ -183,27 +202,29 @@ def _ssn(t: str, a: int, b: int, floor: int):
     return s, s + 11, True
 
 
-def _address(t: str, a: int, b: int, floor: int):
+def _address(t: str, a: int, b: int, floor: int, notes: dict):
+    """Capitalised words to the left, as many as there are, up to a house number."""
     if b < len(t) and t[b] in ALNUM:
         return None
     s = a
-    for _ in range(5):  # up to four capitalised words, then the house number
+    while s != notes.get("address"):  # from there an earlier cue found no number
         w = s
         while w > floor and t[w - 1] in ALNUM:
             w -= 1
         word = t[w:s]
-        if not word:
-            return None
-        if word[0] in DIGITS:
+        if word and word[0] in DIGITS:
             house = word.rstrip(string.ascii_letters)
-            return (w, b, True) if len(word) - len(house) < 2 and house.isdigit() and len(house) < 6 and s < a else None
-        if not word[0].isupper() or w - 1 <= floor or t[w - 1] != " ":
-            return None
+            if len(word) - len(house) < 2 and house.isdigit() and len(house) < 6 and s < a:
+                return w, b, True
+            break
+        if not word or not word[0].isupper() or w - 1 <= floor or t[w - 1] != " ":
+            break
         s = w - 1
+    notes["address"] = a
     return None
 
 
-def _account(t: str, a: int, b: int, floor: int):
+def _account(t: str, a: int, b: int, floor: int, notes: dict):
     s = a
     while s > floor and t[s - 1] in SCHEME:
         s -= 1
@@ -222,14 +243,14 @@ ORDER = {k: i for i, k in enumerate(KINDS)}
 def find(text: str | None) -> list[tuple[int, str, int]]:
     """(start, kind, end) of every span of the whole text, by start, then kind as listed."""
     t = text or ""
-    ends = dict.fromkeys(KINDS, 0)
+    ends, notes = dict.fromkeys(KINDS, 0), {}
     out = []
     for last, (size, kinds) in automaton().iter(t):
         a = last + 1 - size
         for kind in kinds:
             if a < ends[kind]:
                 continue
-            got = PARSERS[kind](t, a, last + 1, ends[kind])
+            got = PARSERS[kind](t, a, last + 1, ends[kind], notes)
             if got:
                 ends[kind] = got[1]
                 if got[2]:
