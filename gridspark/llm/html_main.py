@@ -383,7 +383,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
         page = parse(r[1])
         xs.append(features(page))
         ys += teacher(page)
-        words += [w for _, _, t in page.runs for w in t.split()[:50]]
+        words += [w for _, _, t in page.runs for w in t.split()]
     rng = random.Random(11)
     words = words or ["lorem", "ipsum", "dolor", "sit", "amet"]
     for _ in range(COMPOSED_PAGES):
