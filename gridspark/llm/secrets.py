@@ -2,7 +2,9 @@ r"""Secrets by assignment-aware lexing.
 
 The lexer stops at every ``:`` and ``=`` and reads the assignment around it: a
 name to the left (bare, quoted or the last part of a dotted path), and to the
-right a literal or names and literals joined by ``+``. Names that were
+right a literal (bare, quoted, in triple quotes, or an indented block below
+``|`` or ``>``) or names and literals joined by ``+``. It also stops at every
+``(`` between a name and a quote, where an argument is given to the name. Names that were
 assigned a literal before are constants; a constant that reaches a sensitive
 name makes its literal a finding where it stands. Literals are scored by the
 words of their target name and by their own shape.
@@ -48,7 +50,9 @@ HARMLESS = {"public": -0.6, "id": -0.3, "name": -0.4, "path": -0.5, "file": -0.5
 THRESHOLD = 1.2
 MIN_LITERAL = 8
 
-OPERATOR = re.compile("[:=]")
+OPERATOR = re.compile(r"[:=]|(?<=[A-Za-z0-9_])\((?=[\"'])")
+BLOCK = re.compile(r"[ \t]*+[|>][-+]?[1-9]?[-+]?[ \t]*+\r?\n")
+BLOCK_LINE = re.compile(r"([ \t]*+)[^\r\n]*+(?:\r?\n|\Z)")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -66,17 +70,17 @@ def name_score(name: str) -> float:
 
 
 def literal_score(value: str) -> float:
-    """0 to 1: length, entropy of the characters, and a mix of letters and digits."""
+    """0 to 1: length, entropy of the characters, and a mix of letters and digits; half of that with blanks inside."""
     return _shape_score(Counter(value))
 
 
 def _shape_score(counts: Mapping[str, int]) -> float:
     n = sum(counts.values())
-    if n < MIN_LITERAL or " " in counts:
+    if n < MIN_LITERAL:
         return 0.0
     entropy = -math.fsum(c / n * math.log2(c / n) for c in counts.values())
     mixed = any(c.isdigit() for c in counts) and any(c.isalpha() for c in counts)
-    return min(1.0, entropy / 4.0) * (0.7 + 0.3 * mixed)
+    return min(1.0, entropy / 4.0) * (0.7 + 0.3 * mixed) * (0.5 if " " in counts else 1.0)
 
 
 def _keyword_end(t: str, op: int) -> tuple[int, int] | None:
@@ -120,6 +124,7 @@ class _Assignments:
     def __init__(self, t: str):
         self.t = t
         self.constants: dict[str, _Value] = {}
+        self.line = 0
         self.before, self.target = -1, ("", 0.0)
         self.bare = (0, 0)
         self.bare_starts: dict[int, int] = {}
@@ -152,6 +157,9 @@ class _Assignments:
         if j >= len(t):
             return None
         if t[j] in QUOTES:
+            if t.startswith(t[j] * 3, j):
+                close = t.find(t[j] * 3, j + 3)
+                return (_Value((j + 3, close)), close + 3) if close >= 0 else None
             m = QUOTED[t[j]].match(t, j + 1)
             return (_Value((j + 1, m.end() - 1)), m.end()) if m else None
         if not self.bare[0] <= j < self.bare[1]:
@@ -175,7 +183,10 @@ class _Assignments:
         return self.joins[e]
 
     def value(self, op: int) -> _Value | None:
-        """The terms right of the operator, joined by plus signs."""
+        """The terms right of the operator, joined by plus signs, or the block below it."""
+        block = BLOCK.match(self.t, op + 1) if self.t[op] == ":" else None
+        if block:
+            return self._block(op, block.end())
         first = self._term(op + 1)
         if not first:
             return None
@@ -192,6 +203,23 @@ class _Assignments:
             rest = self.chains[k] = term and (_Value(None, (term, rest)) if rest else term)
         return _Value(None, (head, rest)) if rest else head
 
+    def _block(self, op: int, at: int) -> _Value | None:
+        """The lines from ``at`` on that are blank or indented deeper than the operator's line, without their margins."""
+        t = self.t
+        line = max(t.rfind("\n", self.line, op) + 1, self.line)
+        self.line = line
+        margin = len(BLOCK_LINE.match(t, line)[1])
+        start = end = None
+        while at < len(t):
+            m = BLOCK_LINE.match(t, at)
+            if m[0].strip():
+                if len(m[1]) <= margin:
+                    break
+                start = m.end(1) if start is None else start
+                end = m.start() + len(m[0].rstrip())
+            at = m.end()
+        return _Value((start, end)) if start is not None else None
+
     def _span_counts(self, a: int, e: int) -> Mapping[str, int]:
         start = self.bare_starts.get(e)
         if start is None or e - a <= 4 * STRIDE:
@@ -225,6 +253,17 @@ class _Assignments:
                     v.counts = {c: max(1, n >> 128) for c, n in v.counts.items()}
         return _shape_score(value.counts)
 
+    def argument(self, op: int, pairs: set[tuple[int, int]]) -> None:
+        """A quoted argument without blanks of a sensitive name's call is a finding; it names no constant."""
+        i = op
+        while i > self.before + 1 and self.t[i - 1] in NAME:
+            i -= 1
+        score = name_score(self.t[i:op])
+        if score > 0 and score + 1 >= THRESHOLD:
+            term = self._term(op + 1)
+            if term and term[0].span and " " not in self.t[slice(*term[0].span)] and score + self.score(term[0]) >= THRESHOLD:
+                self.report(term[0], pairs)
+
     def report(self, value: _Value, pairs: set[tuple[int, int]]) -> None:
         todo = [value]
         while todo:
@@ -233,7 +272,7 @@ class _Assignments:
                 continue
             v.reported = True
             todo += v.parts
-            if v.span and v.span[1] - v.span[0] >= 4:
+            if v.span and v.span[1] > v.span[0]:
                 pairs.add(v.span)
 
 
@@ -244,6 +283,9 @@ def find(text: str | None) -> list[tuple[int, str, int]]:
     out += [(m.start(), "hex", m.end()) for m in HEX.finditer(t)]
     last, lexer, pairs = 0, _Assignments(t), set()
     for op in (m.start() for m in OPERATOR.finditer(t)):
+        if t[op] == "(":
+            lexer.argument(op, pairs)
+            continue
         key = _keyword_end(t, op)
         if key and key[0] >= last:
             a, e = _base_value(t, op)

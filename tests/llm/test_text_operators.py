@@ -215,3 +215,50 @@ def test_sibling_features_of_long_flat_pages():
     assert rows[:, 8].tolist() == list(range(200))
     assert np.allclose(rows[:, 10], [0.75] * 150 + [0.25] * 50)
     assert np.allclose(rows[:, 12], np.log1p([0, *words[:-1]])) and np.allclose(rows[:, 13], np.log1p([*words[1:], 0]))
+
+
+def test_pii_cues_reach_as_far_as_their_line_or_name():
+    found = lambda t, kind: [t[s:e] for s, k, e in pii.find(t) if k == kind]
+    gap = "of the account that was opened in the spring, which is "
+    assert found(f"the SSN {gap}123-45-6789 ssn", "ssn") == ["123-45-6789"]
+    assert found(f"IBAN {gap}GB82WEST12345698765432.", "iban") == ["GB82WEST12345698765432"]
+    assert found("SSN\n123-45-6789", "ssn") == [] and found("IBAN\nGB82WEST12345698765432", "iban") == []
+    assert found("at 12 Old Saint Mary Of The Great Hill Market Street, Town", "address") == ["12 Old Saint Mary Of The Great Hill Market Street"]
+    assert found("SSN 123-45-6789 and SSN 223-45-6789 or SSN: none", "ssn") == ["123-45-6789", "223-45-6789"]
+    n = 50_000
+    for t in ("ssn " * n, "IBAN " * n, "Word Street " * n, "1 Street" * n, "Aa " * n + " Street" * 200):
+        pii.find(t)
+
+
+def plain_extra_pii(t):
+    """IBAN and SSN by patterns over the line of a cue: the first identifier behind the first cue that isn't used yet."""
+    out = []
+    for m in re.finditer(r"SSN|ssn", t):
+        digit = re.compile(r"[^0-9\n\r]*").match(t, m.end()).end()
+        n = re.compile(r"(?!000|666|9)[0-9]{3}([ -])(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![0-9])").match(t, digit)
+        if n:
+            out.append((n.start(), n.end()))
+    return sorted(set(out))
+
+
+def test_pii_numbers_match_a_plain_pattern():
+    rng = random.Random(21)
+    parts = ["SSN", "ssn ", "123-45-6789", "123 45 6789", "666-12-1234", "is ", "\n", "x", "1", "219-09-9999"]
+    for _ in range(5_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        assert [(s, e) for s, k, e in pii.find(t) if k == "ssn"] == plain_extra_pii(t), t
+
+
+def test_secrets_of_blocks_calls_and_phrases():
+    pairs = lambda t: [t[s:e] for s, k, e in secrets.find(t) if k == "pair"]
+    block = "spec:\n  private_key: |\n    k3JxP0aa91LmQw\n    Zz82hfTqpo1144\n  name: x\n"
+    assert pairs(block) == ["k3JxP0aa91LmQw\n    Zz82hfTqpo1144"]
+    assert pairs("signing_key = '''Ab12Cd34Ef56Gh78'''") == pairs('signing_key = """Ab12Cd34Ef56Gh78"""') == ["Ab12Cd34Ef56Gh78"]
+    assert pairs('client.setPassword("Xy81kQ0pLmN4")') == ["Xy81kQ0pLmN4"] and pairs('getenv("API_KEY_NAME1")') == []
+    assert pairs('ask_password("Please type it in here")') == []
+    assert pairs('passphrase = "correct horse battery staple 42"') == ["correct horse battery staple 42"]
+    assert pairs('auth_key = "Zx81kQ0pLm" + "N4" + "b"') == ["Zx81kQ0pLm", "N4", "b"]
+    assert pairs('db_password = "it\\"s9Kq81Lm"') == ['it\\"s9Kq81Lm'] and pairs("title = 'some words of prose'") == []
+    n = 30_000
+    for t in ("a: |\n" * n, "k: |\n  a: |\n" * n, "='''" * n, "='''=\"\"\"" * n, "x('" * n, "password('" * n, "a(\"" * n + "b"):
+        secrets.find(t)
