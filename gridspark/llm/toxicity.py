@@ -1,11 +1,16 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A character trigram model is counted over all documents. Tokens that look
-disguised (digits or signs for letters, single letters with gaps, stretched
-letters) become lattices of the letters they may stand for, and a Viterbi
-search under the character model picks the likeliest reading. The restored
-text, not the raw one, is scored: a logistic model over the presence of words
-and word beginnings.
+A character trigram model is counted over all documents. Every text is a
+lattice: a sign may stand for a letter, for nothing or for itself, a repeated
+letter may be stretched, signs between letters may be noise, and white space
+beside a single character may be spacing inside a word. A Viterbi search under
+the character model picks the likeliest reading, word breaks included. The
+restored text, not the raw one, is scored: a logistic model over the presence
+of words and word beginnings.
+
+Context ends at a word break, so the lattice falls apart wherever the channel
+leaves no choice; only pieces with a choice are searched, and of a long
+stretch of letters without one only the two letters at each end matter.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows, those of the
 smallest hash of their id; the character model is never sampled.
@@ -39,14 +44,24 @@ HELD_OUT = 2
 #: Letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c"}
 
-SIZE, FOREIGN, GAP = 28, 26, 27
+SIZE, FOREIGN, GAP, SKIPPED = 28, 26, 27, 28
 SMOOTH = 0.5
 MEMO = 200_000
 
+# The channel: likelihoods of what an observed character came from.
+SIGN_LETTER, SIGN_NOISE, SIGN_ITSELF = 0.6, 0.05, 0.35
+REPEATED, STRETCHED = 0.1, 0.9  # that the second, or a later one, of equal letters is none
+NOISE = 0.4  # that signs between letters are nothing
+SPACING = {"singles": 0.5, "single": 0.05, "edge": 0.002}  # that white space is nothing: between single characters, around one, at the end of a row of them
+
 WORD = re.compile(r"[^\W\d_]+")
-LEET = re.compile(r"[0-9@$!|+€£(<][^\W\d_]")
-STRETCHED = re.compile(r"([^\W\d_])\1\1")
-SPACED = re.compile(r"(?<!\w)[^\W\d_](?:[ .*_-][^\W\d_](?!\w)){2,}")
+LETTER, SIGN = r"[^\W\d_]", "[" + re.escape("".join(SIGNS)) + "]"
+#: Where the lattice has more than one path: equal neighbours, a sign beside a letter, signs between letters, a single character.
+CHOICE = re.compile(rf"({LETTER})\1|{SIGN}(?={LETTER})|(?<={LETTER}){SIGN}|(?<={LETTER})(?:[^\w\s]|_)+(?={LETTER}|{SIGN})|(?<!\S)[^\W_](?!\S)")
+#: Letters of which none equals the next: the inner ones don't matter.
+SURE = re.compile(rf"((?:({LETTER})(?!\2)){{2}})((?:({LETTER})(?!\4))+)((?:({LETTER})(?!\6)){{2}})")
+SYMBOL = re.compile(rf"{LETTER}|{SIGN}|\x00|\s+|[^\s\x00]")
+HIDDEN = "\0"
 
 
 @lru_cache(1)
@@ -79,75 +94,152 @@ def character_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 class Channel:
-    """Restores disguised tokens under a character model."""
+    """Restores disguised words under a character model."""
 
     def __init__(self, counts: np.ndarray):
         cube = counts.reshape(SIZE, SIZE, SIZE) + SMOOTH
-        self.logp = np.log(cube / cube.sum(axis=2, keepdims=True)).tolist()
+        cube[GAP, GAP, :GAP] = cube[:, GAP, :GAP].sum(axis=0)  # at a word's begin nothing else is known
+        cube[:, GAP, GAP] = cube[GAP, GAP, GAP] = 0
+        with np.errstate(divide="ignore"):
+            logp = np.log(cube / cube.sum(axis=2, keepdims=True))
+        wide = np.zeros((SIZE + 1, SIZE + 1, SIZE + 1))  # nothing is charged behind hidden letters
+        wide[:SIZE, :SIZE, :SIZE] = logp
+        self.logp = wide.tolist()
         self.memo: dict[str, str] = {}
 
-    def decode(self, token: str) -> str:
-        """Viterbi over the lattice of a token: states are the last two classes."""
-        found = self.memo.get(token)
-        if found is not None:
-            return found
+    def arcs(self, piece: str) -> list[list[tuple[str, float]]]:
+        """What each symbol of a piece may stand for: letters, nothing or itself, with log likelihoods."""
+        symbols = SYMBOL.findall(piece)
+        sizes = [len(x) for x in piece.split()]
+        out, before, row, word = [], "", 0, 0
+        for x in symbols:
+            if x == before and x not in SIGNS and x.isalpha():
+                row += 1
+                gone = REPEATED if row == 1 else STRETCHED
+                out.append([(x, math.log(1 - gone)), ("", math.log(gone))])
+                continue
+            row, before = 0, x
+            if x in SIGNS:
+                out.append([(c, math.log(SIGN_LETTER / len(SIGNS[x]))) for c in SIGNS[x]] + [("", math.log(SIGN_NOISE)), (x, math.log(SIGN_ITSELF))])
+            elif x.isalpha() or x == HIDDEN:
+                out.append([(x, 0.0)])
+            elif x.isspace():
+                word += 1
+                left, right = sizes[word - 1], sizes[word] if word < len(sizes) else 2
+                if left == 1 and right == 1:
+                    kind = "singles"
+                else:
+                    beyond = (sizes[word - 2] if word > 1 else 2) if left == 1 else (sizes[word + 1] if word + 1 < len(sizes) else 2)
+                    kind = "edge" if beyond == 1 else "single"
+                joined = SPACING[kind] if 1 in (left, right) else 0.0
+                out.append([(x, math.log(1 - joined)), *([("", math.log(joined))] if joined else [])])
+            else:
+                out.append([(x, math.log(1 - NOISE)), ("", math.log(NOISE))])
+        return out
+
+    def decode(self, piece: str) -> str:
+        """Viterbi over the lattice of a piece: states are the classes of the last two letters since a break."""
         logp = self.logp
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(GAP, GAP): (0.0, None)}  # paths are linked backwards
-        before = ""
-        for ch in token:
-            arcs: list[tuple[str, float]] = []
-            if ch in SIGNS:
-                arcs = [(x, math.log(0.9 / len(SIGNS[ch]))) for x in SIGNS[ch]] + [("", math.log(0.02))]
-            elif ch.isalpha():
-                arcs = [(ch, math.log(0.4)), ("", math.log(0.6))] if ch == before else [(ch, math.log(0.98))]
-            else:
-                arcs = [("", 0.0)]
-            before = ch
+        for arcs in self.arcs(piece):
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, path) in best.items():
                 for x, cost in arcs:
-                    if x:
+                    if not x:
+                        state, value, link = (a, b), score + cost, path
+                    elif x == HIDDEN:
+                        state, value, link = (SKIPPED, SKIPPED), score, (path, x)
+                    elif x.isalpha():
                         c = ord(x) - 97 if "a" <= x <= "z" else FOREIGN
                         state, value, link = (b, c), score + cost + logp[a][b][c], (path, x)
                     else:
-                        state, value, link = (a, b), score + cost, path
+                        state, value, link = (GAP, GAP), score + cost + (0.0 if b == GAP else logp[a][b][GAP]), (path, x)
                     if state not in after or value > after[state][0]:
                         after[state] = (value, link)
             best = after
-        (a, b), (_, path) = max(best.items(), key=lambda x: (x[1][0] + logp[x[0][0]][x[0][1]][GAP], x[0]))
-        letters = []
+        (_, _), (_, path) = max(best.items(), key=lambda x: (x[1][0] + (0.0 if x[0][1] == GAP else logp[x[0][0]][x[0][1]][GAP]), x[0]))
+        out = []
         while path is not None:
             path, x = path
-            letters.append(x)
-        out = "".join(reversed(letters))
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        if len(token) <= 64:
-            self.memo[token] = out
-        return out
+            out.append(x)
+        return "".join(reversed(out))
+
+    def restored(self, piece: str) -> str:
+        """The likeliest reading of a piece; letters that can't matter are hidden from the search, so that pieces alike are searched once."""
+        inner: list[str] = []
+
+        def hide(m: re.Match) -> str:
+            inner.append(m[3])
+            return m[1] + HIDDEN + m[5]
+
+        key = SURE.sub(hide, piece)
+        found = self.memo.get(key)
+        if found is None:
+            found = self.decode(key)
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            if len(key) <= 64:
+                self.memo[key] = found
+        if not inner:
+            return found
+        parts = found.split(HIDDEN)
+        return "".join(x for pair in zip(parts, [*inner, ""]) for x in pair)
 
     def restore(self, text: str) -> str:
-        """The text in lower case with its disguised tokens restored."""
+        """The text in lower case with its disguised words restored."""
         t = text.lower()
-        if SPACED.search(t):
-            t = SPACED.sub(lambda m: self.decode("".join(c for c in m[0] if c.isalpha())), t)
-        marks = [m.start() for m in LEET.finditer(t)] + [m.start() for m in STRETCHED.finditer(t)]
-        if not marks:
-            return t
-        out, at = [], 0
-        for mark in sorted(marks):
-            if mark < at:
+        if HIDDEN in t:
+            t = t.replace(HIDDEN, " ")
+        out, at, n = [], 0, len(t)
+        for m in CHOICE.finditer(t):
+            s, e = m.span()
+            if s < at:
                 continue
-            s, e = mark, mark + 1
             while s > at and not t[s - 1].isspace():
                 s -= 1
-            while e < len(t) and not t[e].isspace():
+            while e < n and not t[e].isspace():
                 e += 1
-            out += [t[at:s], self.decode(t[s:e])]
+            s, e = _linked(t, s, e, at)
+            out += [t[at:s], self.restored(t[s:e])]
             at = e
         return "".join([*out, t[at:]])
 
 
+def _alike(t: str, a: int, b: int, c: int, d: int) -> bool:
+    """Whether white space between the tokens a..b and c..d may be nothing: one is a letter or digit, or both are single characters."""
+    return (b - a == 1 and (d - c == 1 or t[a].isalnum())) or (d - c == 1 and t[c].isalnum())
+
+
+def _linked(t: str, s: int, e: int, floor: int) -> tuple[int, int]:
+    """The token s..e with the tokens that white space of a choice ties to it."""
+    n, a, b = len(t), s, e
+    while True:  # to the right
+        c = b
+        while c < n and t[c].isspace():
+            c += 1
+        d = c
+        while d < n and not t[d].isspace():
+            d += 1
+        if d == c or not _alike(t, a, b, c, d):
+            e = b
+            break
+        a, b = c, d
+    c, d = s, s
+    while c < e and not t[c].isspace():
+        c += 1
+    a, b = s, c
+    while True:  # to the left
+        d = a
+        while d > floor and t[d - 1].isspace():
+            d -= 1
+        c = d
+        while c > floor and not t[c - 1].isspace():
+            c -= 1
+        if c == d or d == a or not _alike(t, c, d, a, b):
+            return a, e
+        a, b = c, d
+
+
 def features(word: str) -> list[int]:
     """Buckets of a word and of its beginnings."""
     raw = [f"={word}", *(word[:k] for k in BEGINNINGS if len(word) >= k)]
@@ -207,14 +299,14 @@ def fold(id_column: F.Column) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Character counts over all of ``docs``; weights from labelled rows outside the held-out fold.
 
-    Labels whose doc_id or toxic is null are ignored. Without any usable label
-    the score is constant.
+    Labels whose doc_id or toxic is null are ignored; of several labels of an
+    id the highest holds. Without any usable label the score is constant.
     """
     counts = character_counts(docs, id_col, text_col)
     own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropna().where(fold(F.col("_id")) != HELD_OUT)
-    chosen = bounded_sample(own.dropDuplicates(["_id"]), "_id", SAMPLE)
+    chosen = bounded_sample(own.groupBy("_id").agg(F.max("toxic").alias("toxic")), "_id", SAMPLE)
     rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # SAMPLE rows at most
-    sample = written(rows.select("_id", "text", "toxic").repartition(8, F.xxhash64("_id")).drop("_id"), "toxfit")
+    sample = written(rows.select("_id", "text", "toxic").repartition(docs.sparkSession.sparkContext.defaultParallelism, F.xxhash64("_id")).drop("_id"), "toxfit")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel, got = Channel(counts), np.zeros((2, BUCKETS), np.int32)

@@ -1,6 +1,7 @@
 """Near-duplicates, quality, mixing, sharding, toxicity and the pipeline against plain versions; odd inputs for all."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -436,3 +437,74 @@ def test_text_writers_take_no_rows_and_nulls(spark):
     assert bpe.encoded(df).count() == 2
     for run in (pii.redact, bpe.encoded, lambda d: toxicity.without_toxic(d, model), simhash.drop_near_duplicates):
         assert run(df.limit(0)).count() == 0
+
+
+def _channel(text):
+    c = toxicity.letter_classes()[np.frombuffer(f"\n\n{text}\n".encode("utf-32-le"), "<u4")].astype(int)
+    return toxicity.Channel(np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28**3))
+
+
+PROSE = "you are an idiot and a clown and it is so stupid that the people here say nothing of the letter i wrote to a friend all well known "
+
+
+def test_viterbi_restores_mixed_disguises():
+    channel = _channel(PROSE * 300)
+    for hidden in ("idi07", "id*iot", "i_d_i_o_t", "i.d.i.o.t", "i  d  i  o  t", "iidiot", "i d 1 0 t", "1d1 0 t", "iiidddiiiooottt", "1d*10t"):
+        assert channel.restore(f"you {hidden} there") == "you idiot there", hidden
+    assert channel.restore("st.upid, st u pid st*u*pid") == "stupid, stupid stupid"
+    assert channel.restore("a i d i o t here") == "a idiot here"
+    assert channel.restore("It is a well-known letter, 42 of 1990!") == "it is a well-known letter, 42 of 1990!"
+
+
+def test_viterbi_equals_the_best_of_all_paths():
+    channel, rng = _channel(PROSE * 20), random.Random(9)
+    table, gap = channel.logp, toxicity.GAP
+
+    def value(path):
+        a = b = gap
+        total = 0.0
+        for x, cost in path:
+            total += cost
+            if not x:
+                continue
+            if x.isalpha():
+                c = ord(x) - 97 if "a" <= x <= "z" else toxicity.FOREIGN
+                total, a, b = total + table[a][b][c], b, c
+            else:
+                total, a, b = total + (0 if b == gap else table[a][b][gap]), gap, gap
+        return total + (0 if b == gap else table[a][b][gap])
+
+    for _ in range(300):
+        piece = "".join(rng.choice("idot1 0$*ééll ") for _ in range(rng.randint(1, 8))).strip()
+        arcs = channel.arcs(piece)
+        best = max(value(p) for p in itertools.product(*arcs))
+        got = channel.decode(piece)
+        same = [value(p) for p in itertools.product(*arcs) if "".join(x for x, _ in p) == got]
+        assert same and abs(max(same) - best) < 1e-9, piece
+
+
+def test_hidden_letters_do_not_change_a_reading():
+    channel, rng = _channel(PROSE * 20), random.Random(10)
+    parts = ["idiot", "clown", "letter", "a", " ", "1", "0", "d", "people", "*", "ss", "é", "friend", "  ", "$"]
+    for _ in range(2000):
+        piece = "".join(rng.choice(parts) for _ in range(rng.randint(1, 7))).strip()
+        assert channel.restored(piece) == channel.decode(piece), piece
+
+
+def test_scores_equal_a_plain_sum_of_weights():
+    channel = _channel(PROSE)
+    weights = {b: 0.5 + k for k, b in enumerate(sorted({f for w in ("idiot", "clown", "people") for f in toxicity.features(w)}))}
+    counts = np.zeros(28**3, np.int64)
+    model = toxicity.Model(counts, weights, -4.0)
+    score, plain = model.scorer(), toxicity.Channel(counts)
+    for t in ("", "people idiot people", "a clown, a people", "nothing"):
+        own = {f for w in toxicity.WORD.findall(plain.restore(t)) for f in toxicity.features(w)} & set(weights)
+        assert abs(score(t) - 1 / (1 + np.exp(4.0 - sum(weights[f] for f in own)))) < 1e-12
+    assert channel.restore("clown") == "clown"
+
+
+def test_an_id_of_two_labels_takes_the_higher_one(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 7} text") for k in range(40)], "doc_id long, text string")
+    labels = [(k, k % 2) for k in range(40)] + [(k, 1 - k % 2) for k in range(40)]
+    models = [toxicity.train(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, labels[::-1])]
+    assert models[0].weights == models[1].weights and models[0].bias == models[1].bias > 0
