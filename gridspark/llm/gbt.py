@@ -14,6 +14,21 @@ class BoostedTrees:
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(self.edges)], axis=1).astype(np.int32)
 
+    def _histograms(self, flat: np.ndarray, node: np.ndarray, g: np.ndarray, h: np.ndarray, many: int, g_up: np.ndarray, h_up: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of g and h by node, feature and bin; of two siblings the smaller is counted, the other is what is left of their parent."""
+        width, sizes = flat.shape[1], np.bincount(node, minlength=many)
+        counted = np.ones(1, bool) if many == 1 else np.repeat(sizes[::2] <= sizes[1::2], 2) ^ np.tile([False, True], many // 2)
+        rows = np.flatnonzero(counted[node])
+        at = (node[rows, None] * (width * self.bins) + flat[rows]).ravel()
+        out = []
+        for x, up in ((g, g_up), (h, h_up)):
+            own = np.bincount(at, np.repeat(x[rows], width), many * width * self.bins).reshape(many, width, self.bins)
+            if many > 1:
+                left = np.flatnonzero(~counted)
+                own[left] = up[left // 2] - own[left ^ 1]
+            out.append(own)
+        return out[0], out[1]
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         n, width = x.shape
         self.edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, self.bins + 1)[1:-1])) for k in range(width)]
@@ -29,12 +44,11 @@ class BoostedTrees:
             p = 1 / (1 + np.exp(-z))
             g, h = p - y, p * (1 - p)
             node = np.zeros(n, np.int64)
+            g_hist = h_hist = np.zeros((0, width, self.bins))
             for level in range(self.depth):
                 first, many = 2**level - 1, 2**level
-                at = ((node - first)[:, None] * (width * self.bins) + flat).ravel()
-                shape = (many, width, self.bins)
-                gs = np.bincount(at, np.repeat(g, width), many * width * self.bins).reshape(shape).cumsum(axis=2)
-                hs = np.bincount(at, np.repeat(h, width), many * width * self.bins).reshape(shape).cumsum(axis=2)
+                g_hist, h_hist = self._histograms(flat, node - first, g, h, many, g_hist, h_hist)
+                gs, hs = g_hist.cumsum(axis=2), h_hist.cumsum(axis=2)
                 gt, ht = gs[:, :, -1:], hs[:, :, -1:]
                 gain = gs**2 / (hs + self.ridge) + (gt - gs) ** 2 / (ht - hs + self.ridge) - gt**2 / (ht + self.ridge)
                 gain[(hs < self.min_weight) | (ht - hs < self.min_weight)] = 0

@@ -28,7 +28,7 @@ from .common import bounded_sample, map_slices, spread
 from .gbt import BoostedTrees
 
 #: Bound on the pages that the trees are fitted on, and the number of composed pages.
-SAMPLE_PAGES, COMPOSED_PAGES = 300, 600
+SAMPLE_PAGES, COMPOSED_PAGES = 300, 1200
 
 # Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -311,8 +311,23 @@ PARTS = [
 ]
 
 
-def composed(words: list[str], rng: random.Random) -> str:
-    """A page made from parts; x-keep and x-drop elements mark what is main text."""
+def meaningless(markup: str, rng: random.Random) -> str:
+    """The markup with semantic elements as div, and with classes and ids that tell nothing or are left out."""
+
+    def name(m: re.Match) -> str:
+        kind = rng.choice(["", "", "class", "id"])
+        return f' {kind}="{"".join(rng.choice("bcdfgjkqvwxz") for _ in range(rng.randint(1, 4)))}{rng.randint(0, 99)}"' if kind else ""
+
+    plain = re.sub(r"<(/?)(?:article|main|section|nav|header|footer|aside)\b", r"<\1div", markup)
+    return re.sub(r'\s(?:class|id|role)="[^"]*"', name, re.sub(r"<div>", '<div class="_">', plain))
+
+
+def composed(words: list[str], rng: random.Random, plain: bool = False) -> str:
+    """A page made from parts; x-keep and x-drop elements mark what is main text.
+
+    A ``plain`` page has no element or name that tells a part's purpose, and
+    only such parts beside the main text as its structure tells apart.
+    """
 
     def prose(low: int, high: int) -> str:
         return " ".join(rng.choice(words) for _ in range(rng.randint(low, high))) + rng.choice(".,.?!")
@@ -335,7 +350,7 @@ def composed(words: list[str], rng: random.Random) -> str:
         }[kind]()
 
     kinds = ["menu", "head", "foot", "side", "ad", "notice", "comment", "share", "form"]
-    body, inside = [], rng.random() < 0.4
+    body, inside = [], rng.random() < 0.4 and not plain
     parts = [f"<h1>{prose(3, 9)}</h1>"] if rng.random() < 0.8 else []
     block = rng.choice(["<p>{}</p>"] * 6 + ["<div>{}</div>", "<p><span>{}</span></p>"])
     for _ in range(rng.choice([1, 2, 3, 5, 9, 15])):
@@ -351,16 +366,26 @@ def composed(words: list[str], rng: random.Random) -> str:
     for part in marked:
         parts.insert(rng.randint(0, len(parts)), part)
     core = rng.choice(['<article>{}</article>', '<main>{}</main>', '<article>{}</article>', '<div class="content">{}</div>', '<div id="main-content">{}</div>', '<section class="entry">{}</section>', '<div class="post-body">{}</div>', '<div>{}</div>', '<main><article>{}</article></main>']).replace("{}", "<x-keep>" + "".join(parts) + "</x-keep>")
-    before = [noise(k) for k in rng.sample(kinds[:6], rng.randint(0, 4))]
-    after = [noise(k) for k in rng.sample(kinds, rng.randint(0, 5))]
-    body = [*before, core, *after]
+    if plain:
+        heading = lambda: f"<h3>{prose(1, 3)}</h3>" if rng.random() < 0.5 else ""
+        foot = lambda: f'<div><p>&copy; {prose(2, 9)}</p>' + "".join(f'<a href="#">{prose(1, 2)}</a> ' for _ in range(rng.randint(0, 5))) + "</div>"
+        listed = lambda: f'<div>{heading()}<ul>{links(rng.randint(2, 9))}</ul></div>'
+        row = lambda: "<div>" + rng.choice([" ", " | "]).join(f'<a href="#">{prose(1, 3)}</a>' for _ in range(rng.randint(2, 9))) + "</div>"
+        ahead = [rng.choice([listed, row])() for _ in range(rng.randint(0, 2))]
+        behind = [rng.choice([listed, row, foot, lambda: noise("form")])() for _ in range(rng.randint(0, 3))]
+        body = [*ahead, core, *behind]
+    else:
+        before = [noise(k) for k in rng.sample(kinds[:6], rng.randint(0, 4))]
+        after = [noise(k) for k in rng.sample(kinds, rng.randint(0, 5))]
+        body = [*before, core, *after]
     wrap = rng.choice(["{}", "{}", '<div id="wrapper">{}</div>', '<div class="container"><div class="row">{}</div></div>'])
-    return "<html><head><title>t</title></head><body>" + wrap.replace("{}", "".join(body)) + "</body></html>"
+    out = wrap.replace("{}", "".join(body))
+    return "<html><head><title>t</title></head><body>" + (meaningless(out, rng) if plain else out) + "</body></html>"
 
 
 def _composed_rows(words: list[str], rng: random.Random) -> tuple[np.ndarray, list[bool]]:
     """Features and labels of a composed page: the marker elements give the labels and are then unwrapped."""
-    marked = composed(words, rng)
+    marked = composed(words, rng, plain=rng.random() < 0.5)
     tagged, plain = parse(marked), parse(re.sub(r"</?x-(?:keep|drop)>", "", marked))
     labels, state = [], []
     for x in tagged.nodes:

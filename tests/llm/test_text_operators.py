@@ -262,3 +262,76 @@ def test_secrets_of_blocks_calls_and_phrases():
     n = 30_000
     for t in ("a: |\n" * n, "k: |\n  a: |\n" * n, "='''" * n, "='''=\"\"\"" * n, "x('" * n, "password('" * n, "a(\"" * n + "b"):
         secrets.find(t)
+
+
+def _unnamed_page(words, rng):
+    """A page without any telling element or name, and its main text."""
+    prose = lambda a, b: " ".join(rng.choice(words) for _ in range(rng.randint(a, b))) + rng.choice(".,.?!")
+    name = lambda: rng.choice(["", ' class="x1"', f' class="c-{rng.randint(1, 99)}"', f' id="a{rng.randint(1, 99)}"', ' class="foo bar"'])
+    links = lambda k: "<ul>" + "".join(f'<li><a href="#">{prose(1, 4)}</a></li>' for _ in range(k)) + "</ul>"
+    heading, blocks = prose(3, 9), [prose(8, 80) for _ in range(rng.choice([2, 3, 5, 9, 15]))]
+    parts = [f"<div{name()}>{links(rng.randint(3, 9))}</div>", f"<div{name()}><h1>{heading}</h1>" + "".join(f"<p>{b}</p>" for b in blocks) + "</div>"]
+    parts += [f"<div{name()}><h3>{prose(1, 3)}</h3>{links(rng.randint(3, 7))}</div>"] * (rng.random() < 0.5)
+    parts += [f'<div{name()}><p>&copy; {prose(3, 8)}</p><a href="#">{prose(1, 2)}</a></div>'] * (rng.random() < 0.7)
+    return f"<html><body>{''.join(parts)}</body></html>", " ".join([heading, *blocks])
+
+
+def test_articles_without_telling_names(spark):
+    model = html_main.train(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    rng = random.Random(5)
+    made = [_unnamed_page(["alpha", "beta", "gamma,", "delta."], rng) for _ in range(300)]
+    got = html_main.extract([m for m, _ in made], model)
+    assert sum(g == want for g, (_, want) in zip(got, made)) >= 285
+
+
+def test_decode_equals_the_best_of_all_labellings():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        n = int(rng.integers(1, 10))
+        page = html_main.Page([html_main.Node("#page", -1, 0, ())])
+        for k in range(1, n):
+            page.nodes.append(html_main.Node("div", int(rng.integers(0, k)), 1, ()))
+        p = rng.uniform(0.01, 0.99, n)
+        best, best_value = None, -np.inf
+        for mask in range(1 << n):
+            keep = [bool(mask >> k & 1) for k in range(n)]
+            if keep[0] and all(not keep[k] or keep[page.nodes[k].parent] for k in range(1, n)):
+                value = sum(np.log(p[k]) if keep[k] else np.log(1 - p[k]) for k in range(n))
+                if value > best_value:
+                    best, best_value = keep, value
+        assert html_main.decode(page, p) == best
+
+
+def test_boosted_trees_equal_a_plain_version():
+    from gridspark.llm.gbt import BoostedTrees
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    trees = BoostedTrees(rounds=5, depth=2, bins=8)
+    got = trees.fit(x, y).predict(x)
+    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, 9)[1:-1])) for k in range(3)]
+    b = np.array([[sum(e < v for e in edges[k]) for k, v in enumerate(row)] for row in x])
+    z = np.full(400, np.log((y.sum() + 0.5) / (401 - y.sum() - 0.5)))
+
+    def grow(rows, g, h, depth):
+        if depth:
+            best = (1e-6, None)
+            for k in range(3):
+                for cut in range(8):
+                    low = rows[b[rows, k] <= cut]
+                    high = rows[b[rows, k] > cut]
+                    if min(h[low].sum(), h[high].sum()) >= 2.0:
+                        gain = sum(g[r].sum() ** 2 / (h[r].sum() + 1) for r in (low, high)) - g[rows].sum() ** 2 / (h[rows].sum() + 1)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (low, high))
+            if best[1]:
+                for part in best[1]:
+                    grow(part, g, h, depth - 1)
+                return
+        z[rows] -= 0.2 * g[rows].sum() / (h[rows].sum() + 1)
+
+    for _ in range(5):
+        p = 1 / (1 + np.exp(-z))
+        grow(np.arange(400), p - y, p * (1 - p), 2)
+    assert np.allclose(got, 1 / (1 + np.exp(-z)))
