@@ -15,16 +15,23 @@ ROWS_PER_SLICE = 512
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a folder below the warehouse is set instead.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset, a
+    folder below the warehouse is set on a single machine (tests, a laptop),
+    and a cluster is refused, as its machines share no other folder for sure.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+#: Paths of scratch tables by application, oldest first.
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -34,18 +41,41 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    own = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    if path in own:
+        own.remove(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what :func:`written` wrote, once nothing reads it any more."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        _delete(df.sparkSession, path)
+
+
+def distilled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The table that ``make`` returns, written; the scratch tables written on the way are deleted."""
+    own = _SCRATCH.setdefault(spark.sparkContext.applicationId, [])
+    before = set(own)
+    out = written(make(), label)
+    for path in [p for p in own if p not in before and p != out._scratch_path]:
+        _delete(spark, path)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every scratch table of this application; frames that read one can't be run again."""
+    for path in list(_SCRATCH.get(spark.sparkContext.applicationId, [])):
+        _delete(spark, path)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
@@ -80,7 +110,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[..., dict[str, list]]]
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out evenly if it comes from fewer files than there are cores; a file of one row group is one task otherwise."""
-    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df._jdf.inputFiles())  # the names stay in the JVM
     return df.repartition(cores) if 0 < 2 * files < cores else df
 
 

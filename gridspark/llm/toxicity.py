@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import bounded_sample, fresh, map_slices, texts, written
+from .common import bounded_sample, discard, fresh, map_slices, texts, written
 
 #: Bound on the labelled rows that the classifier is fitted on.
 SAMPLE = 20_000
@@ -321,6 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n0, n1 = by_class.get(0, 0), by_class.get(1, 0)
     if not n0 or not n1:
         rate = (n1 + 0.5) / (n0 + n1 + 1) if n0 + n1 else 0.1
+        discard(sample)
         return Model(counts, {}, math.log(rate / (1 - rate)))
     share1 = n1 / (n0 + n1)
     lift = (F.col("n1") - (F.col("n0") + F.col("n1")) * F.lit(share1)) / F.sqrt((F.col("n0") + F.col("n1")) * F.lit(share1 * (1 - share1)))
@@ -338,6 +339,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return fn
 
     fitted = [(r[0], r[1]) for r in map_slices(sample, make, "f array<int>, toxic int").collect()]  # SAMPLE rows of at most FEATURES numbers
+    discard(sample)
     w, bias = _fit(sorted(fitted), len(index))
     return Model(counts, {b: float(w[k]) for b, k in index.items()}, bias)
 

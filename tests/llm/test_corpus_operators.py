@@ -508,3 +508,19 @@ def test_an_id_of_two_labels_takes_the_higher_one(spark):
     labels = [(k, k % 2) for k in range(40)] + [(k, 1 - k % 2) for k in range(40)]
     models = [toxicity.train(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, labels[::-1])]
     assert models[0].weights == models[1].weights and models[0].bias == models[1].bias > 0
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from gridspark.llm import common
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    common.release(spark)
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    kept = common.distilled(spark, lambda: simhash.drop_near_duplicates(docs), "kept")
+    assert len(set(os.listdir(folder)) - before) == 1 and kept.count() > 0
+    assert simhash.near_duplicates(docs).count() == docs.count()
+    common.release(spark)
+    assert set(os.listdir(folder)) <= before
