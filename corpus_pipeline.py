@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridspark.llm import bpe, mixing, pii, simhash, toxicity
-from gridspark.llm.common import table, written
+from gridspark.llm.common import discard, distilled, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays."""
+    """Of each group of near copies the document of the smallest id stays; others that share its id but no link stay too."""
     return simhash.drop_near_duplicates(docs)
 
 
@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, distilled(spark, lambda: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
