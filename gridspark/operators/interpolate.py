@@ -224,19 +224,25 @@ def along_trajectory(grid: Grid, samples: dict[str, Sequence[float]], method: st
 
 
 def relevel(grid: Grid, levels: Coord | str, targets: Sequence[float], dim: str) -> Grid:
-    """Each column linearly interpolated from the field of its own levels to target levels; nothing outside its range."""
+    """Each column linearly interpolated from the field of its own levels to target levels.
+
+    A target lies between two neighbouring levels that both have a value, a
+    masked level and an absent one being the same; the first such pair
+    counts, and a target without any is masked. Every cell goes to the pair
+    above it and the pair below, so one partial aggregate joins them and no
+    column has to meet in one task.
+    """
     levels = grid.coord(levels) if isinstance(levels, str) else levels
-    others = grid.keys([dim])
-    df = join_table(grid.df, grid, levels, "_z").withColumn("_z", F.col("_z").cast("double"))
-    column = Window.partitionBy(*others).orderBy(index(dim))
-    ahead = F.lead(F.struct("_z", "v")).over(column)
-    cells = df.withColumn("_next", ahead).where(F.col("_next").isNotNull())
+    others, col = grid.keys([dim]), index(dim)
+    df = join_table(grid.df.where("v is not null"), grid, levels, "_z").select(*others, col, F.struct(F.col("_z").cast("double").alias("z"), "v").alias("c"))
+    ends = F.explode(F.array(F.struct(F.col(col).alias("k"), F.col("c").alias("low"), F.lit(None).cast("struct<z:double,v:double>").alias("high")), F.struct((F.col(col) - 1).alias("k"), F.lit(None).cast("struct<z:double,v:double>").alias("low"), F.col("c").alias("high"))))
+    pairs = df.select(*others, ends.alias("e")).groupBy(*others, F.col("e.k").alias("_k")).agg(F.max("e.low").alias("low"), F.max("e.high").alias("high")).where("low is not null and high is not null")
     wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("t")) for k, t in enumerate(targets)])
-    z0, z1 = F.col("_z"), F.col("_next._z")
+    z0, z1 = F.col("low.z"), F.col("high.z")
     inside: Column = F.filter(wanted, lambda s: (s["t"] >= F.least(z0, z1)) & (s["t"] <= F.greatest(z0, z1)) & (z0 != z1))
-    hits = cells.withColumn("_s", F.explode(inside))
-    value = F.col("v") + (F.col("_next.v") - F.col("v")) * (F.col("_s.t") - z0) / (z1 - z0)
-    out = hits.groupBy(*others, F.col("_s.k").alias(index(dim))).agg(F.min_by(value, index(dim)).alias("v"))
+    hits = pairs.withColumn("_s", F.explode(inside))
+    value = F.col("low.v") + (F.col("high.v") - F.col("low.v")) * (F.col("_s.t") - z0) / (z1 - z0)
+    out = hits.groupBy(*others, F.col("_s.k").alias(col)).agg(F.min_by(value, "_k").alias("v"))
     kept = [c for c in grid.coords if dim not in c.dims]
     axis = replace(levels, points=np.asarray(targets, float), bounds=None, dims=(dim,), is_dim=monotonic(np.asarray(targets, float)))
     return replace(grid, df=out.select(*grid.keys(), "v"), dims={**grid.dims, dim: len(targets)}, coords=(*kept, axis))

@@ -281,36 +281,34 @@ def groups_of(coords: list[Coord]) -> tuple[list[int], list[int]]:
     return out, first
 
 
-def grouped_coord(c: Coord, dim: str, group: list[int], circular_end: bool = True, climatological: bool = False) -> Coord:
-    """A coordinate that shares the grouped dimension, one cell for each group."""
+def grouped_coord(c: Coord, dim: str, group: list[int], climatological: bool = False) -> Coord:
+    """A coordinate that shares the grouped dimension, one cell for each group.
+
+    Texts are joined by bars in index order. Numbers become the range that
+    the group's cells cover, written in the direction of the axis, with its
+    middle as the point. On a circular axis the first cell, one period on,
+    closes the last group.
+    """
     axis = c.dims.index(dim)
-    members = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group))[:-1])
+    owner = np.asarray(group)
     if c.points.dtype.kind in "US":
         if c.bounds is not None:
             raise GridError("bounded texts can't be grouped")
-        work = np.moveaxis(c.points, axis, -1)
-        rows = [np.apply_along_axis(lambda a: np.array("|".join(a), dtype=object), -1, work.take(m, axis=-1).astype(object)) for m in members]
-        return replace(c, points=np.moveaxis(np.stack([np.asarray(r) for r in rows]), 0, axis).astype(str), is_dim=False)
-    item = c.points if c.bounds is None else c.bounds
-    d = np.diff(item, axis=axis)
-    ordered = np.all(d >= 0) or np.all(d <= 0)
-    lows, highs = [], []
-    for m in members:
-        if ordered:
-            a = item.take(m[0], axis=axis) if c.bounds is None else c.bounds.take(0, axis=-1).take(m[0], axis=axis)
-            b = item.take(m[-1], axis=axis) if c.bounds is None else c.bounds.take(1, axis=-1).take(m[-1], axis=axis)
-            if c.circular and m[-1] == c.points.shape[axis] - 1:
-                b = (item if c.bounds is None else c.bounds.take(0, axis=-1)).take(0, axis=axis) + c.modulus
-        else:
-            part = item.take(m, axis=axis)
-            over = (axis,) if c.bounds is None else (axis, part.ndim - 1)
-            a, b = part.min(axis=over), part.max(axis=over)
-        lows.append(a)
-        highs.append(b)
-    bounds = np.moveaxis(np.stack([np.stack(lows), np.stack(highs)], axis=-1), 0, axis)
+        lines = np.moveaxis(c.points, axis, 0)
+        texts = [["|".join(column) for column in lines[owner == g].reshape(int((owner == g).sum()), -1).T] for g in range(owner.max() + 1)]
+        return replace(c, points=np.moveaxis(np.array(texts).reshape(-1, *lines.shape[1:]), 0, axis), is_dim=False)
+    cells = np.moveaxis(c.points[..., None] if c.bounds is None else c.bounds, axis, 0)
+    low, high = cells.min(axis=-1), cells.max(axis=-1)
+    falling = low.ndim == 1 and len(low) > 1 and monotonic(c.points) and c.points[0] > c.points[-1]
+    if c.circular:
+        closing = high[:1] - c.modulus if falling else low[:1] + c.modulus
+        low, high, owner = np.concatenate([low, closing]), np.concatenate([high, closing]), np.r_[owner, owner[-1]]
+    by_group = np.argsort(owner, kind="stable")
+    begins = np.searchsorted(owner[by_group], np.arange(owner.max() + 1))
+    ends = [np.minimum.reduceat(low[by_group], begins), np.maximum.reduceat(high[by_group], begins)]
+    bounds = np.moveaxis(np.stack(ends[::-1] if falling else ends, axis=-1), 0, axis)
     points = bounds[..., 0] if climatological else bounds.mean(axis=-1)
-    axis_ok = c.is_dim and points.ndim == 1 and monotonic(points)
-    return replace(c, points=points, bounds=bounds, is_dim=axis_ok, circular=False, climatological=climatological or c.climatological)
+    return replace(c, points=points, bounds=bounds, is_dim=c.is_dim and points.ndim == 1 and monotonic(points), circular=False, climatological=climatological or c.climatological)
 
 
 def aggregated_by(grid: Grid, coords, agg: Aggregator, weights=None, mdtol: float | None = None, climatological: bool = False, **options) -> Grid:

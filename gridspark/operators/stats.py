@@ -14,10 +14,13 @@ from .maths import resolved
 
 
 def pearsonr(a: Grid, b: Grid, coords: str | Iterable[str] | None = None, weights: Grid | Coord | str | None = None, mdtol: float = 1.0, common_mask: bool = False) -> Grid:
-    """Weighted correlation over the dimensions of ``coords`` (all by default), in one pass of sums.
+    """Weighted correlation over the dimensions of ``coords`` (all by default).
 
     Each field's mean and variance use its own unmasked cells unless
     ``common_mask``. Masked where more than ``mdtol`` of the pairs are missing.
+    Moments are merged (unweighted) or taken about the fields' means, known
+    from a first aggregate (weighted), so an offset common to all values
+    costs no digits.
     """
     names = resolved(a, b)
     right = b.df.select(*(F.col(index(d)).alias(index(names[d])) for d in b.dims), F.col("v").alias("_b"))
@@ -38,18 +41,25 @@ def pearsonr(a: Grid, b: Grid, coords: str | Iterable[str] | None = None, weight
     x, y, w = F.col("_a"), F.col("_b"), F.col("_w")
     total = int(np.prod([a.dims[d] for d in gone], dtype=object))
     missing = (F.lit(total) - F.count(F.when(both, 1))) / total
-    if common_mask and weights is None:
-        value = F.corr(F.when(both, x), F.when(both, y))
+    in_a, in_b = (both, both) if common_mask else (x.isNotNull(), y.isNotNull())
+    if weights is None:
+        own_x, own_y, pair_x, pair_y = F.when(in_a, x), F.when(in_b, y), F.when(both, x), F.when(both, y)
+        apart = (F.avg(pair_x) - F.avg(own_x)) * (F.avg(pair_y) - F.avg(own_y))
+        cov = F.count(F.when(both, 1)) * (F.covar_pop(pair_x, pair_y) + apart)
+        value = F.try_divide(cov, F.sqrt(F.var_pop(own_x) * F.count(own_x) * F.var_pop(own_y) * F.count(own_y)))
     else:
-        in_a, in_b = (both, both) if common_mask else (x.isNotNull(), y.isNotNull())
+        centres = df.groupBy(*keys).agg(F.avg(F.when(in_a, x)).alias("_ca"), F.avg(F.when(in_b, y)).alias("_cb"))
+        groups = int(np.prod([a.dims[d] for d in a.dims if d not in gone], dtype=object))
+        df = df.join(sized(centres, groups), keys) if keys else df.crossJoin(F.broadcast(centres))  # one row
+        dx, dy = x - F.col("_ca"), y - F.col("_cb")
 
         def s(column, where):
             return F.sum(F.when(where, column))
 
         wa, wb, wc = s(w, in_a), s(w, in_b), s(w, both)
-        ma, mb = s(w * x, in_a) / wa, s(w * y, in_b) / wb
-        va, vb = s(w * x * x, in_a) - wa * ma * ma, s(w * y * y, in_b) - wb * mb * mb
-        cov = s(w * x * y, both) - ma * s(w * y, both) - mb * s(w * x, both) + ma * mb * wc
+        ma, mb = s(w * dx, in_a) / wa, s(w * dy, in_b) / wb
+        va, vb = s(w * dx * dx, in_a) - wa * ma * ma, s(w * dy * dy, in_b) - wb * mb * mb
+        cov = s(w * dx * dy, both) - ma * s(w * dy, both) - mb * s(w * dx, both) + ma * mb * wc
         value = F.try_divide(cov, F.sqrt(va * vb))
     out = df.groupBy(*keys).agg(F.when(missing <= mdtol, value).alias("v"))
     dims = {d: n for d, n in a.dims.items() if d not in gone}

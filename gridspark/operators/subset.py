@@ -295,48 +295,61 @@ def intersect_all(grid: Grid, *extents: Extent, ignore_bounds: bool = False, thr
     return grid
 
 
+#: Share of the period within which two places on a modular axis are one.
+SEAM = 1e-9
+
+
+def _turns(lo: np.ndarray, hi: np.ndarray, extent: Extent, period: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each interval [lo, hi] the number of whole periods that brings it into the range, and whether any does.
+
+    An interval meets the range after k periods for at most two neighbouring
+    k: with its upper part at the range's begin, or with its lower part at the
+    end. Both are solved for; the first counts unless it has no more than the
+    touching end in common and the second has more.
+    """
+    near = SEAM * period
+    first = np.ceil((extent.minimum - hi) / period - SEAM)
+    met, shared = [], []
+    for turns in (first, first + 1):
+        a, b = lo + turns * period, hi + turns * period
+        begins = b >= extent.minimum - near if extent.min_inclusive else b > extent.minimum + near
+        ends = a <= extent.maximum + near if extent.max_inclusive else a < extent.maximum - near
+        common = np.minimum(b, extent.maximum) - np.maximum(a, extent.minimum)
+        met.append(begins & ends & (common >= threshold * (hi - lo) - near))
+        shared.append(common)
+    later = met[1] & (~met[0] | ((shared[0] <= near) & (shared[1] > near)))
+    return first + later, met[0] | met[1]
+
+
 def intersection(grid: Grid, name: str, minimum: float, maximum: float, min_inclusive: bool = True, max_inclusive: bool = True, ignore_bounds: bool = False, threshold: float = 0.0) -> Grid:
     """The range [minimum, maximum] of a modular axis, wrapped and put in contiguous order.
 
-    With bounds a cell counts if it overlaps the range by ``threshold`` of its
-    width at least; a cell split by the seam goes to the lower end unless it
-    overlaps too little there.
+    A point counts where it lies in the range after some whole number of
+    periods; a cell with bounds counts where it shares ``threshold`` of its
+    width at least with the range. A cell that the range's seam splits is
+    placed at the lower end if it shares enough there.
     """
     c = grid.coord(name)
-    mod = c.modulus
-    if mod is None:
+    period = c.modulus
+    if period is None:
         raise GridError(f"{name} has no modulus")
-    if maximum > minimum + mod:
+    if maximum - minimum > period * (1 + SEAM):
         raise GridError("the range is wider than the modulus")
     p = c.points.astype(float)
-    span = p if c.bounds is None else c.bounds.astype(float)
-    if span.max() > span.min() + mod * (1 + 1e-12):
+    lo, hi = (p, p) if c.bounds is None or ignore_bounds else (c.bounds.min(axis=-1).astype(float), c.bounds.max(axis=-1).astype(float))
+    whole = p if c.bounds is None else c.bounds
+    if np.ptp(whole) > period * (1 + SEAM):
         raise GridError("the axis is wider than the modulus")
-    above = np.less_equal if min_inclusive else np.less
-    below = np.less_equal if max_inclusive else np.less
-    if c.bounds is None or ignore_bounds:
-        moved = np.round(((p - minimum) % mod + minimum - p) / mod) * mod
-        q = (p - minimum) % mod + minimum
-        inside = above(minimum, q) & below(q, maximum)
-    else:
-        lo, hi = c.bounds.min(axis=1).astype(float), c.bounds.max(axis=1).astype(float)
-        moved = np.round(((hi - minimum) % mod + minimum - hi) / mod) * mod
-        width = (hi - lo) * threshold
-        split = np.isclose(hi + moved, minimum) if minimum + mod == maximum and threshold == 0 else hi + moved - minimum < width
-        moved = moved + split * mod
-        a, b = lo + moved, hi + moved
-        over = np.where(above(minimum, b) & below(a, maximum), np.minimum(maximum, b) - np.maximum(minimum, a), np.nan)
-        inside = over >= width
-    at = np.flatnonzero(inside)
-    if not len(at):
+    turns, kept = _turns(lo, hi, Extent(name, minimum, maximum, min_inclusive, max_inclusive), period, threshold)
+    if not kept.any():
         raise GridError("nothing lies in the range")
+    moved = replace(c, points=p + turns * period, bounds=None if c.bounds is None else c.bounds + (turns * period)[:, None], is_dim=False, circular=False)
+    picks = np.flatnonzero(kept)
     if c.is_dim:
-        at = at[np.argsort((p + moved)[at], kind="stable")]
-        at = at if p[-1] >= p[0] else at[::-1]
-    shifted = replace(c, points=p + moved, bounds=None if c.bounds is None else c.bounds + moved[:, None], is_dim=False)
-    out = take_indices(grid.replace_coord(shifted) if c.is_dim else replace(grid, coords=tuple(shifted if x is c else x for x in grid.coords)), {c.dims[0]: at})
-    new = out.coord(name)
-    return replace(out, coords=tuple(replace(x, is_dim=c.is_dim and monotonic(x.points), circular=False) if x is new else x for x in out.coords))
+        rising = 1 if len(p) < 2 or p[1] > p[0] else -1
+        picks = picks[np.argsort(rising * moved.points[picks], kind="stable")]
+    out = take_indices(replace(grid, coords=tuple(moved if x is c else x for x in grid.coords)), {c.dims[0]: picks})
+    return replace(out, coords=tuple(replace(x, is_dim=c.is_dim and monotonic(x.points)) if x.name() == c.name() and x.dims == c.dims else x for x in out.coords))
 
 
 # Masks.
