@@ -31,7 +31,10 @@ def axis_of(c: Coord) -> str | None:
 
 
 def guessed_bounds(c: Coord, position: float = 0.5, monthly: bool = False, yearly: bool = False) -> np.ndarray:
-    """Bounds between neighbouring points; whole months or years of a time axis; latitudes stay within ±90."""
+    """Bounds between neighbouring points; whole months or years of a time axis; latitudes stay within ±90.
+
+    The points run one way; no two lie in one month (or year).
+    """
     if c.bounds is not None:
         raise GridError(f"{c.name()} has bounds already")
     if monthly and yearly:
@@ -41,11 +44,15 @@ def guessed_bounds(c: Coord, position: float = 0.5, monthly: bool = False, yearl
         y, m, _ = civil_from_days(np.floor_divide(c.seconds(), 86_400), c.calendar)
         m = m if monthly else np.ones_like(m)
         y2, m2 = (y + m // 12, m % 12 + 1) if monthly else (y + 1, m)
+        if len(set(zip(y.tolist(), m.tolist()))) < y.size:
+            raise GridError(f"{c.name()} has two points in one {'month' if monthly else 'year'}")
         ends = [days_from_civil(a, b, 1, c.calendar) * 86_400.0 - reference_seconds(c.units, c.calendar) for a, b in ((y, m), (y2, m2))]
         return np.stack(ends, axis=1) / unit.factor
     p = c.points.astype(float)
     if p.ndim != 1 or len(p) < 2:
         raise GridError("bounds are guessed for one axis of two points or more")
+    if not monotonic(p):
+        raise GridError(f"the points of {c.name()} aren't strictly monotonic")
     if c.circular and c.modulus:
         way = np.sign(p[-1] - p[0]) * c.modulus
         d = np.diff(np.r_[p[-1] - way, p, p[0] + way])

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 from functools import reduce
 from itertools import groupby
@@ -251,5 +252,21 @@ def combine(grids: Iterable[Grid], policy: str = "default", steps: str | None =
 
 
 def co_realise(grids: list[Grid]) -> list[Grid]:
-    """Mark several fields for one shared materialisation."""
+    """Mark several fields for one shared materialisation; :func:`forget` gives the memory back."""
     return [g.with_df(g.df.cache()) for g in grids]
+
+
+def forget(grids: Iterable[Grid]) -> None:
+    """Undo :func:`co_realise`."""
+    for g in grids:
+        g.df.unpersist()
+
+
+@contextmanager
+def realised(grids: list[Grid]) -> Iterator[list[Grid]]:
+    """The fields kept in memory and on disk inside the block."""
+    own = co_realise(grids)
+    try:
+        yield own
+    finally:
+        forget(own)

@@ -206,13 +206,30 @@ class FieldFunction:
         return apply_function(a, self.data, other, units, name)
 
 
+#: Cells of a series that one task of a running function takes.
+RUN = 4096
+
+
 def cumulative(a: Grid, coord: str, kind: str = "sum") -> Grid:
-    """Running sum, minimum or maximum along a coordinate's dimension, missing cells skipped."""
+    """Running sum, minimum or maximum along a coordinate's dimension, missing cells skipped.
+
+    A series longer than ``RUN`` runs block by block; what the blocks before
+    give is run over one row a block and added to the cells.
+    """
     from pyspark.sql import Window
 
     (d,) = a.dims_of(coord)
-    frame = Window.partitionBy(*a.keys([d])).orderBy(index(d)).rowsBetween(Window.unboundedPreceding, 0)
-    return a.with_df(a.df.withColumn("v", F.when(F.col("v").isNotNull(), getattr(F, kind)("v").over(frame))))
+    col, others, of = index(d), a.keys([d]), getattr(F, kind)
+    if a.dims[d] <= RUN:
+        frame = Window.partitionBy(*others).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+        return a.with_df(a.df.withColumn("v", F.when(F.col("v").isNotNull(), of("v").over(frame))))
+    cells = a.df.where("v is not null").withColumn("_run", F.expr(f"`{col}` div {RUN}"))
+    inside = Window.partitionBy(*others, "_run").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*others).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.groupBy(*others, "_run").agg(of("v").alias("_all")).withColumn("_before", of("_all").over(earlier)).drop("_all")
+    own = cells.withColumn("v", of("v").over(inside)).join(before, [*others, "_run"])
+    joined = F.col("v") + F.coalesce("_before", F.lit(0.0)) if kind == "sum" else (F.least if kind == "min" else F.greatest)(F.col("v"), F.coalesce("_before", F.col("v")))
+    return a.with_df(own.select(*a.keys(), joined.alias("v")))
 
 
 def coord_maths(c: Coord, op: str, other: float | Coord) -> Coord:

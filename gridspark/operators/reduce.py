@@ -355,8 +355,8 @@ def rolling_window(grid: Grid, coord, agg: Aggregator, window: int, weights=None
 
     Short windows spread each cell to the windows it belongs to and aggregate
     with partial sums, which also shares out a single series. Long unweighted
-    windows of plain aggregators use a range frame where other dimensions
-    divide the work.
+    windows of plain aggregators are put together from the end of one block
+    and the begin of the next, see :func:`_two_block_windows`.
     """
     c = grid.coord(coord)
     if len(c.dims) != 1:
@@ -369,15 +369,8 @@ def rolling_window(grid: Grid, coord, agg: Aggregator, window: int, weights=None
         raise GridError(f"a window has 2 to {n} cells")
     col, others = index(dim), grid.keys([dim])
     last = n - window
-    framed = agg.kind == "plain" and agg.window_safe and weights is None and others and window > SPREAD_WINDOW
-    if framed:
-        frame = Window.partitionBy(*others).orderBy(col).rangeBetween(0, window - 1)
-        opts = {**agg.defaults, **options}
-        dense = grid.dense().df
-        value = _over(agg, frame, opts)
-        if mdtol is not None and mdtol < 1:
-            value = F.when((F.lit(window) - F.count("v").over(frame)) / window <= mdtol, value)
-        out = dense.withColumn("_x", value).where(F.col(col) <= last).drop("v").withColumnRenamed("_x", "v")
+    if agg.kind == "plain" and agg.window_safe and weights is None and window > SPREAD_WINDOW:
+        out = _two_block_windows(grid, dim, agg, window, mdtol, {**agg.defaults, **options}).where(F.col(col) <= last)
     else:
         spread = F.explode(F.sequence(F.greatest(F.lit(0), F.col(col) - window + 1), F.least(F.col(col), F.lit(last))))
         df = grid.df.where(F.greatest(F.lit(0), F.col(col) - window + 1) <= F.least(F.col(col), F.lit(last))).withColumn("_start", spread)
@@ -412,23 +405,53 @@ def rolling_window(grid: Grid, coord, agg: Aggregator, window: int, weights=None
     )
 
 
-def _over(agg: Aggregator, frame, opts: dict) -> Column:
-    """A plain aggregator as a window expression, from the same parts."""
+def _two_block_windows(grid: Grid, dim: str, agg: Aggregator, window: int, mdtol: float | None, opts: dict) -> DataFrame:
+    """Long windows in a constant number of steps a cell, one long series shared out over tasks.
+
+    Blocks are as long as the window, so each window is the end of a block
+    from its first cell on and the begin of the next up to its last cell.
+    Running parts (counts, sums, extremes, squared deviations) from both ends
+    of every block are joined by the window's start and merged.
+    """
+    col, others = index(dim), grid.keys([dim])
     v = F.col("v")
-    simple = {"SUM": F.sum, "MEAN": F.avg, "MAX": F.max}
-    if agg.name in simple:
-        return simple[agg.name](v).over(frame)
-    if agg.name == "MIN":
-        return F.when(F.max(F.isnan(v)).over(frame), F.lit(float("nan"))).otherwise(F.min(v).over(frame))
-    if agg.name == "RMS":
-        return F.sqrt(F.avg(v * v).over(frame))
-    if agg.name == "GMEAN":
-        return F.exp(F.avg(F.ln(v)).over(frame))
+    term = {"RMS": v * v, "GMEAN": F.ln(v), "HMEAN": F.try_divide(F.lit(1.0), v)}.get(agg.name, v)
     if agg.name in ("COUNT", "PROPORTION"):
-        hits = F.sum(F.when(v.isNotNull(), opts["function"](v).cast("int"))).over(frame).cast("double")
-        return hits if agg.name == "COUNT" else F.try_divide(hits, F.count(v).over(frame))
-    if agg.name == "HMEAN":
-        return F.when(F.min(v).over(frame) > 0, F.count(v).over(frame) / F.sum(F.try_divide(F.lit(1.0), v)).over(frame))
-    n, var = F.count(v).over(frame), F.var_pop(v).over(frame)
-    out = F.when(n > opts["ddof"], var * n / (n - opts["ddof"]))
-    return out if agg.name == "VARIANCE" else F.sqrt(out)
+        term = F.when(v.isNotNull(), opts["function"](v).cast("double"))
+    cells = grid.dense().df.withColumn("_block", F.expr(f"`{col}` div {window}")).withColumn("_x", term)
+    wanted = {"n": lambda f: F.count("v").over(f), "k": lambda f: F.count("_x").over(f), "s": lambda f: F.sum("_x").over(f)}
+    if agg.name in ("MIN", "MAX", "HMEAN"):
+        wanted |= {"lo": lambda f: F.min("v").over(f), "hi": lambda f: F.max("v").over(f), "nan": lambda f: F.max(F.isnan("v")).over(f)}
+    if agg.name in ("VARIANCE", "STD_DEV"):
+        wanted |= {"m": lambda f: F.avg("v").over(f), "q": lambda f: (F.var_pop("v").over(f) * F.count("v").over(f))}
+    block = Window.partitionBy(*others, "_block").orderBy(col)
+    ends, begins = block.rowsBetween(0, Window.unboundedFollowing), block.rowsBetween(Window.unboundedPreceding, 0)
+    both = cells.select(*others, F.col(col), *(f(ends).alias(f"_e_{k}") for k, f in wanted.items()), *(f(begins).alias(f"_b_{k}") for k, f in wanted.items()))
+    end = both.select(*others, col, *(f"_e_{k}" for k in wanted))
+    begin = both.select(*others, (F.col(col) - (window - 1)).alias(col), F.expr(f"`{col}` div {window}").alias("_in"), *(f"_b_{k}" for k in wanted)).where(F.expr(f"_in > `{col}` div {window}")).drop("_in")
+    pair = end.join(begin, [*others, col], "left")  # a window that is a block has no second part
+    a, b = (lambda k: F.col(f"_e_{k}")), (lambda k: F.col(f"_b_{k}"))
+    total = lambda k: F.coalesce(a(k), F.lit(0)) + F.coalesce(b(k), F.lit(0))
+    n, k, s = total("n"), total("k"), total("s")
+    if agg.name in ("SUM", "COUNT"):
+        value = F.when(n > 0, s.cast("double"))
+    elif agg.name in ("MEAN", "PROPORTION"):
+        value = F.try_divide(s, n)
+    elif agg.name == "RMS":
+        value = F.sqrt(F.try_divide(s, n))
+    elif agg.name == "GMEAN":
+        value = F.exp(F.try_divide(s, k))
+    elif agg.name == "MAX":
+        value = F.greatest(a("hi"), b("hi"))
+    elif agg.name in ("MIN", "HMEAN"):
+        low = F.least(a("lo"), b("lo"))
+        has_nan = F.coalesce(a("nan"), F.lit(False)) | F.coalesce(b("nan"), F.lit(False))
+        value = F.when(has_nan, F.lit(float("nan"))).otherwise(low) if agg.name == "MIN" else F.when(low > 0, F.try_divide(n, s))
+    else:
+        apart = F.coalesce(a("m") - b("m"), F.lit(0.0))
+        square = total("q") + apart * apart * F.coalesce(F.try_divide(a("n") * b("n"), n), F.lit(0.0))
+        value = F.when(n > opts["ddof"], square / (n - opts["ddof"]))
+        value = value if agg.name == "VARIANCE" else F.sqrt(value)
+    if mdtol is not None and mdtol < 1:
+        value = F.when((F.lit(window) - n) / window <= mdtol, value)
+    return pair.select(*others, col, value.alias("v"))

@@ -475,14 +475,8 @@ def _combined_blocks(g: Grid) -> Grid:
     return whole
 
 
-@query("combine_cubes", f"WITH {X.SALES} SELECT month, supp, {r('v')} FROM sa WHERE supp <= 3")
+@query("combine_cubes", f"WITH {X.SALES} SELECT month, supp, {r('v')} FROM sa")
 def combine_cubes(spark, d):
-    whole = _combined_blocks(X.sales(spark, d))
-    return rows(whole.extract(subset.Constraint(supp=lambda c: c.point <= 3)), month="month", supp="supp")
-
-
-@query("combine_whole_field", f"WITH {X.SALES} SELECT month, supp, {r('v')} FROM sa")
-def combine_whole_field(spark, d):
     return rows(_combined_blocks(X.sales(spark, d)), month="month", supp="supp")
 
 
@@ -663,13 +657,8 @@ def _stored(g: Grid) -> Grid:
     return load_field(g.spark, at)
 
 
-@query("save_and_load", f"WITH {X.SALES} SELECT month, supp, {r('v')} FROM sa WHERE supp IN (1, 2)")
+@query("save_and_load", f"WITH {X.SALES} SELECT month, supp, {r('v')} FROM sa")
 def save_and_load(spark, d):
-    return rows(_stored(X.sales(spark, d)).extract(subset.Constraint(supp=[1, 2])), month="month", supp="supp")
-
-
-@query("save_and_load_whole_field", f"WITH {X.SALES} SELECT month, supp, {r('v')} FROM sa")
-def save_and_load_whole_field(spark, d):
     return rows(_stored(X.sales(spark, d)), month="month", supp="supp")
 
 
@@ -678,13 +667,6 @@ def cell_ordering(spark, d):
     return rows(X.price_size(spark, d).extract(subset.Constraint(size=lambda c: c > 40)), size="size")
 
 
-@query("fingerprint", "SELECT count(*) AS n FROM (SELECT DISTINCT year(l_shipdate), month(l_shipdate), l_suppkey FROM lineitem)")
-def fingerprint(spark, d):
-    n, _ = X.sales(spark, d).fingerprint()
-    return spark.range(1).select(F.lit(n).cast("bigint").alias("n"))
-
-
-
 # Streams.
 
 _SECONDS = "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(start as timestamp_ntz))"

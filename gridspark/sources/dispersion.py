@@ -6,6 +6,7 @@ by their shape, split and cast in the JVM, so one file is read in parallel.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import CellMethod, Coord, Grid, GridError, local_table
-from ..units import days_from_civil
+from ..units import Unit, days_from_civil
 from .store import Format, add_format
 
 # The heading rows of the two layouts, in order, and the most lines a heading takes.
@@ -48,12 +49,52 @@ def _heading(spark: SparkSession, path: str) -> tuple[dict[str, str], dict[str,
     return header, rows, kind, skip
 
 
+def _units(text: str) -> str:
+    """The units of a column, or ``unknown`` where they have no meaning here."""
+    try:
+        Unit.parse(text)
+    except ValueError:
+        return "unknown"
+    return text or "1"
+
+
 def _names(rows: dict[str, list[str]], k: int) -> dict:
     quantity, species = rows["Quantity"][k], rows["Species"][k]
     method = rows["Time Av or Int"][k].lower()
     methods = (CellMethod("mean", ("time",)),) if "average" in method else (CellMethod("sum", ("time",)),) if "integral" in method else ()
     keep = {n: rows[n][k] for n in ("Species Category", "Name", "Quantity", "Species", "Sources") if rows[n][k]}
-    return {"long_name": f"{species} {quantity}".strip().upper().replace(" ", "_"), "units": "1", "attributes": {**keep, "Units": rows["Units"][k]}, "cell_methods": methods}
+    return {"long_name": f"{species} {quantity}".strip().upper().replace(" ", "_"), "units": _units(rows["Units"][k]), "attributes": keep, "cell_methods": methods}
+
+
+PERIOD = re.compile(r"(\d+)\s*(day|hr|min|sec)", re.I)
+#: Hours of the units of a period, and what a vertical reference is called.
+HOURS = {"day": 24.0, "hr": 1.0, "min": 1 / 60, "sec": 1 / 3600}
+REFERENCES = {"agl": ("height", "height above ground level"), "asl": ("altitude", "altitude above sea level")}
+HEIGHT = re.compile(r"Z\s*=\s*([-+.\d]+)\s*m\s*(agl|asl)", re.I)
+LAYER = re.compile(r"From\s*([-+.\d]+)\s*-\s*([-+.\d]+)\s*m\s*(agl|asl)", re.I)
+FLIGHT = re.compile(r"From\s*FL(\d+)\s*-\s*FL(\d+)", re.I)
+
+
+def _time(text: str, average: str) -> Coord:
+    """The time of a column; an average or integral covers its period up to then."""
+    at = _hours(text)
+    period = sum(int(n) * HOURS[u.lower()] for n, u in PERIOD.findall(average))
+    return Coord(standard_name="time", units="hours since 1970-01-01", points=np.array(at), bounds=np.array([at - period, at]) if period else None, dims=())
+
+
+def _vertical(text: str) -> Coord:
+    """Heights, layers and flight levels as numbers; anything else as a text."""
+    if m := HEIGHT.search(text):
+        name, label = REFERENCES[m[2].lower()]
+        return Coord(standard_name=name, long_name=label, units="m", points=np.array(float(m[1])), dims=())
+    if m := LAYER.search(text):
+        name, label = REFERENCES[m[3].lower()]
+        lo, hi = float(m[1]), float(m[2])
+        return Coord(standard_name=name, long_name=label, units="m", points=np.array((lo + hi) / 2), bounds=np.array([lo, hi]), dims=())
+    if m := FLIGHT.search(text):
+        lo, hi = float(m[1]), float(m[2])
+        return Coord(long_name="flight_level", points=np.array((lo + hi) / 2), bounds=np.array([lo, hi]), dims=())
+    return Coord(long_name="z", points=np.array(text), dims=())
 
 
 def load_dispersion(spark: SparkSession, path: str) -> list[Grid]:
@@ -72,9 +113,9 @@ def load_dispersion(spark: SparkSession, path: str) -> list[Grid]:
             df = data.select((F.expr("cast(trim(get(c, 1)) as double)").cast("int") - 1).alias("i_latitude"), (F.expr("cast(trim(get(c, 0)) as double)").cast("int") - 1).alias("i_longitude"), at(skip + k).try_cast("double").alias("v"))
             coords = [Coord(standard_name="latitude", units="degrees", points=y, dims=("latitude",), is_dim=True), Coord(standard_name="longitude", units="degrees", points=x, dims=("longitude",), is_dim=True)]
             if rows["Time"][k]:
-                coords.append(Coord(standard_name="time", units="hours since 1970-01-01", points=np.array(_hours(rows["Time"][k])), dims=()))
+                coords.append(_time(rows["Time"][k], rows["Time Av or Int"][k]))
             if rows["Z"][k]:
-                coords.append(Coord(long_name="z", points=np.array(rows["Z"][k]), dims=()))
+                coords.append(_vertical(rows["Z"][k]))
             out.append(Grid(df=df, dims={"latitude": ny, "longitude": nx}, coords=tuple(coords), **_names(rows, k)))
         return out
     stamp = "try_cast(regexp_replace(trim(get(c, 0)), '^(\\\\d\\\\d)/(\\\\d\\\\d)/(\\\\d{4}) +(\\\\d\\\\d:\\\\d\\\\d).*$', '$3-$2-$1 $4:00') as timestamp_ntz)"
@@ -92,6 +133,8 @@ def load_dispersion(spark: SparkSession, path: str) -> list[Grid]:
             coords.append(Coord(standard_name=name, units="degrees", points=np.array(float(number)), dims=()))
         if rows["Location"][k]:
             coords.append(Coord(long_name="location", points=np.array(rows["Location"][k]), dims=()))
+        if rows["Z"][k]:
+            coords.append(_vertical(rows["Z"][k]))
         out.append(Grid(df=placed.select("i_time", at(skip + k).try_cast("double").alias("v")), dims={"time": len(hours)}, coords=tuple(coords), **_names(rows, k)))
     return out
 

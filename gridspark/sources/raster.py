@@ -1,4 +1,4 @@
-"""GeoTIFF of a regular two-dimensional field: one strip of 32-bit floats with its tie point and pixel size."""
+"""GeoTIFF of a regular two-dimensional field: strips of 32-bit floats with their tie point and pixel size."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ import struct
 
 import numpy as np
 
-from ..frame import Grid, GridError
+import pyarrow as pa
+from pyspark.sql import SparkSession
+
+from ..frame import Coord, Grid, GridError
 from ..functions.axes import is_regular
-from .store import _filesystem, add_writer
+from .store import Format, _filesystem, add_format, add_writer
 
 # TIFF tags of the file.
 NO_DATA = -1e20
@@ -49,4 +52,58 @@ def save_raster(grid: Grid, path: str, **_) -> None:
         stream.close()
 
 
+# Widths of TIFF number kinds.
+WIDTHS = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 12: ("d", 8)}
+
+
+def _directory(data: bytes) -> tuple[str, dict[int, tuple]]:
+    """Byte order and the entries of a file's first directory."""
+    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
+        raise GridError("no TIFF file")
+    (at,) = struct.unpack_from(order + "I", data, 4)
+    (n,) = struct.unpack_from(order + "H", data, at)
+    out = {}
+    for k in range(n):
+        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+        if kind not in WIDTHS:
+            continue
+        code, width = WIDTHS[kind]
+        place = at + 10 + 12 * k if width * count <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
+        out[tag] = (data[place : place + count],) if kind == 2 else struct.unpack_from(f"{order}{count}{code}", data, place)
+    return order, out
+
+
+def load_raster(spark: SparkSession, path: str) -> Grid:
+    """A GeoTIFF of uncompressed 32-bit floats as a latitude-longitude field, rows from the north; cells are read by a task."""
+    def facts(batches):
+        for b in batches:
+            for content in b.column(0):
+                _, e = _directory(content.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([[float(x) for x in (e[256][0], e[257][0], *e[33550][:2], *e[33922][3:5])]], pa.list_(pa.float64()))], names=["f"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    nx, ny, dx, dy, left, top = files.mapInArrow(facts, "f array<double>").head()[0]
+    nx, ny = int(nx), int(ny)
+
+    def cells(batches):
+        for b in batches:
+            for content in b.column(0):
+                data = content.as_py()
+                order, e = _directory(data)
+                if e.get(258) != (32,) or e.get(259, (1,)) != (1,) or e.get(339) != (3,):
+                    raise GridError("only uncompressed 32-bit floats are read")
+                blank = float(e[42113][0].split(b"\0")[0]) if 42113 in e else None
+                rows = e.get(278, (ny,))[0]
+                for k, (at, size) in enumerate(zip(e[273], e[279])):
+                    v = np.frombuffer(data, order + "f4", size // 4, at).astype(float)
+                    y, x = np.divmod(np.arange(len(v)), nx)
+                    yield pa.RecordBatch.from_arrays([pa.array(y + k * rows, pa.int32()), pa.array(x, pa.int32()), pa.array(v, mask=np.zeros(len(v), bool) if blank is None else np.isclose(v, blank, rtol=1e-6, atol=0))], names=["i_latitude", "i_longitude", "v"])
+
+    y = Coord(standard_name="latitude", units="degrees", points=top - dy * (np.arange(ny) + 0.5), dims=("latitude",), is_dim=True)
+    x = Coord(standard_name="longitude", units="degrees", points=left + dx * (np.arange(nx) + 0.5), dims=("longitude",), is_dim=True)
+    return Grid(df=files.mapInArrow(cells, "i_latitude int, i_longitude int, v double"), dims={"latitude": ny, "longitude": nx}, coords=(y, x), long_name="raster")
+
+
 add_writer("tif", save_raster)
+add_format(Format(6, "GeoTIFF", lambda p, b: b[:4] in (b"II*\0", b"MM\0*"), lambda spark, path: [load_raster(spark, path)]))

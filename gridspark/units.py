@@ -16,11 +16,13 @@ _NAMED = {
     "celsius": (1.0, 273.15, {"K": 1}), "fahrenheit": (5 / 9, 459.67 * 5 / 9, {"K": 1}), "minute": (60.0, 0.0, {"s": 1}), "hour": (3600.0, 0.0, {"s": 1}), "day": (86400.0, 0.0, {"s": 1}),
     "N": (1.0, 0.0, {"kg": 1, "m": 1, "s": -2}), "Pa": (1.0, 0.0, {"kg": 1, "m": -1, "s": -2}), "J": (1.0, 0.0, {"kg": 1, "m": 2, "s": -2}), "W": (1.0, 0.0, {"kg": 1, "m": 2, "s": -3}),
     "bar": (1e5, 0.0, {"kg": 1, "m": -1, "s": -2}), "l": (1e-3, 0.0, {"m": 3}), "knot": (1852 / 3600, 0.0, {"m": 1, "s": -1}), "foot": (0.3048, 0.0, {"m": 1}), "Hz": (1.0, 0.0, {"s": -1}),
+    "Bq": (1.0, 0.0, {"s": -1}), "Sv": (1.0, 0.0, {"m": 2, "s": -2}), "Gy": (1.0, 0.0, {"m": 2, "s": -2}), "V": (1.0, 0.0, {"kg": 1, "m": 2, "s": -3, "A": -1}), "C": (1.0, 0.0, {"A": 1, "s": 1}), "sr": (1.0, 0.0, {}),
+    "ppm": (1e-6, 0.0, {}), "ppb": (1e-9, 0.0, {}), "mb": (100.0, 0.0, {"kg": 1, "m": -1, "s": -2}), "week": (604800.0, 0.0, {"s": 1}), "tonne": (1e3, 0.0, {"kg": 1}), "mile": (1609.344, 0.0, {"m": 1}), "nautical_mile": (1852.0, 0.0, {"m": 1}),
 }
 _ALIAS = {
     "degrees": "degree", "deg": "degree", "degrees_north": "degree", "degrees_east": "degree", "degree_north": "degree", "degree_east": "degree", "radians": "radian", "rad": "radian", "%": "percent",
     "metre": "m", "meter": "m", "metres": "m", "meters": "m", "second": "s", "seconds": "s", "sec": "s", "minutes": "minute", "min": "minute", "hours": "hour", "h": "hour", "hr": "hour", "days": "day", "d": "day",
-    "kelvin": "K", "degC": "celsius", "Celsius": "celsius", "degF": "fahrenheit", "pascal": "Pa", "watt": "W", "newton": "N", "joule": "J", "feet": "foot", "ft": "foot", "knots": "knot", "litre": "l", "no_unit": "1", "dimensionless": "1",
+    "kelvin": "K", "degC": "celsius", "Celsius": "celsius", "degF": "fahrenheit", "pascal": "Pa", "watt": "W", "newton": "N", "joule": "J", "feet": "foot", "ft": "foot", "knots": "knot", "litre": "l", "millibar": "mb", "millibars": "mb", "weeks": "week", "becquerel": "Bq", "miles": "mile", "no_unit": "1", "dimensionless": "1",
 }
 _PREFIX = {"G": 1e9, "M": 1e6, "k": 1e3, "h": 1e2, "c": 1e-2, "m": 1e-3, "u": 1e-6, "n": 1e-9}
 _TERM = re.compile(r"([A-Za-z_%]+|\d+(?:\.\d+)?(?:e[+-]?\d+)?)(?:\^|\*\*)?([+-]?\d+)?")
