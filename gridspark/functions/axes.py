@@ -33,7 +33,7 @@ def axis_of(c: Coord) -> str | None:
 def guessed_bounds(c: Coord, position: float = 0.5, monthly: bool = False, yearly: bool = False) -> np.ndarray:
     """Bounds between neighbouring points; whole months or years of a time axis; latitudes stay within ±90.
 
-    The points run one way; no two lie in one month (or year).
+    The points run one way; months (or years) follow one another, each with one point.
     """
     if c.bounds is not None:
         raise GridError(f"{c.name()} has bounds already")
@@ -47,6 +47,8 @@ def guessed_bounds(c: Coord, position: float = 0.5, monthly: bool = False, yearl
         if len(set(zip(y.tolist(), m.tolist()))) < y.size:
             raise GridError(f"{c.name()} has two points in one {'month' if monthly else 'year'}")
         ends = [days_from_civil(a, b, 1, c.calendar) * 86_400.0 - reference_seconds(c.units, c.calendar) for a, b in ((y, m), (y2, m2))]
+        if not np.array_equal(ends[0][1:], ends[1][:-1]):
+            raise GridError(f"{c.name()} leaves {'months' if monthly else 'years'} out")
         return np.stack(ends, axis=1) / unit.factor
     p = c.points.astype(float)
     if p.ndim != 1 or len(p) < 2:

@@ -438,7 +438,7 @@ def delta_circular(spark, d):
 
 @query("curl", f"""WITH {X.PLANE}, q AS (SELECT x, y, v, v * v / 1000 AS u FROM pl), c AS (SELECT a.x, a.y, ((b.v - a.v) + (e.v - c.v)) / 2 - ((c.u - a.u) + (e.u - b.u)) / 2 AS k
     FROM q a JOIN q b ON b.x = a.x + 1 AND b.y = a.y JOIN q c ON c.x = a.x AND c.y = a.y + 1 JOIN q e ON e.x = a.x + 1 AND e.y = a.y + 1)
-    SELECT x + 0.5 AS x, y + 0.5 AS y, {r('k', 4)} FROM c""")
+    SELECT CAST(x + 0.5 AS DOUBLE) AS x, CAST(y + 0.5 AS DOUBLE) AS y, {r('k', 4)} FROM c""")
 def curl(spark, d):
     v = X.price_plane(spark, d)
     u = (v * v / 1000.0).named("u")

@@ -172,7 +172,14 @@ def test_axes(spark):
     lat = Coord(standard_name="latitude", units="degrees", points=np.array([-90.0, 0, 90]), dims=("y",), is_dim=True)
     assert lat.guess_bounds().bounds.tolist() == [[-90, -45], [-45, 45], [45, 90]]
     t = axis("time", [15, 45], units="days since 1970-01-01")
-    assert t.guess_bounds(monthly=True).bounds.tolist() == [[0, 31], [31, 59]] and t.guess_bounds(yearly=True).bounds.tolist() == [[0, 365]] * 2
+    assert t.guess_bounds(monthly=True).bounds.tolist() == [[0, 31], [31, 59]]
+    with pytest.raises(ValueError):
+        t.guess_bounds(yearly=True)  # two points in one year
+    years = axis("time", [100.0, 400.0], units="days since 1970-01-01")
+    assert years.guess_bounds(yearly=True).bounds.tolist() == [[0, 365], [365, 730]]
+    for points, how in (([3.0, 1.0, 2.0], {}), ([1.0, 2.0], {"monthly": True}), ([1.0, 70.0], {"monthly": True})):
+        with pytest.raises(ValueError):
+            Coord(long_name="time", points=np.array(points), dims=("t",), units="days since 1970-01-01").guess_bounds(**how)
     assert axes.is_contiguous(c.guess_bounds()) and axes.contiguous_edges(c).tolist() == [-0.5, 0.5, 2, 4]
     assert axes.nearest_index(axis("x", [0.0, 2, 4]), 1) == 0 and axes.nearest_index(c.guess_bounds(), 1.9) == 1
     lon = simple_3d(spark).coord("longitude")
