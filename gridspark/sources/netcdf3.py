@@ -1,7 +1,7 @@
 """Classic netCDF files (CDF-1 and CDF-2), read and written in pure Python, as fields.
 
 Headers and coordinates are read by a task and sent to the driver; cells are
-read by a task a file, a slice of the leading dimension at a time.
+read by byte ranges dealt out over tasks. Files are written a slab at a time.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..frame import Coord, Grid, GridError, index, monotonic
 from ..functions.axes import axis_of
+from .bytesio import created, slabs, with_file, with_spans
 from .store import Format, add_format, add_writer
 
 # The types and tags of the classic format.
@@ -116,29 +117,51 @@ def _slice_bytes(h: Header, v: Variable) -> int:
     return int(np.prod(shape, dtype=np.int64)) * np.dtype(KINDS[v.kind]).itemsize
 
 
-def read_array(data: bytes, h: Header, v: Variable, first: int | None = None, last: int | None = None) -> np.ndarray:
-    """A variable's values, or those of a range of its leading dimension; packed values unpacked, fills masked."""
+def spans(h: Header, v: Variable, cells: int = 1 << 20) -> list[tuple[int, int, int]]:
+    """(first cell in the variable's order, begin, bytes) of stretches of at most ``cells`` cells."""
+    width = np.dtype(KINDS[v.kind]).itemsize
+    inner = _slice_bytes(h, v) // width
+    rows = h.records if v.record else 1
+    return [(r * inner + k, v.begin + r * h.record_size + k * width, min(cells, inner - k) * width) for r in range(rows) for k in range(0, inner, cells)]
+
+
+def decoded(raw: bytes, v: Variable) -> np.ndarray:
+    """Stored bytes as values: packed ones unpacked, fills masked."""
     dtype = np.dtype(KINDS[v.kind])
-    shape = [h.dims[d] for d in v.dims]
-    if first is not None:
-        shape = [last - first, *shape[1:]]
-    inner = int(np.prod(shape[1:], dtype=np.int64)) if shape else 1
-    if v.record:
-        rows = [np.frombuffer(data, dtype, inner, v.begin + k * h.record_size) for k in range(first or 0, h.records if last is None else last)]
-        raw = np.concatenate(rows) if rows else np.zeros(0, dtype)
-    else:
-        raw = np.frombuffer(data, dtype, int(np.prod(shape, dtype=np.int64)), v.begin + (first or 0) * inner * dtype.itemsize)
-    raw = raw.reshape(shape)
+    a = np.frombuffer(raw, dtype, len(raw) // dtype.itemsize)
     if v.kind == 2:
-        return raw
+        return a
     fill = v.attributes.get("_FillValue", v.attributes.get("missing_value", FILLS.get(v.kind)))
-    mask = np.zeros(raw.shape, bool) if fill is None else raw == np.asarray(fill, dtype)
-    out = raw.astype(dtype.newbyteorder("="))
+    mask = np.zeros(a.shape, bool) if fill is None else a == np.asarray(fill, dtype)
+    out = a.astype(dtype.newbyteorder("="))
     if "scale_factor" in v.attributes or "add_offset" in v.attributes:
         out = out * float(v.attributes.get("scale_factor", 1)) + float(v.attributes.get("add_offset", 0))
     return np.ma.array(out, mask=mask) if mask.any() else out
 
 
+def read_array(data: bytes, h: Header, v: Variable, first: int | None = None, last: int | None = None) -> np.ndarray:
+    """A variable's values, or those of a range of its leading dimension."""
+    return array_through(lambda begin, size: data[begin : begin + size], h, v)[first:last]
+
+
+def array_through(read, h: Header, v: Variable) -> np.ndarray:
+    """A variable's values, read by ``read(begin, size)``."""
+    raw = b"".join(read(begin, size) for _, begin, size in spans(h, v))
+    return decoded(raw, v).reshape([h.dims[d] for d in v.dims])
+
+
+def header_through(read, size: int) -> Header:
+    """The header, from as much of the file's begin as it takes."""
+    take = 1 << 16
+    while True:
+        try:
+            return read_header(read(0, min(take, size)))
+        except (struct.error, ValueError, IndexError, KeyError):
+            if take >= size:
+                raise
+            take *= 8
+
+
 def _helpers(h: Header) -> set[str]:
     """Variables that describe others: bounds, auxiliary coordinates, measures, ancillaries."""
     out: set[str] = set()
@@ -151,15 +174,12 @@ def _helpers(h: Header) -> set[str]:
 def describe_file(spark: SparkSession, path: str) -> tuple[Header, dict[str, np.ndarray]]:
     """The header and the arrays of all coordinates, read by a task; no data variable reaches the driver."""
 
-    def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            for content in batch.column(0):
-                data = content.as_py()
-                h = read_header(data)
-                small = {n: read_array(data, h, v) for n, v in h.variables.items() if n in h.dims or n in _helpers(h) or not v.dims}
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((h, small))], pa.binary())], names=["b"])
+    def rows(read, size):
+        h = header_through(read, size)
+        small = {n: array_through(read, h, v) for n, v in h.variables.items() if n in h.dims or n in _helpers(h) or not v.dims}
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((h, small))], pa.binary())], names=["b"])
 
-    return pickle.loads(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "b binary").head()[0])
+    return pickle.loads(with_file(spark, path, rows, "b binary").head()[0])
 
 
 def _coord(h: Header, arrays: dict[str, np.ndarray], v: Variable, dims: tuple[str, ...], axis: bool) -> Coord:
@@ -199,30 +219,21 @@ def load_netcdf3(spark: SparkSession, path: str, constraints: list | None = None
             if name in h.variables and set(h.variables[name].dims[: len(h.variables[name].dims) - (h.variables[name].kind == 2)]) <= set(dims):
                 coords.append(_coord(h, arrays, h.variables[name], h.variables[name].dims, False))
         keep = {k: x for k, x in a.items() if k not in ("standard_name", "long_name", "units", "coordinates", "_FillValue", "missing_value", "scale_factor", "add_offset", "cell_measures", "ancillary_variables", "cell_methods")}
-        out.append(Grid(df=_cells(spark, path, v.name, dims), dims=dims, coords=tuple(coords), standard_name=a.get("standard_name"), long_name=a.get("long_name"), var_name=v.name, units=a.get("units", "1"), attributes={**h.attributes, **keep}))
+        out.append(Grid(df=_cells(spark, path, h, v, dims), dims=dims, coords=tuple(coords), standard_name=a.get("standard_name"), long_name=a.get("long_name"), var_name=v.name, units=a.get("units", "1"), attributes={**h.attributes, **keep}))
     return out
 
 
-def _cells(spark: SparkSession, path: str, name: str, dims: dict[str, int]) -> DataFrame:
-    """The cells of a variable, lazily: the file is a row of one binary table, exploded by slices of the leading dimension."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    lead, keys = next(iter(dims)), [index(d) for d in dims]
-    schema = ", ".join([*(f"`{k}` int" for k in keys), "v double"])
+def _cells(spark: SparkSession, path: str, h: Header, v: Variable, dims: dict[str, int]) -> DataFrame:
+    """The cells of a variable, lazily."""
+    keys, shape = [index(d) for d in dims], tuple(dims.values())
 
-    def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            for content in batch.column(0):
-                data = content.as_py()
-                h = read_header(data)
-                v = h.variables[name]
-                for k in range(h.dims[lead]):
-                    part = np.ma.asarray(read_array(data, h, v, k, k + 1).astype(float))
-                    at = np.indices(part.shape).reshape(part.ndim, -1)
-                    at[0] += k
-                    values = pa.array(part.filled(0.0).ravel(), mask=np.ma.getmaskarray(part).ravel())
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in at), values], names=[*keys, "v"])
+    def rows(first: int, raw: bytes):
+        part = np.ma.asarray(decoded(raw, v).astype(float))
+        at = np.unravel_index(np.arange(first, first + len(part)), shape)
+        values = pa.array(part.filled(0.0), mask=np.ma.getmaskarray(part))
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in at), values], names=[*keys, "v"])
 
-    return files.mapInArrow(run, schema)
+    return with_spans(spark, path, spans(h, v), rows, ", ".join([*(f"`{k}` int" for k in keys), "v double"]))
 
 
 # Writing.
@@ -248,8 +259,8 @@ def _attributes(items: dict) -> bytes:
     return out
 
 
-def to_bytes(grid: Grid) -> bytes:
-    """A field as a CDF-2 file. The cells meet on the driver, as a single file needs; large fields go to the native store."""
+def pieces(grid: Grid) -> Iterator[bytes]:
+    """A field as the bytes of a CDF-2 file: the header, the coordinates, then the cells a slab at a time."""
     names, dims = [], dict(grid.dims)
     arrays: dict[str, tuple[tuple[str, ...], np.ndarray, dict]] = {}
     for c in grid.coords:
@@ -267,38 +278,39 @@ def to_bytes(grid: Grid) -> bytes:
         arrays[name] = (c.dims, c.points, own)
         if not c.is_dim:
             names.append(name)
-    values = np.full(grid.shape, FILLS[6])
-    cells = grid.df.where("v is not null").toPandas()
-    values[tuple(cells[k].to_numpy() for k in grid.keys())] = cells["v"].to_numpy()
     own = {k: v for k, v in (("standard_name", grid.standard_name), ("long_name", grid.long_name), ("units", grid.units), ("coordinates", " ".join(names))) if v}
-    arrays[(grid.var_name or grid.name()).replace(" ", "_")] = (tuple(grid.dims), values, own | {"_FillValue": FILLS[6]})
     order = list(dims)
     head = b"CDF\2" + struct.pack(">i", 0) + struct.pack(">ii", DIMENSION, len(order)) + b"".join(_text(d) + struct.pack(">i", dims[d]) for d in order)
     head += _attributes({k: v for k, v in grid.attributes.items() if isinstance(v, (str, int, float))})
     packed = {n: (d, a.astype(">i4" if a.dtype.kind in "iu" and a.size and np.abs(a).max() < 2**31 else ">f8"), x) for n, (d, a, x) in arrays.items()}
+    table = [(n, d, CODES[a.dtype.str[1:]], a.nbytes, x) for n, (d, a, x) in packed.items()]
+    table.append(((grid.var_name or grid.name()).replace(" ", "_"), tuple(grid.dims), CODES["f8"], 8 * grid.size, own | {"_FillValue": FILLS[6]}))
 
     def variables(begins: dict[str, int]) -> bytes:
-        out = struct.pack(">ii", VARIABLE, len(packed))
-        for n, (d, a, x) in packed.items():
+        out = struct.pack(">ii", VARIABLE, len(table))
+        for n, d, kind, size, x in table:
             out += _text(n) + struct.pack(">i", len(d)) + b"".join(struct.pack(">i", order.index(k)) for k in d) + _attributes(x)
-            out += struct.pack(">ii", CODES[a.dtype.str[1:]], a.nbytes + (-a.nbytes % 4)) + struct.pack(">q", begins.get(n, 0))
+            out += struct.pack(">iI", kind, min(size + (-size % 4), 2**32 - 1)) + struct.pack(">q", begins.get(n, 0))
         return out
 
     at, begins = len(head) + len(variables({})), {}
-    for n, (_, a, _) in packed.items():
+    for n, _, _, size, _ in table:
         begins[n] = at
-        at += a.nbytes + (-a.nbytes % 4)
-    return head + variables(begins) + b"".join(a.tobytes() + bytes(-a.nbytes % 4) for _, a, _ in packed.values())
+        at += size + (-size % 4)
+    yield head + variables(begins)
+    for _, a, _ in packed.values():
+        yield a.tobytes() + bytes(-a.nbytes % 4)
+    yield from slabs(grid, list(grid.dims), ">f8", FILLS[6])
+
+
+def to_bytes(grid: Grid) -> bytes:
+    return b"".join(pieces(grid))
 
 
 def save_netcdf3(grid: Grid, path: str, **_) -> None:
-    spark = grid.spark
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
-    try:
-        stream.write(to_bytes(grid))
-    finally:
-        stream.close()
+    with created(grid.spark, path) as stream:
+        for piece in pieces(grid):
+            stream.write(piece)
 
 
 def header_facts(spark: SparkSession, path: str) -> DataFrame:

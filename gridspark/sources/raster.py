@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -11,45 +12,47 @@ from pyspark.sql import SparkSession
 
 from ..frame import Coord, Grid, GridError
 from ..functions.axes import is_regular
-from .store import Format, _filesystem, add_format, add_writer
+from .bytesio import created, slabs
+from .store import Format, add_format, add_writer
 
 # TIFF tags of the file.
 NO_DATA = -1e20
 
 
-def to_bytes(grid: Grid) -> bytes:
+def pieces(grid: Grid) -> Iterator[bytes]:
+    """The bytes of the file, the cells a slab at a time."""
     x, y = grid.coord(axis="x", is_dim=True), grid.coord(axis="y", is_dim=True)
     if len(grid.dims) != 2 or not is_regular(x) or not is_regular(y):
         raise GridError("a raster needs two regular axes")
-    a = np.full((len(y.points), len(x.points)), NO_DATA, "<f4")
-    cells = grid.df.where("v is not null").toPandas()
-    a[cells[f"i_{y.dims[0]}"].to_numpy(), cells[f"i_{x.dims[0]}"].to_numpy()] = cells["v"].to_numpy()
-    a = a if y.points[0] > y.points[-1] else a[::-1]
+    ny, nx = len(y.points), len(x.points)
     dx, dy = abs(float(x.points[1] - x.points[0])), abs(float(y.points[1] - y.points[0]))
     left, top = float(x.points.min()) - dx / 2, float(y.points.max()) + dy / 2
-    body, blank = a.tobytes(), f"{NO_DATA:g}\0".encode()
+    length, blank = 4 * ny * nx, f"{NO_DATA:g}\0".encode()
     scale, tie = struct.pack("<3d", dx, dy, 0), struct.pack("<6d", 0, 0, 0, left, top, 0)
     keys = struct.pack("<16H", 1, 1, 0, 3, 1024, 0, 1, 2, 1025, 0, 1, 1, 2048, 0, 1, 4326)
     extra = [scale, tie, keys, blank + bytes(len(blank) % 2)]
-    at, places = 8 + len(body), []
+    at, places = 8 + length, []
     for e in extra:
         places.append(at)
         at += len(e)
     entries = [
-        (256, 4, 1, a.shape[1]), (257, 4, 1, a.shape[0]), (258, 3, 1, 32), (259, 3, 1, 1), (262, 3, 1, 1), (273, 4, 1, 8), (277, 3, 1, 1), (278, 4, 1, a.shape[0]), (279, 4, 1, len(body)), (339, 3, 1, 3),
+        (256, 4, 1, nx), (257, 4, 1, ny), (258, 3, 1, 32), (259, 3, 1, 1), (262, 3, 1, 1), (273, 4, 1, 8), (277, 3, 1, 1), (278, 4, 1, ny), (279, 4, 1, length), (339, 3, 1, 3),
         (33550, 12, 3, places[0]), (33922, 12, 6, places[1]), (34735, 3, 16, places[2]), (42113, 2, len(blank), places[3]),
     ]
     directory = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0)
-    return b"II*\0" + struct.pack("<I", at) + body + b"".join(extra) + directory
+    yield b"II*\0" + struct.pack("<I", at)
+    yield from slabs(grid, [*y.dims, *x.dims], "<f4", NO_DATA, falling=() if y.points[0] > y.points[-1] else y.dims)
+    yield b"".join(extra) + directory
+
+
+def to_bytes(grid: Grid) -> bytes:
+    return b"".join(pieces(grid))
 
 
 def save_raster(grid: Grid, path: str, **_) -> None:
-    fs, target = _filesystem(grid.spark, path)
-    stream = fs.create(target, True)
-    try:
-        stream.write(to_bytes(grid))
-    finally:
-        stream.close()
+    with created(grid.spark, path) as stream:
+        for piece in pieces(grid):
+            stream.write(piece)
 
 
 # Widths of TIFF number kinds.

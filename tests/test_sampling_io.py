@@ -233,7 +233,7 @@ def test_pp_round_trip(spark, tmp_path):
     g = field(spark, a, ["time", "level", "y", "x"], [t, z, y, x], attributes={"STASH": "m01s03i236"})
     store.save(g, f"{tmp_path}/x.pp")
     (back,) = store.load_raw(spark, f"{tmp_path}/x.pp")
-    assert values(back).tolist() == a.tolist() and back.name() == "m01s03i236"
+    assert values(back).tolist() == a.tolist() and (back.name(), back.units, back.attributes["STASH"]) == ("air_temperature", "K", "m01s03i236")
     for n in ("time", "height", "latitude", "longitude"):
         assert back.coord(n).points.tolist() == g.coord(n).points.tolist()
     assert back.coord("time").bounds.tolist() == t.bounds.tolist() and back.coord("longitude").circular
@@ -243,6 +243,83 @@ def test_pp_round_trip(spark, tmp_path):
     assert values(store.load_one(spark, f"{tmp_path}/little.pp")).tolist() == a[0, 0].tolist()
 
 
+def _many_records(spark):
+    t = Coord(standard_name="time", units="hours since 1970-01-01", points=np.arange(6) * 6.0, dims=("time",), is_dim=True)
+    z = Coord(standard_name="air_pressure", units="hPa", points=np.array([500.0, 850.0]), dims=("level",), is_dim=True)
+    y = Coord(standard_name="latitude", units="degrees", points=np.linspace(-60, 60, 5), dims=("y",), is_dim=True)
+    x = Coord(standard_name="longitude", units="degrees", points=np.arange(7) * 10.0, dims=("x",), is_dim=True)
+    a = np.ma.masked_equal(np.arange(420.0).reshape(6, 2, 5, 7) / 4, 13.25)
+    a[0, 0, 2, :] = np.ma.masked
+    return field(spark, a, ["time", "level", "y", "x"], [t, z, y, x], attributes={"STASH": "m01s16i203"}), a
+
+
+def test_packed_records(spark, tmp_path):
+    from gridspark.sources import packing, pp
+
+    g, a = _many_records(spark)
+    pp.save_pp(g, f"{tmp_path}/p.pp", accuracy=-3)
+    (back,) = store.load_raw(spark, f"{tmp_path}/p.pp", "air_temperature")
+    assert values(back).tolist() == a.tolist()  # quarters are exact at eighths
+    assert store.load_raw(spark, f"{tmp_path}/p.pp", "relative_humidity") == []
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        v = np.round(rng.normal(size=(4, 9)), 2)
+        v[rng.random((4, 9)) < 0.3] = -1e30
+        assert (packing.unpack_runs(packing.pack_runs(v, -1e30), 36, -1e30) == v.ravel()).all()
+        assert np.allclose(packing.unpack_rows(packing.pack_rows(v, -10, -1e30), 4, 9, -1e30), v, rtol=0, atol=2**-10)
+    land = np.array([[1, 0, 1], [0, 0, 1]])
+    raw = np.array([1.0, 2, 3], ">f4").tobytes()
+    assert packing.unpacked(raw, 120, ">", 4, 2, 3, False, -9.0, land).tolist() == [[1, -9, 2], [-9, -9, 3]]
+    assert packing.unpacked(raw, 220, ">", 4, 2, 3, False, -9.0, land).tolist() == [[-9, 1, -9], [2, 3, -9]]
+    for code in (3, 120):
+        with pytest.raises(GridError):
+            packing.unpacked(raw, code, ">", 4, 2, 3, False, -9.0)
+
+
+def test_zero_bitmaps_of_either_sense(spark):
+    """A row of lowest, zero and packed points, built by hand."""
+    from gridspark.sources import packing
+
+    want = [0.0, 2.0, 3.0, 0.0, 2.0, 5.0]
+    for sense in (0, 1):
+        zero = [int((v == 0) == bool(sense)) for v in want]
+        low = [int(v == 2) for v in want]
+        bits = low + zero + [0] * 20 + [int(b) for v in (1, 3) for b in f"{v:02b}"] + [0] * 28
+        body = np.packbits(np.array(bits, np.uint8)).tobytes()
+        control = (2 | packing.LOWEST | packing.ZERO) << 16 | len(body) // 4
+        raw = np.array([5 + len(body) // 4, 0, 6 << 16 | 1, packing.to_ibm_float(2.0), control], ">u4").tobytes() + body
+        got = packing.unpack_rows(raw, 1, 6, -9.0)[0].tolist()
+        assert got == want or sense == 1  # where both senses fit the length, a set bit is a point that isn't zero
+
+
+def test_fieldsfiles(spark, tmp_path):
+    from gridspark.sources import pp
+
+    g, a = _many_records(spark)
+    other = (g * 2.0).with_df((g * 2.0).df, attributes={"STASH": "m01s03i245"})
+    for accuracy in (None, -4):
+        at = f"{tmp_path}/f{accuracy}.ff"
+        pp.save_fieldsfile([g, other], at, accuracy)
+        assert store.find_format(at, open(at, "rb").read(8)).name == "fieldsfile"
+        one, two = store.load_raw(spark, at)
+        assert (one.name(), two.name(), two.units) == ("air_temperature", "relative_humidity", "percent")
+        assert values(one).tolist() == a.tolist() and values(two).tolist() == (a * 2).tolist()
+        assert one.coord("time").points.tolist() == (np.arange(6) * 6.0).tolist() and one.dims == {"time": 6, "level": 2, "y": 5, "x": 7}
+        assert pp.field_table(spark, at, pp.fieldsfile_records).count() == 24
+
+
+def test_bytes_of_stores_without_ranges(spark, tmp_path, monkeypatch):
+    from gridspark.sources import bytesio
+
+    g, a = _many_records(spark)
+    for name in ("a.pp", "a.ff"):
+        store.save(g, f"{tmp_path}/{name}")
+    monkeypatch.setattr(bytesio, "local_name", lambda *_: None)
+    for name in ("a.pp", "a.ff"):
+        (back,) = store.load_raw(spark, f"{tmp_path}/{name}")
+        assert values(back).tolist() == a.tolist()
+
+
 def test_lists_text_and_systems(spark):
     from gridspark.functions import systems
     from gridspark.operators import collection as K
