@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from .frame import Cell, Coord, Grid, equal_points, index, join_table, local_table
 from .functions import aggregators as A
-from .functions import axes
+from .functions import axes, projections
 from .functions import calendar as C
 from .functions import spherical as S
+from .functions import systems as T
 from .functions import vertical as V
 from .operators import collection, combine, interpolate, maths, mesh, reduce, regrid, shape, stats, subset
 from .queries import ORACLES, QUERIES, r, rows, query
@@ -151,6 +152,41 @@ def pp_time_levels(spark, d):
     return rows(made, time="time", level="air_pressure", latitude="latitude", longitude="longitude")
 
 
+_MONTH_ROWS = f"WITH {X.MONTHS} SELECT CAST(month * 720 AS DOUBLE) AS time, CAST(latitude AS DOUBLE) AS latitude, CAST(longitude AS DOUBLE) AS longitude, {r('v')} FROM wm"
+
+
+@query("fieldsfile_load", _MONTH_ROWS)
+def fieldsfile_load(spark, d):
+    """A record a month in a file of 64-bit words, collated into a time dimension and read by ranges."""
+    at = _at(spark, "months.ff")
+    store.save(X.world_months(spark, d), at)
+    return rows(store.load_one(spark, at, "precipitation_flux"), time="time", latitude="latitude", longitude="longitude")
+
+
+@query("fieldsfile_packed", _MONTH_ROWS)
+def fieldsfile_packed(spark, d):
+    """Whole numbers packed row by row to the nearest one."""
+    at = _at(spark, "packed.ff")
+    store.save(X.world_months(spark, d), at, accuracy=0)
+    return rows(store.load_one(spark, at), time="time", latitude="latitude", longitude="longitude")
+
+
+@query("pp_packed", _MONTH_ROWS)
+def pp_packed(spark, d):
+    at = _at(spark, "packed.pp")
+    store.save(X.world_months(spark, d), at, accuracy=0)
+    return rows(store.load_one(spark, at), time="time", latitude="latitude", longitude="longitude")
+
+
+@query("pp_to_netcdf", _MONTH_ROWS)
+def pp_to_netcdf(spark, d):
+    """Loaded from records, saved as netCDF, loaded again."""
+    at = _at(spark, "")
+    store.save(X.world_months(spark, d), f"{at}months.pp")
+    store.save(store.load_one(spark, f"{at}months.pp"), f"{at}months.nc")
+    return rows(store.load_one(spark, f"{at}months.nc"), time="time", latitude="latitude", longitude="longitude")
+
+
 @query("raster_round_trip", _WORLD_SINGLE)
 def raster_round_trip(spark, d):
     at = _at(spark, "world.tif")
@@ -790,6 +826,57 @@ def planar_nearest(spark, d):
     return rows(X.nations(spark, d).regrid(target, regrid.UnstructuredNearest(planar=True)), longitude="longitude", latitude="latitude")
 
 
+_SYSTEMS = {
+    "mercator": (T.Mercator(0.0), "radians(lon) * 6371229.0", "ln(tan(pi() / 4 + radians(lat) / 2)) * 6371229.0"),
+    "orthographic": (T.Orthographic(20.0, 30.0), "CASE WHEN near >= 0 THEN 6371229.0 * cos(radians(lat)) * sin(radians(lon - 30)) END", "CASE WHEN near >= 0 THEN 6371229.0 * (cos(radians(20)) * sin(radians(lat)) - sin(radians(20)) * cos(radians(lat)) * cos(radians(lon - 30))) END"),
+    "stereographic": (T.Stereographic(20.0, 30.0), "2 * 6371229.0 / (1 + near) * cos(radians(lat)) * sin(radians(lon - 30))", "2 * 6371229.0 / (1 + near) * (cos(radians(20)) * sin(radians(lat)) - sin(radians(20)) * cos(radians(lat)) * cos(radians(lon - 30)))"),
+    "equal_area": (T.LambertAzimuthalEqualArea(20.0, 30.0), "6371229.0 * sqrt(2 / (1 + near)) * cos(radians(lat)) * sin(radians(lon - 30))", "6371229.0 * sqrt(2 / (1 + near)) * (cos(radians(20)) * sin(radians(lat)) - sin(radians(20)) * cos(radians(lat)) * cos(radians(lon - 30)))"),
+}
+
+
+def _projected(system):
+    def run(spark, d):
+        g = X.nations(spark, d)
+        x, y = projections.forward(system, g.coord(axis="x").points, g.coord(axis="y").points)
+        own = [(k, *(None if np.isnan(v) else round(float(v), 2) + 0.0 for v in p)) for k, p in enumerate(zip(x, y))]
+        return local_table(spark, [p for p in own if p[1] is not None], "nation long, x double, y double")
+
+    return run
+
+
+for _name, (_system, _x, _y) in _SYSTEMS.items():
+    query(f"system_{_name}", f"WITH {X.NATIONS}, n AS (SELECT nation, lat, lon, sin(radians(20)) * sin(radians(lat)) + cos(radians(20)) * cos(radians(lat)) * cos(radians(lon - 30)) AS near FROM na), p AS (SELECT nation, {_x} AS x, {_y} AS y FROM n) SELECT nation, round(x, 2) + 0.0 AS x, round(y, 2) + 0.0 AS y FROM p WHERE x IS NOT NULL")(_projected(_system))
+
+
+@query("systems_invert", "SELECT * FROM (VALUES ('albers', true), ('conformal', true), ('geostationary', true), ('national', true), ('oblique', true), ('perspective', true), ('polar', true), ('rotated', true)) t(system, back)")
+def systems_invert(spark, d):
+    """Every nation's place, moved to where the system looks, comes back from it."""
+    wgs = T.GeogCS(6_378_137.0, inverse_flattening=298.257223563)
+    kinds = {
+        "albers": T.AlbersEqualArea(20.0, 10.0, ellipsoid=wgs), "conformal": T.LambertConformal(30.0, 10.0, secant_latitudes=(20.0, 50.0), ellipsoid=wgs), "geostationary": T.Geostationary(0.0, 10.0, 35_786_000.0, ellipsoid=wgs), "national": T.TransverseMercator(49.0, 8.0, 400_000.0, -100_000.0, 0.9996, wgs),
+        "oblique": T.ObliqueMercator(40.0, 45.0, 10.0, ellipsoid=wgs), "perspective": T.VerticalPerspective(40.0, 10.0, 36_000_000.0), "polar": T.PolarStereographic(90.0, 10.0, true_scale_lat=60.0, ellipsoid=wgs), "rotated": T.RotatedGeogCS(37.5, 177.5),
+    }
+    g = X.nations(spark, d)
+    lon, lat = 10 + g.coord(axis="x").points / 60, 45 + g.coord(axis="y").points / 10
+    found = [(k, projections.inverse(s, *projections.forward(s, lon, lat))) for k, s in kinds.items()]
+    return local_table(spark, [(k, bool(np.abs(a - lon).max() < 1e-6 and np.abs(b - lat).max() < 1e-6)) for k, (a, b) in found], "system string, back boolean")
+
+
+@query("project_mercator", f"WITH {X.WORLD}, y AS (SELECT unnest(range(0, 18)) AS j), e AS (SELECT ln(tan(pi() / 4 + radians(85) / 2)) AS top), t AS (SELECT j, degrees(2 * atan(exp(-top + j * 2 * top / 17)) - pi() / 2) AS lat FROM y, e), n AS (SELECT j, least(85, greatest(-85, ceil((lat + 85) / 10 - 0.5) * 10 - 85)) AS lat FROM t) SELECT CAST(j AS BIGINT) AS j, {r('sum(v)')} FROM wo JOIN n ON n.lat = wo.latitude GROUP BY j")
+def project_mercator(spark, d):
+    """Nearest cells on a regular grid of a Mercator map, added up by its rows."""
+    made = regrid.project(X.world(spark, d), T.Mercator(180.0))
+    return made.df.groupBy(F.col("i_latitude").cast("bigint").alias("j")).agg((F.round(F.sum("v"), 6) + F.lit(0.0)).alias("v")).where("v is not null")
+
+
+@query("turn_winds", f"WITH {X.WORLD} SELECT CAST(latitude AS DOUBLE) AS latitude, CAST(longitude AS DOUBLE) AS longitude, {r('v', 5)} FROM wo")
+def turn_winds(spark, d):
+    """A Mercator map's axes run along those of longitude and latitude."""
+    u = X.world(spark, d)
+    a, _ = S.turn_winds(u, u * 2.0, T.Mercator(180.0))
+    return rows(a, 5, latitude="latitude", longitude="longitude")
+
+
 # Meshes: a face a nation, as wide as it is high by its number.
 
 
@@ -876,7 +963,7 @@ def path_expansion(spark, d):
     return local_table(spark, [(p.rstrip("/").rsplit("/", 1)[1],) for p in store.expand(spark, [f"{at}*.grid"])], "name string")
 
 
-@query("format_dispatch", "SELECT * FROM (VALUES ('x.grid', 'field folder'), ('x.nc', 'netCDF classic'), ('x.pp', 'PP'), ('x.tif', 'GeoTIFF'), ('x.txt', 'dispersion text')) t(path, format)")
+@query("format_dispatch", "SELECT * FROM (VALUES ('x.grid', 'field folder'), ('x.nc', 'netCDF classic'), ('x.pp', 'PP'), ('x.ff', 'fieldsfile'), ('x.tif', 'GeoTIFF'), ('x.txt', 'dispersion text')) t(path, format)")
 def format_dispatch(spark, d):
-    first = {"x.grid": b"", "x.nc": b"CDF\1", "x.pp": b"\0\0\1\0", "x.tif": b"II*\0", "x.txt": b"NAME III"}
+    first = {"x.grid": b"", "x.nc": b"CDF\1", "x.pp": b"\0\0\1\0", "x.ff": bytes(7) + b"\x14", "x.tif": b"II*\0", "x.txt": b"NAME III"}
     return local_table(spark, [(p, store.find_format(p, b).name) for p, b in first.items()], "path string, format string")

@@ -126,3 +126,17 @@ def world(spark: SparkSession, d: str) -> Grid:
 
 
 WORLD = "wo AS (SELECT -85.0 + 10 * (l_suppkey % 18) AS latitude, 5.0 + 10 * (l_partkey % 36) AS longitude, avg(l_quantity) AS v FROM lineitem GROUP BY ALL)"
+
+
+def world_months(spark: SparkSession, d: str) -> Grid:
+    """Total quantity by ship month on the grid of :func:`world`; months are counted as 30 days of 24 hours from 1970."""
+    month = F.expr("cast((year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 as bigint)")
+    raw = table(spark, d, "lineitem").withColumns({"month": month, "latitude": F.expr("cast(l_suppkey % 18 as bigint)"), "longitude": F.expr("cast(l_partkey % 36 as bigint)")})
+    df = raw.groupBy("month", "latitude", "longitude").agg(F.sum("l_quantity").alias("v"))
+    g = Grid.from_table(df, {"month": None, "latitude": np.arange(18), "longitude": np.arange(36)}, "v", source=raw, long_name="quantity", attributes={"STASH": "m01s05i216"})
+    base = world(spark, d)
+    t = replace(g.coord("month"), standard_name="time", long_name=None, units="hours since 1970-01-01", points=g.coord("month").points * 720.0, calendar="360_day")
+    return replace(g, coords=(t, *base.coords))
+
+
+MONTHS = "wm AS (SELECT CAST((year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 AS BIGINT) AS month, -85.0 + 10 * (l_suppkey % 18) AS latitude, 5.0 + 10 * (l_partkey % 36) AS longitude, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"

@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..frame import Coord, Grid, GridError, coord_table, index, local_table, sized
+from . import projections
+from .systems import CoordSystem, GeogCS
 
 #: Fixed value: the default radius of the Earth in metres.
 EARTH_RADIUS = 6_367_470.0
@@ -106,6 +108,16 @@ def rotate_winds(u: Grid, v: Grid, pole_lon: float, pole_lat: float) -> tuple[Gr
     return rotate_vectors(u, v, Grid(df=table, dims={d: u.dims[d] for d in dims}, long_name="angle", units="degrees"))
 
 
+def turn_winds(u: Grid, v: Grid, target: CoordSystem) -> tuple[Grid, Grid]:
+    """Vectors along the axes of their own system, in the directions of another system's axes."""
+    lat, lon = u.coord(axis="y", is_dim=True), u.coord(axis="x", is_dim=True)
+    y, x = np.meshgrid(lat.points.astype(float), lon.points.astype(float), indexing="ij")
+    angle = np.degrees(projections.turning(lon.coord_system or GeogCS(projections.RADIUS), target, x, y))
+    dims = (*lat.dims, *lon.dims)
+    table = coord_table(u, Coord(points=angle, dims=dims, long_name="angle"), "v")
+    return rotate_vectors(u, v, Grid(df=table, dims={d: u.dims[d] for d in dims}, long_name="angle", units="degrees"))
+
+
 def gridcell_angles(lon: Coord, lat: Coord) -> np.ndarray:
     """Degrees from east of each cell's x direction: from the middle of its left to the middle of its right edge.
 

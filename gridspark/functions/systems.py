@@ -1,8 +1,4 @@
-"""Coordinate systems as metadata; the spherical ones also transform.
-
-Projections carry their parameters so that fields keep, compare and store
-them. Only latitude-longitude and rotated-pole systems are computed with.
-"""
+"""Coordinate systems as metadata, which fields keep, compare and store; ``projections`` computes with them."""
 
 from __future__ import annotations
 

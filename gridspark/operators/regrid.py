@@ -6,16 +6,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Coord, Grid, GridError, index, local_table, sized
+from ..frame import BROADCAST_CELLS, Coord, Grid, GridError, index, local_table, monotonic, sized
+from ..functions import projections
+from ..functions.systems import CoordSystem, GeogCS, RotatedGeogCS
 from .interpolate import Linear, Nearest, Weights, apply_weights
 
-#: Pairs of target cells and source points up to which nearest points are found on the driver.
-DRIVER_PAIRS = 50_000_000
-
-
 def _xy(grid: Grid) -> tuple[Coord, Coord]:
     return grid.coord(axis="x", is_dim=True), grid.coord(axis="y", is_dim=True)
 
@@ -170,13 +169,76 @@ def _unit(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
     return np.stack([np.cos(b) * np.cos(a), np.cos(b) * np.sin(a), np.sin(b)], axis=-1)
 
 
-def _nearest(points: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Which point has the greatest product with each wanted vector."""
-    out = np.empty(len(wanted), np.int64)
-    step = max(1, 4_000_000 // max(1, len(points)))
-    for k in range(0, len(wanted), step):
-        out[k : k + step] = np.argmax(wanted[k : k + step] @ points.T, axis=1)
-    return out
+def _plane(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.stack([x, y], axis=-1)
+
+
+class Buckets:
+    """Points in cubic buckets, for nearest points without comparing all pairs.
+
+    A bucket is as wide as points are apart on average. Rings of buckets
+    round a wanted place are looked through until the next ring is further
+    away than the best point; ties go to the lowest index. Places that
+    ``RINGS`` rings don't settle, far from all points, are compared with all.
+    """
+
+    RINGS = 4
+
+    def __init__(self, points: np.ndarray):
+        self.points = np.asarray(points, float)
+        low, high = self.points.min(axis=0), self.points.max(axis=0)
+        spread = np.maximum(high - low, 1e-12)
+        self.width = float(max(spread.max() / max(1.0, np.sqrt(len(self.points))), 1e-9))
+        self.low = low
+        cells = self._cells(self.points)
+        self.sizes = cells.max(axis=0) + 1
+        keys = self._keys(cells)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys, self.starts = np.unique(keys[self.order], return_index=True)
+        self.ends = np.r_[self.starts[1:], len(keys)]
+
+    def _cells(self, x: np.ndarray) -> np.ndarray:
+        return np.floor((x - self.low) / self.width).astype(np.int64)
+
+    def _keys(self, cells: np.ndarray) -> np.ndarray:
+        out = cells[:, 0]
+        for k in range(1, cells.shape[1]):
+            out = out * self.sizes[k] + cells[:, k]
+        return out
+
+    def nearest(self, wanted: np.ndarray) -> np.ndarray:
+        wanted = np.asarray(wanted, float)
+        best, at = np.full(len(wanted), np.inf), np.full(len(wanted), len(self.points), np.int64)
+        cells, left = self._cells(wanted), np.arange(len(wanted))
+        for ring in range(self.RINGS + 1):
+            sides = np.arange(-ring, ring + 1)
+            offsets = np.stack(np.meshgrid(*[sides] * wanted.shape[1], indexing="ij"), axis=-1).reshape(-1, wanted.shape[1])
+            for o in offsets[np.abs(offsets).max(axis=1) == ring]:
+                near = cells[left] + o
+                ok = ((near >= 0) & (near < self.sizes)).all(axis=1)
+                own = left[ok]
+                keys = self._keys(near[ok])
+                place = np.searchsorted(self.keys, keys)
+                hit = (place < len(self.keys)) & (self.keys[np.minimum(place, len(self.keys) - 1)] == keys)
+                self._compare(wanted, own[hit], self.starts[place[hit]], self.ends[place[hit]], best, at)
+            left = left[~(np.sqrt(best[left]) <= ring * self.width)]
+            if not len(left):
+                return at
+        step = max(1, 4_000_000 // len(self.points))
+        for k in range(0, len(left), step):
+            own = left[k : k + step]
+            far = ((wanted[own, None, :] - self.points) ** 2).sum(axis=-1)
+            at[own] = far.argmin(axis=1)
+        return at
+
+    def _compare(self, wanted, own, start, end, best, at) -> None:
+        """Each wanted place with the points start..end of a bucket."""
+        for k in range(int((end - start).max(initial=0))):
+            there = start + k < end
+            rows, point = own[there], self.order[start[there] + k]
+            far = ((wanted[rows] - self.points[point]) ** 2).sum(axis=1)
+            better = (far < best[rows]) | ((far == best[rows]) & (point < at[rows]))
+            best[rows[better]], at[rows[better]] = far[better], point[better]
 
 
 @dataclass(frozen=True)
@@ -194,42 +256,29 @@ class UnstructuredNearest:
         if sx.dims != sy.dims or len(sx.dims) != 1:
             raise GridError("source x and y lie on one common dimension")
         (d,) = sx.dims
-        own = self._source if self.planar else _unit
-        wanted = self._wanted if self.planar else _unit
-        points = own(sx.points.astype(float), sy.points.astype(float))
-        lon, lat = np.meshgrid(tx.points.astype(float), ty.points.astype(float))
-        dx, dy = tx.dims[0], ty.dims[0]
+        place = _plane if self.planar else _unit
+        points = place(sx.points.astype(float), sy.points.astype(float))
+        x, y = tx.points.astype(float), ty.points.astype(float)
+        dx, dy, cells = tx.dims[0], ty.dims[0], len(x) * len(y)
         schema = f"`{index(d)}` int, _y int, _x int"
-        if len(points) * lon.size <= DRIVER_PAIRS:
-            at = _nearest(points, wanted(lon.ravel(), lat.ravel()))
-            rows = [(int(s), k // lon.shape[1], k % lon.shape[1]) for k, s in enumerate(at)]
-            table = local_table(grid.spark, rows, schema)
-        else:
-            shared = grid.spark.sparkContext.broadcast((points, tx.points.astype(float), ty.points.astype(float)))  # axes and one dimension long
-
-            def find(batches: Iterator) -> Iterator:
-                import pandas as pd
-
-                p, x, y = shared.value
-                for pdf in batches:
-                    j, i = pdf["id"].to_numpy() // len(x), pdf["id"].to_numpy() % len(x)
-                    yield pd.DataFrame({index(d): _nearest(p, wanted(x[i], y[j])).astype("int32"), "_y": j.astype("int32"), "_x": i.astype("int32")})
-
-            table = grid.spark.range(lon.size).mapInPandas(find, schema)
+        if len(points) > BROADCAST_CELLS:
+            raise GridError(f"more than {BROADCAST_CELLS} source points")  # they are a coordinate, as long as an axis
+        shared = grid.spark.sparkContext.broadcast((points, x, y))  # axes
+
+        def find(batches: Iterator) -> Iterator:
+            p, x, y = shared.value
+            tree = Buckets(p)
+            for batch in batches:
+                at = batch.column(0).to_numpy()
+                j, i = at // len(x), at % len(x)
+                yield pa.RecordBatch.from_arrays([pa.array(tree.nearest(place(x[i], y[j])), pa.int32()), pa.array(j, pa.int32()), pa.array(i, pa.int32())], names=[index(d), "_y", "_x"])
+
+        table = grid.spark.range(0, cells, 1, max(1, min(grid.spark.sparkContext.defaultParallelism * 4, cells // 4096))).mapInArrow(find, schema)
         left = {k: n for k, n in grid.dims.items() if k != d}
-        out = grid.df.join(sized(table, lon.size), index(d)).select(*(index(k) for k in left), F.col("_y").alias(index(dy)), F.col("_x").alias(index(dx)), "v")
+        out = grid.df.join(sized(table, cells), index(d)).select(*(index(k) for k in left), F.col("_y").alias(index(dy)), F.col("_x").alias(index(dx)), "v")
         coords = [c for c in grid.coords if d not in c.dims] + [ty, tx]
         return replace(grid, df=out, dims={**left, dy: len(ty.points), dx: len(tx.points)}, coords=tuple(coords))
 
-    @staticmethod
-    def _source(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Vectors whose product with (x, y, 1) is greatest for the nearest point."""
-        return np.stack([x, y, -(x * x + y * y) / 2], axis=-1)
-
-    @staticmethod
-    def _wanted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.stack([x, y, np.ones_like(x)], axis=-1)
-
 
 def make_grid(spark, nx: int = 30, ny: int = 20, xlims: tuple[float, float] = (0.0, 360.0), ylims: tuple[float, float] = (-90.0, 90.0), x_points=None, y_points=None) -> Grid:
     """A regular latitude-longitude field of zeros, cells inside the limits."""
@@ -247,35 +296,79 @@ def make_grid(spark, nx: int = 30, ny: int = 20, xlims: tuple[float, float] = (0
     return Grid(df=df, dims={"latitude": ny, "longitude": nx}, coords=(y, x), long_name="grid_cube")
 
 
-def project_rotated(grid: Grid, pole_lon: float, pole_lat: float, nx: int, ny: int) -> Grid:
-    """Nearest samples of a latitude-longitude field on a regular grid of a rotated pole that covers it."""
+def _over_cells(spark, nx: int, ny: int, make, schema: str) -> DataFrame:
+    """Rows that ``make(j, i)`` gives for the cells of a grid, in batches dealt out over tasks."""
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            yield make(at // nx, at % nx)
+
+    return spark.range(0, nx * ny, 1, max(1, min(spark.sparkContext.defaultParallelism * 4, nx * ny // 65_536))).mapInArrow(run, schema)
+
+
+def project(grid: Grid, system: CoordSystem, nx: int | None = None, ny: int | None = None) -> Grid:
+    """Nearest samples of a field on a regular grid of another coordinate system that covers it.
+
+    The grid spans the field's points in the new system and has the field's
+    shape unless told otherwise; cells that come from outside the field, or
+    that the system doesn't show, are masked. Source points and target cells
+    are transformed by tasks; only the axes are on the driver.
+    """
     sx, sy = _xy(grid)
-    lon, lat = np.meshgrid(sx.points.astype(float), sy.points.astype(float))
-    tilt = np.radians(90.0 - pole_lat)
-    a, b = np.radians(lon - (pole_lon + 180.0)), np.radians(lat)
-    x, y, z = np.cos(b) * np.cos(a), np.cos(b) * np.sin(a), np.sin(b)
-    rlon = np.degrees(np.arctan2(y, np.cos(tilt) * x + np.sin(tilt) * z))
-    rlat = np.degrees(np.arcsin(np.clip(-np.sin(tilt) * x + np.cos(tilt) * z, -1, 1)))
-    gx, gy = np.linspace(rlon.min(), rlon.max(), nx), np.linspace(rlat.min(), rlat.max(), ny)
-    ra, rb = np.meshgrid(np.radians(gx), np.radians(gy))
-    x, y, z = np.cos(rb) * np.cos(ra), np.cos(rb) * np.sin(ra), np.sin(rb)
-    tlon = np.degrees(np.arctan2(y, np.cos(tilt) * x - np.sin(tilt) * z)) + pole_lon + 180.0
-    tlat = np.degrees(np.arcsin(np.clip(np.sin(tilt) * x + np.cos(tilt) * z, -1, 1)))
-    low = sx.points.min()
-    tlon = (tlon - low) % 360.0 + low
-    nearest = Nearest("mask")
-    wx, wy = nearest.weights(sx, tlon.ravel()), nearest.weights(sy, tlat.ravel())
-    at_x, at_y = np.full(tlon.size, -1), np.full(tlon.size, -1)
-    at_x[wx.target], at_y[wy.target] = wx.source, wy.source
-    rows = [(int(at_y[k]), int(at_x[k]), k // nx, k % nx) for k in range(tlon.size) if at_x[k] >= 0 and at_y[k] >= 0]
+    own = sx.coord_system or GeogCS(projections.RADIUS)
+    x, y = sx.points.astype(float), sy.points.astype(float)
+    nx, ny = nx or len(x), ny or len(y)
+
+    def ends(j: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
+        a, b = projections.transformed(own, system, x[i], y[j])
+        there = np.isfinite(a) & np.isfinite(b)
+        found = [[f(v[there])] if there.any() else [None] for v in (a, b) for f in (np.min, np.max)]
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.float64()) for v in found], names=["x0", "x1", "y0", "y1"])
+
+    x0, x1, y0, y1 = _over_cells(grid.spark, len(x), len(y), ends, "x0 double, x1 double, y0 double, y1 double").agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).head()
+    if x0 is None:
+        raise GridError("the system shows no point of the field")
+    gx, gy = np.linspace(x0, x1, nx), np.linspace(y0, y1, ny)
+    ax, ay, low, period = _nearest_axis(sx), _nearest_axis(sy), x.min(), sx.modulus
     dx, dy = sx.dims[0], sy.dims[0]
-    table = local_table(grid.spark, rows, f"`{index(dy)}` int, `{index(dx)}` int, _y int, _x int")
-    df = grid.df.join(sized(table, len(rows)), [index(dy), index(dx)]).drop(index(dx), index(dy)).withColumnRenamed("_y", index(dy)).withColumnRenamed("_x", index(dx)).select(*grid.keys(), "v")
-    tx = Coord(standard_name="grid_longitude", units="degrees", points=gx, dims=(dx,), is_dim=True)
-    ty = Coord(standard_name="grid_latitude", units="degrees", points=gy, dims=(dy,), is_dim=True)
+
+    def sources(j: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
+        a, b = projections.transformed(system, own, gx[i], gy[j])
+        there = np.isfinite(a) & np.isfinite(b)
+        a, b, i, j = a[there], b[there], i[there], j[there]
+        a = (a - low) % period + low if period else a
+        p, q = ax(a), ay(b)
+        ok = (p >= 0) & (q >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(v[ok], pa.int32()) for v in (q, p, j, i)], names=[index(dy), index(dx), "_y", "_x"])
+
+    table = _over_cells(grid.spark, nx, ny, sources, f"`{index(dy)}` int, `{index(dx)}` int, _y int, _x int")
+    df = grid.df.join(sized(table, nx * ny), [index(dy), index(dx)]).drop(index(dx), index(dy)).withColumnRenamed("_y", index(dy)).withColumnRenamed("_x", index(dx)).select(*grid.keys(), "v")
+    names = {GeogCS: ("longitude", "latitude", "degrees"), RotatedGeogCS: ("grid_longitude", "grid_latitude", "degrees")}.get(type(system), ("projection_x_coordinate", "projection_y_coordinate", "m"))
+    tx = Coord(standard_name=names[0], units=names[2], points=gx, dims=(dx,), is_dim=monotonic(gx), coord_system=system)
+    ty = Coord(standard_name=names[1], units=names[2], points=gy, dims=(dy,), is_dim=monotonic(gy), coord_system=system)
     return _moved(grid, df, sx, sy, tx, ty)
 
 
+def _nearest_axis(c: Coord):
+    """A function from places to the nearest index of an axis, -1 beyond its ends; a circular axis closes."""
+    order = np.argsort(c.points.astype(float), kind="stable")
+    p = c.points.astype(float)[order]
+    if c.circular and c.modulus:
+        p, order = np.r_[p, p[0] + c.modulus], np.r_[order, order[0]]
+    edges = (p[:-1] + p[1:]) / 2
+    slack = 1e-9 * max(1.0, float(np.abs(p).max()))
+
+    def find(x: np.ndarray) -> np.ndarray:
+        return np.where((x >= p[0] - slack) & (x <= p[-1] + slack), order[np.searchsorted(edges, x, side="left")], -1)
+
+    return find
+
+
+def project_rotated(grid: Grid, pole_lon: float, pole_lat: float, nx: int, ny: int) -> Grid:
+    """:func:`project` onto a rotated pole."""
+    return project(grid, RotatedGeogCS(pole_lat, pole_lon), nx, ny)
+
+
 def regrid_area_weighted(grid: Grid, target: Grid, mdtol: float = 0.0) -> Grid:
     """Functional form; here any missing part masks by default."""
     return AreaWeighted(mdtol).regrid(grid, target)

@@ -401,3 +401,46 @@ def test_mesh_files_and_rasters(spark, tmp_path):
     gx, gy = regrid.xy_grids(world, corners=True)
     assert gx.shape == (3, 5) and gy[0, 0] == -90
     assert intersect_all(world, Extent("longitude", 0, 100), ignore_bounds=True).dims["longitude"] == 1
+
+
+def test_projections_against_published_examples():
+    """Numerical examples of Snyder's manual and of the British grid's guide."""
+    from gridspark.functions import projections as P
+    from gridspark.functions import systems as T
+
+    clarke = T.GeogCS(6_378_206.4, inverse_flattening=1 / (1 - np.sqrt(1 - 0.00676866)))
+    hayford = T.GeogCS(6_378_388.0, inverse_flattening=297.0)
+    examples = [
+        (T.osgb(), 1.717921583, 52.657570306, 651_409.903, 313_177.270), (T.TransverseMercator(0, -75, 0, 0, 0.9996, clarke), -73.5, 40.5, 127_106.5, 4_484_124.4), (T.Mercator(-180.0, clarke), -75, 35, 11_688_673.7, 4_139_145.6),
+        (T.LambertConformal(23, -96, 0, 0, (33, 45), clarke), -75, 35, 1_894_410.9, 1_564_649.5), (T.AlbersEqualArea(23, -96, 0, 0, (29.5, 45.5), clarke), -75, 35, 1_885_472.7, 1_535_925.0),
+        (T.LambertAzimuthalEqualArea(40, -100, 0, 0, clarke), -110, 30, -965_932.1, -1_056_814.9), (T.Stereographic(40, -100, 0, 0, None, clarke, 0.9999), -90, 30, 971_630.8, -1_063_049.3), (T.PolarStereographic(-90, -100, 0, 0, -71, hayford), 150, -75, -1_540_033.6, -560_526.4),
+    ]
+    for system, lon, lat, x, y in examples:
+        assert np.allclose(P.forward(system, lon, lat), (x, y), rtol=0, atol=0.06), system
+        assert np.allclose(P.inverse(system, x, y), (lon, lat), rtol=0, atol=2e-6), system
+    for system in (T.Orthographic(45, 10), T.VerticalPerspective(45, 10, 3.6e7), T.Geostationary(0, 10, 3.58e7)):
+        assert np.isnan(P.forward(system, -170.0, -45.0)).all() and np.isnan(P.inverse(system, 1e8, 0.0)).any()
+    lon, lat = np.array([10.0, 20.0]), np.array([50.0, 60.0])
+    assert np.allclose(P.turning(T.GeogCS(1.0), T.PolarStereographic(90.0, 0.0), lon, lat), np.radians(lon), atol=1e-6)
+
+
+def test_buckets_equal_all_pairs():
+    rng = np.random.default_rng(8)
+    for n, dims in ((1, 2), (7, 3), (400, 2), (900, 3)):
+        points = rng.normal(size=(n, dims)).round(1)
+        points[: n // 2] *= 0.01  # crowded and sparse together
+        wanted = np.concatenate([rng.normal(size=(300, dims)).round(1), points[: min(n, 50)], rng.normal(size=(20, dims)) * 100])
+        want = ((wanted[:, None, :] - points) ** 2).sum(axis=-1).argmin(axis=1)
+        assert regrid.Buckets(points).nearest(wanted).tolist() == want.tolist()
+
+
+def test_project_masks_what_a_system_hides(spark):
+    from gridspark.functions.systems import Orthographic
+
+    y = Coord(standard_name="latitude", units="degrees", points=np.linspace(-80, 80, 9), dims=("y",), is_dim=True)
+    x = Coord(standard_name="longitude", units="degrees", points=np.arange(0, 360, 20.0), dims=("x",), is_dim=True, circular=True)
+    g = field(spark, np.arange(162.0).reshape(9, 18), ["y", "x"], [y, x])
+    made = regrid.project(g, Orthographic(0.0, 90.0), 11, 9)
+    v = values(made)
+    assert made.dims == {"y": 9, "x": 11} and np.ma.getmaskarray(v)[0, 0] and not np.ma.getmaskarray(v)[4, 5]
+    assert made.coord(axis="x").name() == "projection_x_coordinate" and 76 <= v[4, 5] <= 77
