@@ -34,6 +34,8 @@ from .components import components
 SHINGLE, SEED, RADIUS = 3, 42, 3
 SEGMENTS, WIDTH = 8, 8
 BLOCK = 4096
+#: Parts that the rows of one fingerprint, or the fingerprints of one component, are joined in.
+PARTS = 64
 
 
 def fingerprint(text: str | None) -> int:
@@ -179,8 +181,7 @@ def _component_ids(classes: DataFrame, first: str) -> DataFrame:
     that a component of any size is spread.
     """
     found = components(links(classes.select("fp")))
-    parts = 64
-    held = found.withColumnRenamed("node", "fp").join(classes, "fp").withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(parts)).cast("int"))
+    held = found.withColumnRenamed("node", "fp").join(classes, "fp").withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int"))
     least = held.groupBy("root").agg(F.min(first).alias("least"), F.collect_set("part").alias("part")).select("root", "least", F.explode("part").alias("part"))
     named = held.join(least, ["root", "part"]).select("fp", "least")
     return classes.join(named, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col(first)).otherwise(F.col("least")).alias("least"))
@@ -195,9 +196,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     row but never names a component unless all of the component are null. An
     empty table gives no rows; other columns are ignored.
     """
-    fps = written(fingerprints(df, id_col, text_col), "fp")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fpclass")
-    return fps.join(_component_ids(classes, "first_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+    fps = written(fingerprints(df, id_col, text_col), "fp").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+    parts = fps.groupBy("fp", "part").agg(F.min("doc_id").alias("first_id"))  # copies meet by parts, not all in one task
+    classes = written(parts.groupBy("fp").agg(F.min("first_id").alias("first_id")), "fpclass")
+    ids = parts.select("fp", "part").join(_component_ids(classes, "first_id"), "fp")
+    return fps.join(ids, ["fp", "part"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
