@@ -8,9 +8,10 @@ the character model picks the likeliest reading, word breaks included. The
 restored text, not the raw one, is scored: a logistic model over the presence
 of words and word beginnings.
 
-Context ends at a word break, so the lattice falls apart wherever the channel
-leaves no choice; only pieces with a choice are searched, and of a long
-stretch of letters without one only the two letters at each end matter.
+Context ends at a word break and two letters back, so the lattice falls apart
+exactly wherever the channel leaves no choice for two letters. Array
+operations over many texts find the stretches in between; each distinct one,
+with two letters of context on each side, is searched once.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows, those of the
 smallest hash of their id; the character model is never sampled.
@@ -47,21 +48,32 @@ SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t",
 SIZE, FOREIGN, GAP, SKIPPED = 28, 26, 27, 28
 SMOOTH = 0.5
 MEMO = 200_000
+#: Texts that are looked at together.
+TEXTS = 64
 
 # The channel: likelihoods of what an observed character came from.
 SIGN_LETTER, SIGN_NOISE, SIGN_ITSELF = 0.6, 0.05, 0.35
 REPEATED, STRETCHED = 0.1, 0.9  # that the second, or a later one, of equal letters is none
 NOISE = 0.4  # that signs between letters are nothing
-SPACING = {"singles": 0.5, "single": 0.05, "edge": 0.002}  # that white space is nothing: between single characters, around one, at the end of a row of them
+SPACING = {"singles": 0.48, "single": 0.05, "edge": 0.002}  # that white space is nothing: between single characters, around one, at the end of a row of them
 
 WORD = re.compile(r"[^\W\d_]+")
-LETTER, SIGN = r"[^\W\d_]", "[" + re.escape("".join(SIGNS)) + "]"
-#: Where the lattice has more than one path: equal neighbours, a sign beside a letter, signs between letters, a single character.
-CHOICE = re.compile(rf"({LETTER})\1|{SIGN}(?={LETTER})|(?<={LETTER}){SIGN}|(?<={LETTER})(?:[^\w\s]|_)+(?={LETTER}|{SIGN})|(?<!\S)[^\W_](?!\S)")
-#: Letters of which none equals the next: the inner ones don't matter.
-SURE = re.compile(rf"((?:({LETTER})(?!\2)){{2}})((?:({LETTER})(?!\4))+)((?:({LETTER})(?!\6)){{2}})")
-SYMBOL = re.compile(rf"{LETTER}|{SIGN}|\x00|\s+|[^\s\x00]")
+SYMBOL = re.compile(r"\s+|\S")
+#: Stands for letters that can't matter; a text's own becomes a blank.
 HIDDEN = "\0"
+#: Stands between texts that are looked at together; a text's own becomes a blank.
+BETWEEN = "\uffff"
+LETTER, SIGN, SPACE, DIGIT = 1, 2, 4, 8
+
+
+@lru_cache(1)
+def character_kinds() -> np.ndarray:
+    """Whether a code point is a letter, a sign that may be disguise, white space, or another digit."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        x = chr(c)
+        out[c] = LETTER * x.isalpha() | SIGN * (x in SIGNS) | SPACE * x.isspace() | DIGIT * (x.isalnum() and not x.isalpha())
+    return out
 
 
 @lru_cache(1)
@@ -164,80 +176,77 @@ class Channel:
             out.append(x)
         return "".join(reversed(out))
 
-    def restored(self, piece: str) -> str:
-        """The likeliest reading of a piece; letters that can't matter are hidden from the search, so that pieces alike are searched once."""
-        inner: list[str] = []
-
-        def hide(m: re.Match) -> str:
-            inner.append(m[3])
-            return m[1] + HIDDEN + m[5]
-
-        key = SURE.sub(hide, piece)
-        found = self.memo.get(key)
-        if found is None:
-            found = self.decode(key)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            if len(key) <= 64:
-                self.memo[key] = found
-        if not inner:
-            return found
-        parts = found.split(HIDDEN)
-        return "".join(x for pair in zip(parts, [*inner, ""]) for x in pair)
-
     def restore(self, text: str) -> str:
         """The text in lower case with its disguised words restored."""
-        t = text.lower()
-        if HIDDEN in t:
-            t = t.replace(HIDDEN, " ")
-        out, at, n = [], 0, len(t)
-        for m in CHOICE.finditer(t):
-            s, e = m.span()
-            if s < at:
-                continue
-            while s > at and not t[s - 1].isspace():
-                s -= 1
-            while e < n and not t[e].isspace():
-                e += 1
-            s, e = _linked(t, s, e, at)
-            out += [t[at:s], self.restored(t[s:e])]
-            at = e
-        return "".join([*out, t[at:]])
-
-
-def _alike(t: str, a: int, b: int, c: int, d: int) -> bool:
-    """Whether white space between the tokens a..b and c..d may be nothing: one is a letter or digit, or both are single characters."""
-    return (b - a == 1 and (d - c == 1 or t[a].isalnum())) or (d - c == 1 and t[c].isalnum())
-
-
-def _linked(t: str, s: int, e: int, floor: int) -> tuple[int, int]:
-    """The token s..e with the tokens that white space of a choice ties to it."""
-    n, a, b = len(t), s, e
-    while True:  # to the right
-        c = b
-        while c < n and t[c].isspace():
-            c += 1
-        d = c
-        while d < n and not t[d].isspace():
-            d += 1
-        if d == c or not _alike(t, a, b, c, d):
-            e = b
-            break
-        a, b = c, d
-    c, d = s, s
-    while c < e and not t[c].isspace():
-        c += 1
-    a, b = s, c
-    while True:  # to the left
-        d = a
-        while d > floor and t[d - 1].isspace():
-            d -= 1
-        c = d
-        while c > floor and not t[c - 1].isspace():
-            c -= 1
-        if c == d or d == a or not _alike(t, c, d, a, b):
-            return a, e
-        a, b = c, d
+        return self.restore_all([text])[0]
+
+    def restore_all(self, texts: list[str]) -> list[str]:
+        lowered = [t.lower().replace(HIDDEN, " ").replace(BETWEEN, " ") for t in texts]
+        whole = f"\n{BETWEEN}\n".join(["", *lowered, ""])
+        out, at = [], 0
+        for start, end, left, right in zip(*stretches(whole)):
+            key = (HIDDEN + whole[start - 2 : start] if left else "") + whole[start:end] + (whole[end : end + 2] + HIDDEN if right else "")
+            found = self.memo.get(key)
+            if found is None:
+                found = self.decode(key)[3 if left else 0 : -3 if right else None]
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                if len(key) <= 64:
+                    self.memo[key] = found
+            out += [whole[at:start], found]
+            at = end
+        out.append(whole[at:])
+        return "".join(out).split(f"\n{BETWEEN}\n")[1:-1]
+
+
+def stretches(whole: str) -> tuple[list[int], list[int], list[bool], list[bool]]:
+    """Begin and end of every stretch with a choice, and whether two letters without one stand before and behind it.
+
+    Tokens are tied where white space between them may be nothing: beside a
+    single letter or digit, or between two single characters. Of a group of
+    tied tokens in which anything has a choice, the stretches are what lies
+    between its runs of two or more letters of which each differs from the one
+    before it.
+    """
+    c = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = character_kinds()[c]
+    letter, sign, solid = kind & LETTER > 0, kind & SIGN > 0, kind & SPACE == 0
+    again = np.zeros(len(c), bool)
+    again[1:] = letter[1:] & (c[1:] == c[:-1])
+    choice = again.copy()
+    choice[1:] |= sign[1:] & letter[:-1]
+    choice[:-1] |= sign[:-1] & letter[1:]
+    mark = solid & (kind & (LETTER | DIGIT) == 0)  # neither letter, digit nor white space
+    begins, ends = _runs(mark)
+    inner = (begins > 0) & (ends < len(c))
+    begins, ends = begins[inner], ends[inner]
+    choice[begins[letter[begins - 1] & (letter | sign)[ends]]] = True
+    first, last = _runs(solid)
+    if not len(first):
+        return [], [], [], []
+    single = last - first == 1
+    named = single & (kind[first] & (LETTER | DIGIT) > 0)
+    barrier = c[first] == ord(BETWEEN)
+    tied = ((single[:-1] & single[1:]) | named[:-1] | named[1:]) & ~barrier[:-1] & ~barrier[1:]
+    marked = named & ~barrier
+    marked[np.searchsorted(first, np.flatnonzero(choice), side="right") - 1] = True
+    opens, closes = np.r_[True, ~tied], np.r_[~tied, True]
+    chosen = np.logical_or.reduceat(marked, np.flatnonzero(opens))
+    low, high = first[opens][chosen], last[closes][chosen]
+    run_low, run_high = _runs(letter & ~again)
+    place = np.searchsorted(low, run_low, side="right") - 1
+    kept = (run_high - run_low >= 2) & (place >= 0)
+    kept &= run_low < high[np.maximum(place, 0)] if len(high) else False
+    run_low, run_high = run_low[kept], run_high[kept]
+    start, end = np.sort(np.r_[low, run_high]), np.sort(np.r_[run_low, high])
+    wide = end > start
+    return start[wide].tolist(), end[wide].tolist(), (~np.isin(start, low))[wide].tolist(), (~np.isin(end, high))[wide].tolist()
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of true."""
+    edges = np.flatnonzero(np.diff(np.r_[False, mask, False].view(np.int8)))
+    return edges[::2], edges[1::2]
 
 
 def features(word: str) -> list[int]:
@@ -273,23 +282,27 @@ class Model:
         self.counts, self.weights, self.bias = counts, weights, bias
 
     def scorer(self):
+        """A function from texts to their scores."""
         channel, weights, bias = Channel(self.counts), self.weights, self.bias
         memo: dict[str, tuple[int, ...]] = {}
 
-        def score(text: str) -> float:
-            seen: set[int] = set()
-            for w in set(WORD.findall(channel.restore(text))):
-                own = memo.get(w)
-                if own is None:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    own = memo[w] = tuple(f for f in features(w) if f in weights)
-                if own:
-                    seen.update(own)
-            z = bias + sum(weights[f] for f in sorted(seen))
-            return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-
-        return score
+        def scores(texts: list[str]) -> list[float]:
+            out = []
+            for text in channel.restore_all(texts):
+                seen: set[int] = set()
+                for w in set(WORD.findall(text)):
+                    own = memo.get(w)
+                    if own is None:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        own = memo[w] = tuple(f for f in features(w) if f in weights)
+                    if own:
+                        seen.update(own)
+                z = bias + sum(weights[f] for f in sorted(seen))
+                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+            return out
+
+        return scores
 
 
 def fold(id_column: F.Column) -> F.Column:
@@ -311,9 +324,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel, got = Channel(counts), np.zeros((2, BUCKETS), np.int32)
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(WORD.findall(channel.restore(text)))
-                got[int(toxic > 0), list({f for w in words for f in features(w)})] += 1
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                for text, toxic in zip(channel.restore_all(part.column(0).to_pylist()), part.column(1).to_pylist()):
+                    words = set(WORD.findall(text))
+                    got[int(toxic > 0), list({f for w in words for f in features(w)})] += 1
         at = np.flatnonzero(got.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(got[0, at], pa.int64()), pa.array(got[1, at], pa.int64())], names=["bucket", "n0", "n1"])
 
@@ -333,12 +348,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         channel = Channel(counts)
 
         def fn(body, toxic):
-            found = [sorted({index[f] for w in set(WORD.findall(channel.restore(t))) for f in features(w) if f in index}) for t in body]
+            found = [sorted({index[f] for w in set(WORD.findall(t)) for f in features(w) if f in index}) for t in channel.restore_all(body)]
             return {"f": found, "toxic": [int(x > 0) for x in toxic]}
 
         return fn
 
-    fitted = [(r[0], r[1]) for r in map_slices(sample, make, "f array<int>, toxic int").collect()]  # SAMPLE rows of at most FEATURES numbers
+    fitted = [(r[0], r[1]) for r in map_slices(sample, make, "f array<int>, toxic int", rows=TEXTS).collect()]  # SAMPLE rows of at most FEATURES numbers
     discard(sample)
     w, bias = _fit(sorted(fitted), len(index))
     return Model(counts, {b: float(w[k]) for b, k in index.items()}, bias)
@@ -354,10 +369,10 @@ def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        score = shared.value.scorer()
-        return lambda keys, docs: {"doc_id": keys, "score": [score(t) for t in docs]}
+        scores = shared.value.scorer()
+        return lambda keys, docs: {"doc_id": keys, "score": scores(docs)}
 
-    out = map_slices(texts(df, id_col, text_col), make, "doc_id long, score double")
+    out = map_slices(texts(df, id_col, text_col), make, "doc_id long, score double", rows=TEXTS)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -367,9 +382,10 @@ def without_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFr
 
     @pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shared.value.scorer()
+        scores = shared.value.scorer()
         for col in batches:
-            yield col.map(lambda t: own(t or "")).astype("float64")
+            docs = [t or "" for t in col]
+            yield pd.Series([x for at in range(0, len(docs), TEXTS) for x in scores(docs[at : at + TEXTS])], dtype="float64")
 
     own = fresh(df, "_toxicity")
     return df.withColumn(own, score(F.col(f"`{text_col}`").cast("string"))).where(F.col(own) < THRESHOLD).drop(own)
