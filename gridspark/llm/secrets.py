@@ -50,7 +50,7 @@ HARMLESS = {"public": -0.6, "id": -0.3, "name": -0.4, "path": -0.5, "file": -0.5
 THRESHOLD = 1.2
 MIN_LITERAL = 8
 
-OPERATOR = re.compile(r"[:=]|(?<=[A-Za-z0-9_])\((?=[\"'])")
+OPERATOR = re.compile("[:=(]")
 BLOCK = re.compile(r"[ \t]*+[|>][-+]?[1-9]?[-+]?[ \t]*+\r?\n")
 BLOCK_LINE = re.compile(r"([ \t]*+)[^\r\n]*+(?:\r?\n|\Z)")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
@@ -284,7 +284,8 @@ def find(text: str | None) -> list[tuple[int, str, int]]:
     last, lexer, pairs = 0, _Assignments(t), set()
     for op in (m.start() for m in OPERATOR.finditer(t)):
         if t[op] == "(":
-            lexer.argument(op, pairs)
+            if t[op + 1 : op + 2] in ("'", '"'):
+                lexer.argument(op, pairs)
             continue
         key = _keyword_end(t, op)
         if key and key[0] >= last:
