@@ -22,7 +22,7 @@ from .functions import systems as T
 from .functions import vertical as V
 from .operators import collection, combine, interpolate, maths, mesh, reduce, regrid, shape, stats, subset
 from .queries import ORACLES, QUERIES, r, rows, query
-from .sources import dispersion, mesh_files, netcdf3, pp, raster, store
+from .sources import bytesio, dispersion, mesh_files, netcdf3, nimrod, pp, raster, shapefile, store
 from .streaming import events
 
 
@@ -210,6 +210,38 @@ def dispersion_read(spark, d):
     return rows(made, 4, latitude="latitude", longitude="longitude").select("latitude", "longitude", F.lit(made.units).alias("units"), "v")
 
 
+@query("nimrod_round_trip", _WORLD_SINGLE)
+def nimrod_round_trip(spark, d):
+    at = _at(spark, "world.nimrod")
+    store.save(X.world(spark, d), at)
+    return rows(store.load_one(spark, at), latitude="latitude", longitude="longitude")
+
+
+@query("load_problems", f"WITH {X.WORLD} SELECT 'record 1' AS part, count(*) AS loaded FROM wo")
+def load_problems(spark, d):
+    """Of two records the second has values of an unknown kind: it is noted, the first is loaded."""
+    at, both = _at(spark, "one.nimrod"), _at(spark, "two.nimrod")
+    store.save(X.world(spark, d), at)
+    first = bytes(spark.read.format("binaryFile").load(at).head().content)
+    second = bytearray(first)
+    second[4 + 2 * nimrod.KIND : 6 + 2 * nimrod.KIND] = b"\0\x09"
+    with bytesio.created(spark, both) as stream:
+        stream.write(first + bytes(second))
+    with store.captured_problems() as found:
+        (g,) = store.load_raw(spark, both)
+    return g.df.agg(F.count("v").alias("loaded")).select(F.lit(found[0].part).alias("part"), "loaded")
+
+
+@query("shapefile_mask", f"WITH {X.WORLD} SELECT CAST(latitude AS DOUBLE) AS latitude, CAST(longitude AS DOUBLE) AS longitude, {r('v')} FROM wo WHERE longitude BETWEEN 30 AND 120 AND latitude BETWEEN -40 AND 30 AND NOT (longitude BETWEEN 60 AND 80 AND latitude BETWEEN -10 AND 10)")
+def shapefile_mask(spark, d):
+    """A polygon with a hole, read from a file."""
+    at = _at(spark, "area.shp")
+    outer, hole = [(30, -40), (30, 30), (120, 30), (120, -40), (30, -40)], [(60, -10), (80, -10), (80, 10), (60, 10), (60, -10)]
+    with bytesio.created(spark, at) as stream:
+        stream.write(shapefile.polygon_file([[outer, hole]]))
+    return rows(shapefile.mask_outside_shapefile(X.world(spark, d), at, 0.5), latitude="latitude", longitude="longitude")
+
+
 @query("mesh_file_round_trip", "SELECT CAST(n_nationkey AS BIGINT) AS loc, CAST((1.0 + n_nationkey % 3) * (2.0 + n_nationkey % 2) AS DOUBLE) AS area FROM nation")
 def mesh_file_round_trip(spark, d):
     at = _at(spark, "mesh.nc")
@@ -504,6 +536,14 @@ def clip_text(spark, d):
     return local_table(spark, [(t, collection.clip_string(t.replace(" ", "_"), 6).replace("_", " ")) for t in kinds], "text string, clipped string")
 
 
+@query("rule_helpers", "SELECT 'code' AS scalar, 'line' AS vector, 'line: sum' AS method, true AS none")
+def rule_helpers(spark, d):
+    g = _flagged(spark, d)[0]
+    low = g.collapsed("line", A.SUM)
+    found = (collection.scalar_coord(g, "code").name(), collection.vector_coord(g, "line").name(), str(collection.cell_method_of(low, "sum", "line")), collection.scalar_coord(g, "line") is None and collection.vector_coord(g, "code") is None)
+    return local_table(spark, [found], "scalar string, vector string, method string, none boolean")
+
+
 # Reductions of coordinates, and what they record.
 
 
@@ -577,6 +617,29 @@ def rolling_long(spark, d):
     return rows(X.orders_day(spark, d).rolling_window("day", A.SUM, 365), 2, day="day")
 
 
+@query("curl_of_three", f"""WITH {X.PLANE}, c AS (SELECT a.x, a.y, a.v AS a, b.v AS b, c.v AS c, e.v AS e FROM pl a JOIN pl b ON b.x = a.x + 1 AND b.y = a.y JOIN pl c ON c.x = a.x AND c.y = a.y + 1 JOIN pl e ON e.x = a.x + 1 AND e.y = a.y + 1)
+    SELECT 'i' AS part, CAST(a.x AS DOUBLE) AS x, CAST(a.y + 0.5 AS DOUBLE) AS y, {r('2 * (c.v - a.v) - (a.v + c.v) / 2', 6)} FROM pl a JOIN pl c ON c.x = a.x AND c.y = a.y + 1
+    UNION ALL SELECT 'k', CAST(x + 0.5 AS DOUBLE), CAST(y + 0.5 AS DOUBLE), {r('2 * ((b - a) + (e - c)) / 2 - ((c - a) + (e - b)) / 2', 6)} FROM c""")
+def curl_of_three(spark, d):
+    """(P, z P, 2 P) over x, y and z = 0, 1, 2: the first component at its first middle of z, the third at z = 2."""
+    p = X.price_plane(spark, d)
+    g = shape.broadcast_to(p, {"z": 3, **p.dims}).with_coord(Coord(long_name="z", units="m", points=np.arange(3.0), dims=("z",), is_dim=True))
+    i, _, k = stats.curl3(g.named("x_wind"), (g * g.coord("z")).named("y_wind"), (g * 2.0).named("upward"), "x", "y", "z")
+    parts = [rows(c[n], 6, x="x", y="y").select(F.lit(name).alias("part"), F.col("x").cast("double"), F.col("y").cast("double"), "v") for name, c, n in (("i", i, 0), ("k", k, 2))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("wpercentile_kinds", f"""WITH {X.SALES}, {X.QUANTITY}, j AS (SELECT month, sa.v AS v, qu.v AS w FROM sa JOIN qu USING (month, supp)),
+    c AS (SELECT month, v, (sum(w) OVER (PARTITION BY month ORDER BY v ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY month) AS p FROM j),
+    b AS (SELECT *, lag(p) OVER (PARTITION BY month ORDER BY v) AS p0, lag(v) OVER (PARTITION BY month ORDER BY v) AS v0 FROM c),
+    x AS (SELECT month, max(CASE WHEN p0 < 0.4 AND 0.4 <= p THEN CASE WHEN 0.4 - p0 <= p - 0.4 THEN v0 ELSE v END END) AS near, max(CASE WHEN p0 < 0.4 AND 0.4 <= p THEN v END) AS after FROM b GROUP BY month HAVING min(p) < 0.4 AND max(p) > 0.4)
+    SELECT month, 'nearest' AS kind, {r('near')} FROM x UNION ALL SELECT month, 'next', {r('after')} FROM x""")
+def wpercentile_kinds(spark, d):
+    sales, weight = X.sales(spark, d), X.quantity(spark, d)
+    parts = [rows(sales.collapsed("supp", A.WPERCENTILE, weights=weight, percent=40, kind=k), month="month").select("month", F.lit(k).alias("kind"), "v") for k in ("nearest", "next")]
+    return parts[0].unionByName(parts[1])
+
+
 @query("vector_name", "SELECT 'wind' AS name")
 def vector_name(spark, d):
     return local_table(spark, [(stats.spatial_name("x_wind", "y_wind"),)], "name string")

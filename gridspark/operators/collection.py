@@ -11,7 +11,7 @@ from xml.sax.saxutils import quoteattr
 import xxhash
 from pyspark.sql import functions as F
 
-from ..frame import Coord, Grid, GridError
+from ..frame import CellMethod, Coord, Grid, GridError
 from . import combine as _combine
 from . import subset as _subset
 
@@ -180,3 +180,21 @@ def clip_string(text: str, length: int = 70, rider: str = "...") -> str:
         return text
     at = text.find(" ", length)
     return (text[:length] if at < 0 or at > length + 15 else text[:at]) + rider
+
+
+# Helpers for rules that read or write files.
+
+
+def scalar_coord(grid: Grid, name: str) -> Coord | None:
+    """The coordinate of that name, if it lies on no dimension."""
+    return next((c for c in grid.find(name) if not c.dims), None)
+
+
+def vector_coord(grid: Grid, name: str) -> Coord | None:
+    """The coordinate of that name, if it lies on one dimension."""
+    return next((c for c in grid.find(name) if len(c.dims) == 1), None)
+
+
+def cell_method_of(grid: Grid, method: str, coord: str) -> CellMethod | None:
+    """The cell method of that kind over just that coordinate."""
+    return next((m for m in grid.cell_methods if m.method == method and m.coords == (coord,)), None)

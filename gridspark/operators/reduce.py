@@ -102,9 +102,9 @@ def percentiles(df: DataFrame, keys: list[str], total: Column, mdtol: float | No
 
 
 def weighted_percentiles(df: DataFrame, keys: list[str], w: Column, total: Column, mdtol: float | None, percent, kind: str = "linear", **_) -> DataFrame:
-    """Linear interpolation of the values at (cumulated weight − half the own weight) / all weight."""
-    if kind != "linear":
-        raise GridError("only linear interpolation is offered")
+    """Values at (cumulated weight − half the own weight) / all weight, and between them by ``kind``: linear, nearest (the lower one half-way), previous (or zero) or next."""
+    if kind not in ("linear", "slinear", "nearest", "previous", "zero", "next"):
+        raise GridError(f"weighted percentiles aren't interpolated by {kind!r}")
     levels = [float(p) / 100 for p in np.atleast_1d(percent)]
     part = Window.partitionBy(*keys)
     place = part.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -115,7 +115,7 @@ def weighted_percentiles(df: DataFrame, keys: list[str], w: Column, total: Colum
     values = []
     for q in levels:
         inside = (F.col("_before._at") < q) & (q <= F.col("_at"))
-        lerp = F.col("_before.v") + (F.col("v") - F.col("_before.v")) * (q - F.col("_before._at")) / (F.col("_at") - F.col("_before._at"))
+        lerp = _between(kind, q)
         low, high = F.min(F.struct("_at", "v")), F.max(F.struct("_at", "v"))
         values.append(F.when(low["_at"] >= q, low["v"]).when(high["_at"] <= q, high["v"]).otherwise(F.max(F.when(inside, lerp))))
     out = steps.groupBy(*keys).agg(_tolerant(F.when(F.max("_at").isNotNull(), F.array(*values)), total, mdtol).alias("_p"))
@@ -124,6 +124,18 @@ def weighted_percentiles(df: DataFrame, keys: list[str], w: Column, total: Colum
     return out.select(*keys, F.posexplode(F.coalesce(F.col("_p"), F.array(*[F.lit(None).cast("double")] * len(levels)))).alias("i_percentile", "v"))
 
 
+def _between(kind: str, q: float) -> Column:
+    """The value at ``q`` between a row and the one before it."""
+    p0, p1, v0, v1 = F.col("_before._at"), F.col("_at"), F.col("_before.v"), F.col("v")
+    if kind == "nearest":
+        return F.when(q - p0 <= p1 - q, v0).otherwise(v1)
+    if kind in ("previous", "zero"):
+        return F.when(p1 == q, v1).otherwise(v0)
+    if kind == "next":
+        return v1
+    return v0 + (v1 - v0) * (q - p0) / (p1 - p0)
+
+
 def spline_peak(values: np.ndarray) -> float:
     """The highest of each gap-free stretch and of its interpolating spline at 100 samples a point."""
     v = np.asarray(values, float)

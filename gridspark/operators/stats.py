@@ -144,7 +144,21 @@ def curl(u: Grid, v: Grid, x: str, y: str, spherical: bool = False, radius: floa
         (d,) = left.coord(y).dims
         table = local_table(u.spark, [(k, float(s)) for k, s in enumerate(scale)], f"`{index(d)}` int, _s double")
         out = out.join(sized(table, len(scale)), index(d)).withColumn("v", F.col("v") * F.col("_s")).select(*left.keys(), "v")
-    return replace(left, df=out, long_name=f"k curl component of {spatial_name(u.name(), v.name())}")
+    return replace(left, df=out, long_name=f"k curl component of {_common_name(u, v)}")
+
+
+def _common_name(u: Grid, v: Grid) -> str:
+    try:
+        return spatial_name(u.name(), v.name())
+    except GridError:
+        return f"{u.name()} and {v.name()}"
+
+
+def curl3(u: Grid, v: Grid, w: Grid, x: str, y: str, z: str) -> tuple[Grid, Grid, Grid]:
+    """The three components of the curl in plane coordinates; each lies on the midpoints of the two axes it is derived along."""
+    i, j, k = curl(v, w, y, z), curl(w, u, z, x), curl(u, v, x, y)
+    name = spatial_name(u.name(), v.name())
+    return tuple(replace(g, long_name=f"{letter} curl component of {name}") for g, letter in ((i, "i"), (j, "j"), (k, "k")))
 
 
 def spatial_name(u: str, v: str) -> str:

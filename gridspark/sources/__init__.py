@@ -1,5 +1,5 @@
 """Sources and sinks; importing the package registers every format and writer."""
 
-from . import dispersion, netcdf3, pp, raster, store
+from . import dispersion, netcdf3, nimrod, pp, raster, store
 
-__all__ = ["dispersion", "netcdf3", "pp", "raster", "store"]
+__all__ = ["dispersion", "netcdf3", "nimrod", "pp", "raster", "store"]

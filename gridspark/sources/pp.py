@@ -24,7 +24,7 @@ from ..functions.systems import GeogCS, RotatedGeogCS
 from ..units import civil_from_days, days_from_civil
 from . import packing
 from .bytesio import created, slabs, with_file, with_spans
-from .store import Format, add_format, add_writer
+from .store import Format, add_format, add_writer, problem
 
 # Places of header words (from 0) and codes.
 WORDS = {"lbyr": 0, "lbyrd": 6, "lbtim": 12, "lbft": 13, "lblrec": 14, "lbcode": 15, "lbhem": 16, "lbrow": 17, "lbnpt": 18, "lbext": 19, "lbpack": 20, "lbrel": 21, "lbfc": 22, "lbproc": 24, "lbvc": 25, "lbegin": 28, "lbnrec": 29, "lblev": 32, "lbuser1": 38, "lbuser4": 41, "lbuser5": 42, "lbuser7": 44}
@@ -201,12 +201,16 @@ def load_records(spark: SparkSession, path: str, reader, constraints: list | Non
         name, units = NAMES.get((own[0].stash.section, own[0].stash.item), (None, "1"))
         if constraints and len(named) == len(constraints) and not set(named) & {name, str(own[0].stash)}:
             continue
-        out.append(_collated(spark, path, own, members, name, units, masks))
+        with problem(path, str(own[0].stash)):
+            out.append(_collated(spark, path, own, members, name, units, masks))
     return out
 
 
 def _collated(spark: SparkSession, path: str, own: list[Record], members: list[int], name: str | None, units: str, masks: list[Record]) -> Grid:
     x = own[0]
+    odd = {r.lbpack for r in own if r.lbpack % 10 not in (0, 1, 2, 4)}
+    if odd:
+        raise GridError(f"records of packing {sorted(odd)} aren't read")
     calendar, kind = CALENDARS.get(x.lbtim % 10, "standard"), x.lbtim // 10 % 10
     first, second = [_time(r, WORDS["lbyr"], calendar) for r in own], [_time(r, WORDS["lbyrd"], calendar) for r in own]
     times = [((a + b) / 2, a, b) if kind in (2, 3) else (a, a, a) for a, b in zip(first, second)]

@@ -8,6 +8,7 @@ name or first bytes and a writer by the target's name; others can be added.
 from __future__ import annotations
 
 import json
+import traceback
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -172,8 +173,38 @@ class IgnoreField(Exception):
     """Raised by a load callback to leave a field out."""
 
 
-#: Problems met while loading: (path, error).
-LOAD_PROBLEMS: list[tuple[str, Exception]] = []
+@dataclass(frozen=True)
+class LoadProblem:
+    """What couldn't be loaded: the file, the part of it, the error and where it arose."""
+
+    path: str
+    part: str
+    error: Exception
+    trace: str
+
+
+#: Problems met while loading, oldest first.
+LOAD_PROBLEMS: list[LoadProblem] = []
+
+
+@contextmanager
+def problem(path: str, part: str) -> Iterator[None]:
+    """Errors of one part of a file are noted, and the rest of the file is loaded."""
+    try:
+        yield
+    except (ValueError, KeyError) as error:
+        LOAD_PROBLEMS.append(LoadProblem(path, part, error, traceback.format_exc()))
+
+
+@contextmanager
+def captured_problems() -> Iterator[list[LoadProblem]]:
+    """A list that holds, after the block, what went wrong inside it."""
+    before, found = len(LOAD_PROBLEMS), []
+    try:
+        yield found
+    finally:
+        found += LOAD_PROBLEMS[before:]
+        del LOAD_PROBLEMS[before:]
 
 
 def load_raw(spark: SparkSession, paths: str | Iterable[str], constraints=None, callback: Callable[[Grid, str], Grid | None] | None = None) -> list[Grid]:
@@ -183,11 +214,9 @@ def load_raw(spark: SparkSession, paths: str | Iterable[str], constraints=None,
     out = []
     for path in expand(spark, paths):
         spec = find_format(path, _first_bytes(spark, path))
-        try:
+        fields: list[Grid] = []
+        with problem(path, "whole file"):
             fields = list(spec.reader(spark, path, wanted) if spec.wants_constraints else spec.reader(spark, path))
-        except GridError as problem:
-            LOAD_PROBLEMS.append((path, problem))
-            continue
         for g in fields:
             if callback:
                 try:

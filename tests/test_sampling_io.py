@@ -444,3 +444,30 @@ def test_project_masks_what_a_system_hides(spark):
     v = values(made)
     assert made.dims == {"y": 9, "x": 11} and np.ma.getmaskarray(v)[0, 0] and not np.ma.getmaskarray(v)[4, 5]
     assert made.coord(axis="x").name() == "projection_x_coordinate" and 76 <= v[4, 5] <= 77
+
+
+def test_problems_are_captured_and_the_rest_is_loaded(spark, tmp_path):
+    from gridspark.sources import pp
+
+    g, a = _many_records(spark)
+    data = bytearray(pp.to_bytes(g) + pp.to_bytes(g.with_df(g.df, attributes={"STASH": "m01s03i245"})))
+    one = len(data) // 24
+    for k in range(12, 24):
+        data[k * one + 4 + 4 * pp.WORDS["lbpack"] : k * one + 8 + 4 * pp.WORDS["lbpack"]] = (3).to_bytes(4, "big")
+    (tmp_path / "x.pp").write_bytes(bytes(data))
+    (tmp_path / "y.pp").write_bytes(bytes(data[:300]) + b"junk" * 100)
+    with store.captured_problems() as found:
+        (back,) = store.load_raw(spark, f"{tmp_path}/x.pp")
+    assert values(back).tolist() == a.tolist() and [(p.part, "3" in str(p.error)) for p in found] == [("m01s03i245", True)]
+    assert found[0].path.endswith("x.pp") and "GridError" in found[0].trace and store.LOAD_PROBLEMS == []
+
+
+def test_plugins(tmp_path, monkeypatch):
+    from gridspark.plugins import use_plugin
+
+    (tmp_path / "gridspark_plugins").mkdir()
+    (tmp_path / "gridspark_plugins" / "mine.py").write_text("answer = 42\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert use_plugin("mine").answer == 42
+    with pytest.raises(ImportError):
+        use_plugin("none")
