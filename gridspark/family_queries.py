@@ -635,7 +635,7 @@ def curl_of_three(spark, d):
     x AS (SELECT month, max(CASE WHEN p0 < 0.4 AND 0.4 <= p THEN CASE WHEN 0.4 - p0 <= p - 0.4 THEN v0 ELSE v END END) AS near, max(CASE WHEN p0 < 0.4 AND 0.4 <= p THEN v END) AS after FROM b GROUP BY month HAVING min(p) < 0.4 AND max(p) > 0.4)
     SELECT month, 'nearest' AS kind, {r('near')} FROM x UNION ALL SELECT month, 'next', {r('after')} FROM x""")
 def wpercentile_kinds(spark, d):
-    sales, weight = X.sales(spark, d), X.quantity(spark, d)
+    sales, weight = X.sales_and_quantity(spark, d)
     parts = [rows(sales.collapsed("supp", A.WPERCENTILE, weights=weight, percent=40, kind=k), month="month").select("month", F.lit(k).alias("kind"), "v") for k in ("nearest", "next")]
     return parts[0].unionByName(parts[1])
 

@@ -49,12 +49,26 @@ def orders_day(spark: SparkSession, d: str) -> Grid:
 ORDERS = f"od AS (SELECT {SQL_DAY.format('o_orderdate')} AS day, sum(o_totalprice) AS v FROM orders GROUP BY ALL)"
 
 
+def _shipped(spark: SparkSession, d: str) -> DataFrame:
+    month = F.expr("cast((year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 as bigint)")
+    return table(spark, d, "lineitem").withColumns({"month": month, "supp": F.col("l_suppkey")})
+
+
+def _by_month(raw: DataFrame, column: str, axes: dict, **names) -> Grid:
+    df = raw.groupBy("month", "supp").agg(F.sum(column).alias("v"))
+    return Grid.from_table(df, axes, "v", source=raw, **names)
+
+
 def sales(spark: SparkSession, d: str) -> Grid:
     """Extended price by ship month (months since 1970) and supplier."""
-    month = F.expr("cast((year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 as bigint)")
-    raw = table(spark, d, "lineitem").withColumns({"month": month, "supp": F.col("l_suppkey")})
-    df = raw.groupBy("month", "supp").agg(F.sum("l_extendedprice").alias("v"))
-    return Grid.from_table(df, {"month": None, "supp": None}, "v", source=raw, long_name="sales", units="kg")
+    return _by_month(_shipped(spark, d), "l_extendedprice", {"month": None, "supp": None}, long_name="sales", units="kg")
+
+
+def sales_and_quantity(spark: SparkSession, d: str) -> tuple[Grid, Grid]:
+    """:func:`sales` and :func:`quantity`, their axes found in one pass."""
+    first = sales(spark, d)
+    axes = {n: first.coord(n).points for n in ("month", "supp")}
+    return first, _by_month(_shipped(spark, d), "l_quantity", axes, long_name="quantity", units="m")
 
 
 SALES = "sa AS (SELECT CAST((year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 AS BIGINT) AS month, l_suppkey AS supp, sum(l_extendedprice) AS v FROM lineitem GROUP BY ALL)"
@@ -62,10 +76,7 @@ SALES = "sa AS (SELECT CAST((year(l_shipdate) - 1970) * 12 + month(l_shipdate) -
 
 def quantity(spark: SparkSession, d: str) -> Grid:
     """Quantity by ship month and supplier: weights for :func:`sales`."""
-    month = F.expr("cast((year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 as bigint)")
-    raw = table(spark, d, "lineitem").withColumns({"month": month, "supp": F.col("l_suppkey")})
-    df = raw.groupBy("month", "supp").agg(F.sum("l_quantity").alias("v"))
-    return Grid.from_table(df, {"month": None, "supp": None}, "v", source=raw, long_name="quantity", units="m")
+    return _by_month(_shipped(spark, d), "l_quantity", {"month": None, "supp": None}, long_name="quantity", units="m")
 
 
 QUANTITY = "qu AS (SELECT CAST((year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 AS BIGINT) AS month, l_suppkey AS supp, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"

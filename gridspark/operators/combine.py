@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import replace
-from functools import reduce
 from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Coord, Grid, GridError, equal_points, index, monotonic
+from ..frame import Coord, Grid, GridError, index, monotonic
 from ..functions.axes import axis_of
 from ..functions.calendar import unify_time_units
 
@@ -42,7 +41,10 @@ def _value(c: Coord) -> tuple:
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """All rows, joined pair by pair, so that no part is analysed more often than a logarithm of their number."""
+    while len(parts) > 1:
+        parts = [a.unionByName(*b) if b else a for a, *b in (parts[k : k + 2] for k in range(0, len(parts), 2))]
+    return parts[0]
 
 
 def _functions(columns: dict[str, list], of: tuple[str, ...], name: str) -> bool:
@@ -135,59 +137,69 @@ def merge_one(grids: Iterable[Grid], unique: bool = True) -> Grid:
 
 
 def concatenate(grids: Iterable[Grid], check_aux_coords: bool = True, check_cell_measures: bool = True, check_ancils: bool = True) -> list[Grid]:
-    """Fields that continue one another along one dimension are joined, until none do."""
+    """Fields that continue one another along one dimension are joined, until none do.
+
+    Fields are told apart by a key that holds all but one dimension, so each
+    pass sorts them once for each dimension; nothing is compared pair by pair.
+    """
     roles = {"coord": check_aux_coords, "measure": check_cell_measures, "ancillary": check_ancils}
     left = list(grids)
-    while True:
-        for k, a in enumerate(left):
-            mates = [(d, b) for b in left[k + 1 :] if (d := _joining_dim(a, b, roles))]
-            if mates:
-                dim = mates[0][0]
-                group = [a, *(b for d, b in mates if d == dim)]
-                order = _ordered(group, dim)
-                if order is None:
-                    order = _ordered([a, mates[0][1]], dim)
-                if order is not None:
-                    left = [g for g in left if not any(g is o for o in order)]
-                    left.insert(min(k, len(left)), _joined(order, dim))
-                    break
+    changed = True
+    while changed:
+        changed = False
+        for dim in dict.fromkeys(d for g in left for d in g.dims):
+            groups: dict[tuple, list[int]] = {}
+            for k, g in enumerate(left):
+                if dim in g.dims and g.dim_coord(dim) is not None:
+                    groups.setdefault(_key_without(g, dim, roles), []).append(k)
+            joined: dict[int, Grid | None] = {}
+            for members in groups.values():
+                for chain in _chains(left, members, dim):
+                    if len(chain) > 1:
+                        joined |= dict.fromkeys(chain)
+                        joined[min(chain)] = _joined([left[k] for k in chain], dim)
+            if joined:
+                changed = True
+                left = [joined.get(k, g) for k, g in enumerate(left)]
+                left = [g for g in left if g is not None]
+    return left
+
+
+def _content(c: Coord) -> tuple:
+    same = lambda a: a.astype(float) if a.dtype.kind in "iuf" else a
+    return (c.points.shape, same(c.points).tobytes(), None if c.bounds is None else same(c.bounds).tobytes())
+
+
+def _key_without(g: Grid, dim: str, roles: dict[str, bool]) -> tuple:
+    """All that fields have in common that continue one another along ``dim``."""
+    coords = sorted(((*_coord_key(c), *(() if dim in c.dims or not (roles[c.role] or c.is_dim) else _content(c))) for c in g.coords), key=repr)
+    axis = g.dim_coord(dim).points
+    way = 0 if len(axis) < 2 else int(np.sign(axis[-1] - axis[0]))
+    return (repr(_identity(g)), tuple((d, None if d == dim else n) for d, n in g.dims.items()), tuple(coords), way if way < 0 else 0)
+
+
+def _chains(grids: list[Grid], members: list[int], dim: str) -> list[list[int]]:
+    """Members in axis order, dealt into chains in which each begins behind the end of the one before."""
+    axes = {k: grids[k].dim_coord(dim) for k in members}
+    down = any(len(c.points) > 1 and c.points[-1] < c.points[0] for c in axes.values())
+    chains: list[list[int]] = []
+    for k in sorted(members, key=lambda k: axes[k].points[0], reverse=down):
+        fitting = next((c for c in chains if _follows(axes[c[-1]], axes[k], down)), None)
+        if fitting is None:
+            chains.append([k])
         else:
-            return left
-
-
-def _joining_dim(a: Grid, b: Grid, roles: dict[str, bool]) -> str | None:
-    if _identity(a) != _identity(b) or list(a.dims) != list(b.dims):
-        return None
-    own, theirs = {_coord_key(c): c for c in a.coords}, {_coord_key(c): c for c in b.coords}
-    if set(own) != set(theirs):
-        return None
-    differ = {k[2][0] for k, c in own.items() if c.is_dim and not (c.points.shape == theirs[k].points.shape and equal_points(c, theirs[k]))}
-    if len(differ) != 1:
-        return None
-    (dim,) = differ
-    for k, c in own.items():
-        if dim not in c.dims and roles[c.role] and not (c.points.shape == theirs[k].points.shape and equal_points(c, theirs[k])):
-            return None
-    if any(a.dims[d] != b.dims[d] for d in a.dims if d != dim) or _ordered([a, b], dim) is None:
-        return None
-    return dim
-
-
-def _ordered(grids: list[Grid], dim: str) -> list[Grid] | None:
-    """The fields in axis order, or None where their points or bounds overlap or run in different ways."""
-    axes = [g.dim_coord(dim) for g in grids]
-    ways = {np.sign(c.points[-1] - c.points[0]) for c in axes if len(c.points) > 1}
-    if len(ways) > 1:
-        return None
-    down = ways == {-1.0}
-    order = sorted(range(len(grids)), key=lambda k: axes[k].points[0], reverse=down)
-    for i, j in zip(order, order[1:]):
-        a, b = axes[i], axes[j]
-        if (a.points[-1] <= b.points[0]) if down else (a.points[-1] >= b.points[0]):
-            return None
-        if a.bounds is not None and ((a.bounds[-1].min() < b.bounds[0].max()) if down else (a.bounds[-1].max() > b.bounds[0].min())) and not np.isclose(a.bounds[-1].min() if down else a.bounds[-1].max(), b.bounds[0].max() if down else b.bounds[0].min()):
-            return None
-    return [grids[k] for k in order]
+            fitting.append(k)
+    return chains
+
+
+def _follows(a: Coord, b: Coord, down: bool) -> bool:
+    """Whether b's points and cells lie behind a's."""
+    if (a.points[-1] <= b.points[0]) if down else (a.points[-1] >= b.points[0]):
+        return False
+    if a.bounds is None or b.bounds is None:
+        return a.bounds is None and b.bounds is None
+    end, begin = (a.bounds[-1].min(), b.bounds[0].max()) if down else (a.bounds[-1].max(), b.bounds[0].min())
+    return bool((end >= begin if down else end <= begin) or np.isclose(end, begin))
 
 
 def _joined(grids: list[Grid], dim: str) -> Grid:

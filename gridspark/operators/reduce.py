@@ -156,38 +156,71 @@ def spline_peak(values: np.ndarray) -> float:
 
 
 def _spline(y: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
-    """The interpolating B-spline of order k through (0, y0), (1, y1) …; knots at points (odd k) or between (even k)."""
+    """The interpolating B-spline of order k through (0, y0), (1, y1) …; knots at points (odd k) or between (even k).
+
+    Only the k + 1 basis functions that aren't zero at a place are held, so
+    time and memory grow with the length of the series.
+    """
     n = len(y)
     x = np.arange(n, dtype=float)
     inner = n - k - 1
     knots = x[(k + 1) // 2 : (k + 1) // 2 + inner] if k % 2 else (x[k // 2 : k // 2 + inner] + x[k // 2 + 1 : k // 2 + 1 + inner]) / 2
     t = np.r_[[0.0] * (k + 1), knots, [n - 1.0] * (k + 1)]
 
-    def basis(p: np.ndarray) -> np.ndarray:
-        span = np.clip(np.searchsorted(t, p, side="right") - 1, k, len(t) - k - 2)
-        b = np.zeros((len(p), len(t) - 1))
-        b[np.arange(len(p)), span] = 1.0
-        for d in range(1, k + 1):
-            left = t[d : len(t) - 1] - t[: len(t) - 1 - d]
-            right = t[d + 1 :] - t[1 : len(t) - d]
-            lo = np.divide(p[:, None] - t[: len(t) - 1 - d], left, out=np.zeros((len(p), len(left))), where=left > 0)
-            hi = np.divide(t[d + 1 :] - p[:, None], right, out=np.zeros((len(p), len(right))), where=right > 0)
-            b = lo[:, : len(t) - 1 - d] * b[:, : len(t) - 1 - d] + hi * b[:, 1 : len(t) - d]
-        return b
-
-    return basis(at) @ np.linalg.solve(basis(x), y)
+    def basis(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First function that isn't zero at each place, and the values from there on."""
+        span = np.clip(np.searchsorted(t, p, side="right") - 1, k, n - 1)
+        values = np.zeros((len(p), k + 1))
+        values[:, 0] = 1.0
+        for degree in range(1, k + 1):
+            carried = np.zeros(len(p))
+            for r in range(degree):
+                above, below = t[span + r + 1] - p, p - t[span + 1 - degree + r]
+                part = values[:, r] / (above + below)
+                values[:, r] = carried + above * part
+                carried = below * part
+            values[:, degree] = carried
+        return span - k, values
+
+    first, values = basis(x)
+    weights = _banded(first, values, y, k)
+    start, values = basis(at)
+    return (values * weights[start[:, None] + np.arange(k + 1)]).sum(axis=1)
+
+
+def _banded(first: np.ndarray, values: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Solve a system whose row i holds ``values`` from column ``first`` on, within k of the diagonal; collocation needs no pivoting."""
+    n = len(y)
+    band = np.zeros((n + k, 3 * k + 1))
+    columns = first[:, None] + np.arange(k + 1) - np.arange(n)[:, None] + k
+    band[np.arange(n)[:, None], columns] = values
+    out = np.r_[np.asarray(y, float), np.zeros(k)]
+    for i in range(n - 1):
+        for r in range(1, min(k, n - 1 - i) + 1):
+            factor = band[i + r, k - r] / band[i, k]
+            if factor:
+                band[i + r, k - r : 2 * k - r + 1] -= factor * band[i, k : 2 * k + 1]
+                out[i + r] -= factor * out[i]
+    for i in range(n - 1, -1, -1):
+        out[i] = (out[i] - band[i, k + 1 : 2 * k + 1] @ out[i + 1 : i + k + 1]) / band[i, k]
+    return out[:n]
 
 
 def peaks(df: DataFrame, keys: list[str], order: Column, total: Column, mdtol: float | None) -> DataFrame:
     """Spline peaks; a key's cells are one series, so they meet in one task as arrays of its index and values."""
     @pandas_udf("double")
-    def peak(v: pd.Series) -> pd.Series:
-        return v.map(lambda s: spline_peak(np.array([np.nan if x is None else x for x in s], float)))
-
-    gathered = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order.alias("i"), F.col("v").alias("x")))).alias("_s"), _tolerant(F.when(F.count("v") > 0, 1), total, mdtol).alias("_ok"))
-    series = gathered.select(*keys, "_ok", F.expr("transform(sequence(cast(_s[0].i as int), cast(_s[size(_s) - 1].i as int)), k -> map_from_entries(_s)[k])").alias("_v"))
-    value = peak(F.col("_v"))
-    return series.select(*keys, F.when(F.col("_ok").isNotNull(), F.when(~F.isnan(value), value)).alias("v"))
+    def peak(place: pd.Series, v: pd.Series) -> pd.Series:
+        out = []
+        for k, x in zip(place, v):
+            k = np.asarray(k)
+            line = np.full(int(k[-1] - k[0]) + 1, np.nan)
+            line[k - k[0]] = np.array([np.nan if z is None else z for z in x], float)
+            out.append(spline_peak(line))
+        return pd.Series(out, dtype="float64")
+
+    gathered = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order.cast("int").alias("i"), F.col("v").alias("x")))).alias("_s"), _tolerant(F.when(F.count("v") > 0, 1), total, mdtol).alias("_ok"))
+    value = peak(F.col("_s.i"), F.col("_s.x"))
+    return gathered.withColumn("_v", value).select(*keys, F.when(F.col("_ok").isNotNull(), F.when(~F.isnan("_v"), F.col("_v"))).alias("v"))
 
 
 # Coordinates.

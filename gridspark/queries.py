@@ -81,17 +81,20 @@ def mdtol_mean(spark, d):
 
 @query("collapsed_weighted_mean", f"WITH {X.SALES}, {X.QUANTITY} SELECT month, {r('sum(sa.v * qu.v) / sum(qu.v)')} FROM sa JOIN qu USING (month, supp) GROUP BY month")
 def collapsed_weighted_mean(spark, d):
-    return rows(X.sales(spark, d).collapsed("supp", A.MEAN, weights=X.quantity(spark, d)), month="month")
+    sales, weight = X.sales_and_quantity(spark, d)
+    return rows(sales.collapsed("supp", A.MEAN, weights=weight), month="month")
 
 
 @query("collapsed_weighted_sum", f"WITH {X.SALES}, {X.QUANTITY} SELECT month, {r('sum(sa.v * qu.v)', 2)} FROM sa JOIN qu USING (month, supp) GROUP BY month")
 def collapsed_weighted_sum(spark, d):
-    return rows(X.sales(spark, d).collapsed("supp", A.SUM, weights=X.quantity(spark, d)), 2, month="month")
+    sales, weight = X.sales_and_quantity(spark, d)
+    return rows(sales.collapsed("supp", A.SUM, weights=weight), 2, month="month")
 
 
 @query("collapsed_weighted_rms", f"WITH {X.SALES}, {X.QUANTITY} SELECT month, {r('sqrt(sum(sa.v * sa.v * qu.v) / sum(qu.v))', 2)} FROM sa JOIN qu USING (month, supp) GROUP BY month")
 def collapsed_weighted_rms(spark, d):
-    return rows(X.sales(spark, d).collapsed("supp", A.RMS, weights=X.quantity(spark, d)), 2, month="month")
+    sales, weight = X.sales_and_quantity(spark, d)
+    return rows(sales.collapsed("supp", A.RMS, weights=weight), 2, month="month")
 
 
 @query("percentile_dim", f"WITH {X.SALES}, p AS (SELECT month, unnest([10.0, 50.0, 95.0]) AS percent, unnest(quantile_cont(v, [0.1, 0.5, 0.95])) AS x FROM sa GROUP BY month) SELECT month, CAST(percent AS DOUBLE) AS percent, {r('x')} FROM p")
@@ -118,7 +121,8 @@ def percentile_hazen(spark, d):
     SELECT month, {r('x')} FROM x""",
 )
 def wpercentile(spark, d):
-    return rows(X.sales(spark, d).collapsed("supp", A.WPERCENTILE, weights=X.quantity(spark, d), percent=25), month="month")
+    sales, weight = X.sales_and_quantity(spark, d)
+    return rows(sales.collapsed("supp", A.WPERCENTILE, weights=weight, percent=25), month="month")
 
 
 @query(
@@ -214,7 +218,7 @@ def seasonal_weighted_mean(spark, d):
         g = C.add_season_year(C.add_season(C.add_month_number(g, "month"), "month"), "month")
         return g.extract(subset.Constraint(month_number=lambda c: c.point != 7))
 
-    sales, weight = dated(X.sales(spark, d)), dated(X.quantity(spark, d))
+    sales, weight = map(dated, X.sales_and_quantity(spark, d))
     both = maths.multiply(sales, weight)
     by = ["season", "season_year"]
     top, low = both.aggregated_by(by, A.SUM).collapsed("supp", A.SUM), weight.aggregated_by(by, A.SUM).collapsed("supp", A.SUM)
@@ -313,8 +317,8 @@ def shape_mask(spark, d):
 
 @query("izip", f"WITH {X.SALES}, {X.QUANTITY} SELECT month, supp, round(sa.v, 2) + 0.0 AS v, round(qu.v, 2) + 0.0 AS q FROM sa JOIN qu USING (month, supp)")
 def izip(spark, d):
-    g = X.sales(spark, d)
-    both = subset.izip(g, X.quantity(spark, d))
+    g, quantity = X.sales_and_quantity(spark, d)
+    both = subset.izip(g, quantity)
     df = g.with_df(both).df
     from .frame import join_table
 
@@ -357,7 +361,7 @@ _OPS = {"add": ("sa.v + qu.v", 2), "subtract": ("sa.v - qu.v", 2), "multiply": (
 
 def _binary(op, digits):
     def run(spark, d):
-        a, b = X.sales(spark, d), X.quantity(spark, d)
+        a, b = X.sales_and_quantity(spark, d)
         b = replace(b, units="kg") if op in ("add", "subtract") else b
         return rows(getattr(maths, op)(a, b), digits, month="month", supp="supp")
 
@@ -400,14 +404,14 @@ def cube_times_coord(spark, d):
 
 @query("pearsonr", f"WITH {X.SALES}, {X.QUANTITY} SELECT month, {r('corr(sa.v, qu.v)', 6)} FROM sa JOIN qu USING (month, supp) GROUP BY month")
 def pearsonr(spark, d):
-    return rows(stats.pearsonr(X.sales(spark, d), X.quantity(spark, d), "supp", common_mask=True), 6, month="month")
+    return rows(stats.pearsonr(*X.sales_and_quantity(spark, d), "supp", common_mask=True), 6, month="month")
 
 
 @query("pearsonr_weighted", f"""WITH {X.SALES}, {X.QUANTITY}, j AS (SELECT month, supp, sa.v AS a, qu.v AS b, CAST(supp AS DOUBLE) AS w FROM sa JOIN qu USING (month, supp)),
     m AS (SELECT month, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb FROM j GROUP BY month)
     SELECT month, {r('sum(w * (a - ma) * (b - mb)) / sqrt(sum(w * (a - ma) * (a - ma)) * sum(w * (b - mb) * (b - mb)))', 5)} FROM j JOIN m USING (month) GROUP BY month""")
 def pearsonr_weighted(spark, d):
-    return rows(stats.pearsonr(X.sales(spark, d), X.quantity(spark, d), "supp", weights="supp", common_mask=True), 5, month="month")
+    return rows(stats.pearsonr(*X.sales_and_quantity(spark, d), "supp", weights="supp", common_mask=True), 5, month="month")
 
 
 @query("embedding_pearson", f"WITH {X.EMBED}, z AS (SELECT comp, v AS b FROM em WHERE vec_id = (SELECT min(vec_id) FROM em)) SELECT vec_id, {r('corr(v, b)', 6)} FROM em JOIN z USING (comp) GROUP BY vec_id")
