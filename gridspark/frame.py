@@ -193,28 +193,35 @@ class Grid(Named):
     # Building.
 
     @staticmethod
-    def from_table(df: DataFrame, axes: dict[str, Sequence | np.ndarray], value: str | Column, dense: bool = False, limit: int = 1_000_000, source: DataFrame | None = None, **names) -> Grid:
+    def from_table(df: DataFrame, axes: dict[str, Sequence | np.ndarray], value: str | Column, dense: bool = False, limit: int = 1_000_000, source: DataFrame | None = None, outside: str = "error", **names) -> Grid:
         """A grid from a table with one column for each axis.
 
         ``axes`` maps a dimension (and column) to its points; without points
         (None) the distinct values are read from ``source`` (``df`` itself by
         default; name the table below an aggregate to read one column of it),
-        at most ``limit`` of them. Rows outside the points are dropped, repeated cells are an error of the
-        caller, found by :meth:`repeated_cells`. ``dense`` adds a masked row
-        for every cell that has none.
+        at most ``limit`` of them. A row beside the points given (a new value,
+        or null) stops the plan when it runs, or is left out if ``outside`` is
+        "drop". Repeated cells are an error of the caller, found by
+        :meth:`repeated_cells`. ``dense`` adds a masked row for every cell that
+        has none.
         """
+        if outside not in ("error", "drop"):
+            raise GridError("rows beside the points are an error or dropped")
         spark, coords, dims = df.sparkSession, [], {}
         out = df.withColumn("v", (F.col(value) if isinstance(value, str) else value).cast("double"))
         found = _distinct(df if source is None else source, [d for d, p in axes.items() if p is None], limit)
         for dim, points in axes.items():
-            points = found[dim] if points is None else points
-            points = np.asarray(points)
+            strict = points is not None and outside == "error"
+            points = np.asarray(found[dim] if points is None else points)
             numeric = points.dtype.kind in "iuf"
             coords.append(Coord(long_name=dim, points=points, dims=(dim,), is_dim=numeric and monotonic(points)))
             dims[dim] = len(points)
             kind = "double" if points.dtype.kind == "f" else "long" if numeric else df.schema[dim].dataType.simpleString()
             table = local_table(spark, [(p, i) for i, p in enumerate(points.tolist())], f"`_p` {kind}, `{index(dim)}` int")
-            out = out.join(sized(table, len(points)), F.col(f"`{dim}`") == F.col("_p")).drop("_p")
+            out = out.join(sized(table, len(points)), F.col(f"`{dim}`") == F.col("_p"), "left" if strict else "inner").drop("_p")
+            if strict:
+                lost = F.raise_error(F.concat(F.lit(f"axis {dim} has no point "), F.coalesce(F.col(f"`{dim}`").cast("string"), F.lit("null")))).cast("int")
+                out = out.withColumn(index(dim), F.when(F.col(f"`{index(dim)}`").isNull(), lost).otherwise(F.col(f"`{index(dim)}`")))
         out = out.select(*(index(d) for d in dims), "v")
         grid = Grid(df=out, dims=dims, coords=tuple(coords), **names)
         return grid.dense() if dense else grid

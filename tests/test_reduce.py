@@ -162,3 +162,52 @@ def test_long_windows_equal_short_ones(spark):
 def test_custom_aggregator(spark):
     span = A.custom("span", lambda s: s.max() - s.min())
     assert values(simple_2d(spark).collapsed("foo", span)).tolist() == [3, 3, 3]
+
+
+def test_spline_peaks_equal_a_plain_spline():
+    """Basis functions by their recursion, all of them at every place."""
+    from gridspark.operators.reduce import spline_peak
+
+    def basis(t, k, j, p):
+        if k == 0:
+            return float(t[j] <= p < t[j + 1] or (p == t[-1] and t[j] < t[j + 1] == t[-1]))
+        left = (p - t[j]) / (t[j + k] - t[j]) * basis(t, k - 1, j, p) if t[j + k] > t[j] else 0
+        return left + ((t[j + k + 1] - p) / (t[j + k + 1] - t[j + 1]) * basis(t, k - 1, j + 1, p) if t[j + k + 1] > t[j + 1] else 0)
+
+    rng = np.random.default_rng(2)
+    for n in (2, 3, 4, 6, 8):
+        y, k = rng.normal(size=n), min(5, n - 1)
+        inner = n - k - 1
+        knots = [float(x) for x in range((k + 1) // 2, (k + 1) // 2 + inner)] if k % 2 else [x + 0.5 for x in range(k // 2, k // 2 + inner)]
+        t = [0.0] * (k + 1) + knots + [n - 1.0] * (k + 1)
+        weights = np.linalg.solve([[basis(t, k, j, float(i)) for j in range(n)] for i in range(n)], y)
+        want = max(y.max(), max(sum(w * basis(t, k, j, p) for j, w in enumerate(weights)) for p in np.linspace(0, n - 1, 100 * n)))
+        assert abs(spline_peak(y) - want) < 1e-9
+    gaps = np.array([1.0, 5.0, 1.0, np.nan, 2.0, 9.0, np.nan])
+    assert spline_peak(gaps) == max(spline_peak(gaps[:3]), spline_peak(gaps[4:6])) >= 9.0
+
+
+@pytest.mark.parametrize("agg", [A.SUM, A.MEAN, A.MIN, A.MAX, A.RMS, A.HMEAN, A.VARIANCE, A.STD_DEV])
+def test_long_windows_equal_short_ones(spark, monkeypatch, agg):
+    from gridspark.operators import reduce
+
+    a = np.ma.masked_greater(np.random.default_rng(1).uniform(1, 9, (2, 40)), 8)
+    g = field(spark, a, ["k", "x"], [axis("x", np.arange(40))])
+    for window, step in ((7, 1), (13, 3), (40, 1)):
+        want = values(g.rolling_window("x", agg, window, step=step, mdtol=0.4))
+        monkeypatch.setattr(reduce, "SPREAD_WINDOW", 2)
+        got = values(g.rolling_window("x", agg, window, step=step, mdtol=0.4))
+        monkeypatch.undo()
+        assert (np.ma.getmaskarray(got) == np.ma.getmaskarray(want)).all() and np.ma.allclose(got, want)
+
+
+@pytest.mark.parametrize("kind", ["sum", "min", "max"])
+def test_running_functions_by_blocks(spark, monkeypatch, kind):
+    from gridspark.operators import maths
+
+    a = np.ma.masked_greater(np.random.default_rng(3).uniform(-5, 9, (3, 25)), 7)
+    g = field(spark, a, ["k", "x"], [axis("x", np.arange(25))])
+    want = values(maths.cumulative(g, "x", kind))
+    monkeypatch.setattr(maths, "RUN", 4)
+    got = values(maths.cumulative(g, "x", kind))
+    assert (np.ma.getmaskarray(got) == np.ma.getmaskarray(want)).all() and np.ma.allclose(got, want)

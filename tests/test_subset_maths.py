@@ -3,7 +3,7 @@ from datetime import datetime
 import numpy as np
 import pytest
 
-from gridspark.frame import Cell, Coord, GridError
+from gridspark.frame import Cell, Coord, Grid, GridError
 from gridspark.functions import axes, calendar, spherical, vertical
 from gridspark.operators import combine, maths, shape, stats, subset
 from gridspark.units import Unit, UnitError, civil_from_days, days_from_civil
@@ -273,3 +273,88 @@ def test_concatenate(spark):
     assert len(combine.concatenate([g[:, :2], other])) == 2
     a, b = combine.equalise([g.with_df(g.df, attributes={"k": 1, "z": 2}), g.with_df(g.df, attributes={"k": 1})], attributes=True)
     assert a.attributes == b.attributes == {"k": 1}
+
+
+def test_modular_ranges_equal_a_plain_search_over_shifts(spark):
+    """Every cell tried at seven shifts; the lowest one where it shares enough wins, a mere touch only if nothing else does."""
+    from gridspark.operators.subset import Extent, _turns
+
+    rng = np.random.default_rng(12)
+    for case in range(400):
+        n = int(rng.integers(1, 13))
+        edges = np.sort(rng.choice(np.arange(0, 361, 15), n + 1, replace=False)) + rng.choice([0, -180, 720, -45])
+        lo, hi = edges[:-1].astype(float), edges[1:].astype(float)
+        if case % 3 == 0:
+            lo = hi = (lo + hi) / 2
+        low = float(rng.choice(np.arange(-360, 361, 15)))
+        high = low + float(rng.choice(np.arange(0, 361, 15)))
+        extent = Extent("x", low, high, bool(rng.integers(2)), bool(rng.integers(2)))
+        threshold = float(rng.choice([0.0, 0.3, 0.6]))
+        turns, kept = _turns(lo, hi, extent, 360.0, threshold)
+        for k in range(n):
+            fits = []
+            for t in range(-6, 7):
+                a, b = lo[k] + 360 * t, hi[k] + 360 * t
+                share = min(b, high) - max(a, low)
+                if (b >= low if extent.min_inclusive else b > low) and (a <= high if extent.max_inclusive else a < high) and share >= threshold * (hi[k] - lo[k]) - 1e-6:
+                    fits.append((t, share))
+            assert kept[k] == bool(fits), (case, k)
+            if fits:
+                wide = [t for t, share in fits if share > 1e-6]
+                assert turns[k] == (wide[0] if wide else fits[0][0]), (case, k)
+
+
+def test_modular_seams(spark):
+    lon = Coord(standard_name="longitude", units="degrees", points=np.arange(8) * 45.0, bounds=np.stack([np.arange(8) * 45.0 - 22.5, np.arange(8) * 45.0 + 22.5], axis=1), dims=("x",), is_dim=True, circular=True)
+    g = field(spark, np.arange(8.0), ["x"], [lon])
+    whole = subset.intersection(g, "longitude", 0, 360)
+    assert whole.coord("longitude").points.tolist() == [k * 45.0 for k in range(8)] and values(whole).tolist() == list(range(8))
+    assert subset.intersection(g, "longitude", -180, 180).coord("longitude").points.tolist() == [-180, -135, -90, -45, 0, 45, 90, 135]
+    cut = subset.intersection(g, "longitude", 10, 370, threshold=0.5)  # the cell round 0 has more of itself below 370
+    assert cut.coord("longitude").points.tolist()[-1] == 360 and len(cut.coord("longitude").points) == 8
+    down = subset.intersection(subset.reverse(g, "longitude"), "longitude", -50, 50, ignore_bounds=True)
+    assert down.coord("longitude").points.tolist() == [45, 0, -45] and values(down).tolist() == [1, 0, 7]
+    with pytest.raises(ValueError):
+        subset.intersection(g, "longitude", 0, 361)
+
+
+def test_group_bounds_equal_a_plain_range():
+    from gridspark.operators.reduce import grouped_coord
+
+    rng = np.random.default_rng(5)
+    for down in (False, True):
+        points = np.sort(rng.choice(100, 12, replace=False)).astype(float)[:: -1 if down else 1]
+        group = rng.integers(0, 4, 12).tolist()
+        group = [sorted(set(group)).index(x) for x in group]
+        for bounded in (False, True):
+            half = np.stack([points - 0.5, points + 0.5], axis=1)[:, :: -1 if down else 1]
+            c = Coord(long_name="p", points=points, bounds=half if bounded else None, dims=("x",), is_dim=True)
+            got = grouped_coord(c, "x", group)
+            for k in range(max(group) + 1):
+                own = (half if bounded else points[:, None])[np.array(group) == k]
+                want = [own.max(), own.min()] if down else [own.min(), own.max()]
+                assert got.bounds[k].tolist() == want and got.points[k] == sum(want) / 2
+    ring = Coord(standard_name="longitude", units="degrees", points=np.arange(0, 360, 90.0), dims=("x",), is_dim=True, circular=True)
+    assert grouped_coord(ring, "x", [0, 0, 1, 1]).bounds.tolist() == [[0, 90], [180, 360]]
+    names = Coord(long_name="n", points=np.array(["a", "b", "c"]), dims=("x",))
+    assert grouped_coord(names, "x", [0, 1, 0]).points.tolist() == ["a|c", "b"]
+
+
+def test_rows_beside_the_points(spark):
+    df = spark.createDataFrame([(1, 2.0), (5, 3.0)], "k long, x double")
+    with pytest.raises(Exception, match="axis k has no point 5"):
+        Grid.from_table(df, {"k": [1, 2]}, "x").df.collect()
+    assert Grid.from_table(df, {"k": [1, 2]}, "x", outside="drop").df.count() == 1
+    assert Grid.from_table(df, {"k": None}, "x").dims == {"k": 2}
+
+
+def test_concatenation_by_keys(spark):
+    g = simple_2d(spark)
+    parts = [g[a, b] for a in (slice(0, 1), slice(1, 3)) for b in (slice(2, 4), slice(0, 2))]
+    whole = combine.concatenate_one(parts[::-1])
+    assert values(whole).tolist() == values(g).tolist()
+    again = combine.concatenate([g[:, :2], g[:, 2:], g[:, 1:3]])
+    assert sorted(x.shape for x in again) == [(3, 2), (3, 4)]
+    down = subset.reverse(g, "foo")
+    assert values(combine.concatenate_one([down[:, 2:], down[:, :2]])).tolist() == values(down).tolist()
+    assert len(combine.concatenate([g[:, :2], down[:, :2]])) == 2
