@@ -24,6 +24,8 @@ from ..units import Unit
 #: Longest rolling window that is computed by spreading cells instead of by a window over sorted rows.
 SPREAD_WINDOW = 64
 RUN_BLOCK = 4096
+#: Cells of a group from which exact percentiles are found by ranges, and the ranges of a group.
+RANKED_CELLS, RANGES = 1_000_000, 64
 
 
 def _tolerant(value: Column, total: Column, mdtol: float | None) -> Column:
@@ -33,16 +35,18 @@ def _tolerant(value: Column, total: Column, mdtol: float | None) -> Column:
     return F.when((total - F.count("v")) / total <= mdtol, value)
 
 
-def aggregate(df: DataFrame, keys: list[str], agg: Aggregator, total: Column, mdtol: float | None = None, weight: str | None = None, order: Column | None = None, **options) -> DataFrame:
-    """``keys`` and ``v``; percentiles of several levels also ``i_percentile``."""
+def aggregate(df: DataFrame, keys: list[str], agg: Aggregator, total: Column, mdtol: float | None = None, weight: str | None = None, order: Column | None = None, cells: int = 0, **options) -> DataFrame:
+    """``keys`` and ``v``; percentiles of several levels also ``i_percentile``. ``cells``: how many a group has at most, where that is known."""
     options = {**agg.defaults, **options}
     w = F.col(weight) if weight else None
+    if agg.name == "MEDIAN" and cells > RANKED_CELLS:
+        return ranked_percentiles(df.withColumn("v", F.when(~F.isnan("v"), F.col("v"))), keys, total, mdtol, [0.5], 1, 1).select(*keys, F.col("_p")[0].alias("v"))
     if agg.kind == "plain":
         return df.groupBy(*keys).agg(_tolerant(agg.expr(F.col("v"), w, **options), total, mdtol).alias("v"))
     if agg.kind == "run":
         return max_run(df, keys, order, total, mdtol, options["function"])
     if agg.kind == "percentile":
-        return percentiles(df, keys, total, mdtol, **options)
+        return percentiles(df, keys, total, mdtol, cells=cells, **options)
     if agg.kind == "wpercentile":
         return weighted_percentiles(df, keys, w, total, mdtol, **options)
     if agg.kind == "peak":
@@ -78,12 +82,14 @@ def max_run(df: DataFrame, keys: list[str], order: Column, total: Column, mdtol:
     return joined.select(*keys, tolerated.alias("v"))
 
 
-def percentiles(df: DataFrame, keys: list[str], total: Column, mdtol: float | None, percent, alphap: float = 1, betap: float = 1, fast_percentile_method: bool = False) -> DataFrame:
-    """Percentiles by plotting positions; several levels give a trailing ``i_percentile``."""
+def percentiles(df: DataFrame, keys: list[str], total: Column, mdtol: float | None, percent, alphap: float = 1, betap: float = 1, fast_percentile_method: bool = False, cells: int = 0) -> DataFrame:
+    """Percentiles by plotting positions; several levels give a trailing ``i_percentile``. Large groups are ranked by ranges."""
     levels = [float(p) / 100 for p in np.atleast_1d(percent)]
     if any(not 0 <= p <= 1 for p in levels):
         raise GridError("percentiles lie between 0 and 100")
-    if alphap == 1 and betap == 1:
+    if cells > RANKED_CELLS:
+        picked = ranked_percentiles(df, keys, total, mdtol, levels, alphap, betap)
+    elif alphap == 1 and betap == 1:
         found = df.groupBy(*keys).agg(_tolerant(F.expr(f"percentile(v, array({', '.join(map(repr, levels))}))"), total, mdtol).alias("_p"))
         picked = found
     else:
@@ -101,6 +107,38 @@ def percentiles(df: DataFrame, keys: list[str], total: Column, mdtol: float | No
     return picked.select(*keys, F.posexplode(F.coalesce(F.col("_p"), F.array(*[F.lit(None).cast("double")] * len(levels)))).alias("i_percentile", "v"))
 
 
+def ranked_percentiles(df: DataFrame, keys: list[str], total: Column, mdtol: float | None, levels: list[float], alphap: float, betap: float) -> DataFrame:
+    """Exact percentiles of groups of any size, as ``_p``, without sorting a group in one task.
+
+    A sketch of each group gives the edges of ``RANGES`` ranges of about equal
+    counts; exact counts of the ranges tell which hold the ranks that are
+    asked for; only their cells are ranked, each range by itself, and not even
+    those where a range is one value.
+    """
+    own = df.where("v is not null").select(*keys, *([c for c in ("_n",) if c in df.columns]), "v")
+    edges = own.groupBy(*keys).agg(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], F.lit(10_000)).alias("_e"), F.count("v").alias("_c"), _tolerant(F.lit(1), total, mdtol).alias("_ok"))
+    joined = (lambda a, b, more=(): a.join(b, [*keys, *more])) if keys else (lambda a, b, more=(): a.join(b, list(more)) if more else a.crossJoin(F.broadcast(b)))  # without keys, one row
+    placed = joined(own, edges.select(*keys, "_e")).withColumn("_b", F.expr("size(filter(_e, e -> e < v))")).select(*keys, "_b", "v")
+    ranges = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_in"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    n = F.col("_c")
+    asked = []
+    for k, p in enumerate(levels):
+        pos = n * p + (alphap + p * (1 - alphap - betap))
+        rank = F.floor(F.greatest(F.lit(1), F.least(pos, n - 1))).cast("long")
+        share = F.when(n == 1, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), pos - rank)))
+        asked += [F.struct(F.lit(k).alias("k"), rank.alias("r"), (1 - share).alias("w")), F.struct(F.lit(k).alias("k"), F.least(rank + 1, n).alias("r"), share.alias("w"))]
+    wanted = edges.select(*keys, "_ok", F.explode(F.array(*asked)).alias("_q")).select(*keys, "_ok", "_q.*")
+    found = joined(ranges, wanted).where("_before < r and r <= _before + _in").withColumn("_r", F.col("r") - F.col("_before"))
+    ranked = joined(placed, found.where("_lo < _hi").select(*keys, "_b").distinct(), ("_b",)).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("v")).cast("long"))
+    inside = joined(found.where("_lo < _hi"), ranked, ("_b", "_r")).select(*keys, "_ok", "k", "w", "v")
+    values = found.where("not (_lo < _hi)").select(*keys, "_ok", "k", "w", F.col("_lo").alias("v")).unionByName(inside)
+    by_level = values.groupBy(*keys, "_ok", "k").agg(F.sum(F.when(F.col("w") > 0, F.col("w") * F.col("v"))).alias("v"))
+    listed = by_level.groupBy(*keys, "_ok").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("_l"))
+    return listed.select(*keys, F.when(F.col("_ok").isNotNull(), F.col("_l.v")).alias("_p"))
+
+
 def weighted_percentiles(df: DataFrame, keys: list[str], w: Column, total: Column, mdtol: float | None, percent, kind: str = "linear", **_) -> DataFrame:
     """Values at (cumulated weight − half the own weight) / all weight, and between them by ``kind``: linear, nearest (the lower one half-way), previous (or zero) or next."""
     if kind not in ("linear", "slinear", "nearest", "previous", "zero", "next"):
@@ -300,7 +338,8 @@ def collapsed(grid: Grid, coords, agg: Aggregator, weights=None, mdtol: float |
     keys = grid.keys(gone)
     total = F.lit(int(np.prod([grid.dims[d] for d in gone], dtype=object)) if gone else 1)
     order = F.col(index(gone[0])) if len(gone) == 1 else None
-    out = aggregate(df, keys, agg, total, mdtol, w, order, **options)
+    size = int(np.prod([grid.dims[d] for d in gone], dtype=object)) if gone else 1
+    out = aggregate(df, keys, agg, total, mdtol, w, order, size, **options)
     dims = {d: n for d, n in grid.dims.items() if d not in gone}
     made = replace(
         grid, df=out, dims=dims, units=_result_units(grid, agg, wu), cell_methods=_method(grid, agg, names),

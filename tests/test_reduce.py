@@ -211,3 +211,21 @@ def test_running_functions_by_blocks(spark, monkeypatch, kind):
     monkeypatch.setattr(maths, "RUN", 4)
     got = values(maths.cumulative(g, "x", kind))
     assert (np.ma.getmaskarray(got) == np.ma.getmaskarray(want)).all() and np.ma.allclose(got, want)
+
+
+@pytest.mark.parametrize("how", [{}, {"alphap": 0.5, "betap": 0.5}, {"alphap": 0.0, "betap": 1.0}])
+def test_percentiles_by_ranges_equal_sorted_ones(spark, monkeypatch, how):
+    rng = np.random.default_rng(6)
+    a = np.ma.masked_greater(np.where(rng.random((3, 700)) < 0.5, 4.0, rng.normal(5, 3, (3, 700))), 9)
+    a[2, 1:] = np.ma.masked
+    g = field(spark, a, ["k", "x"], [axis("x", np.arange(700))])
+    for over in ("x", ["k", "x"]):
+        for options in ({"percent": 37, "mdtol": 0.9}, {"percent": [0, 10, 50, 99.5, 100]}):
+            want = values(g.collapsed(over, A.PERCENTILE, **options, **how))
+            monkeypatch.setattr(reduce, "RANKED_CELLS", 0)
+            got = values(g.collapsed(over, A.PERCENTILE, **options, **how))
+            monkeypatch.undo()
+            assert (np.ma.getmaskarray(got) == np.ma.getmaskarray(want)).all() and np.ma.allclose(got, want), (over, options)
+    want = values(g.collapsed("x", A.MEDIAN))
+    monkeypatch.setattr(reduce, "RANKED_CELLS", 0)
+    assert np.ma.allclose(values(g.collapsed("x", A.MEDIAN)), want)
