@@ -676,6 +676,15 @@ def relevel_with_gaps(spark, d):
     return rows(interpolate.relevel(g, levels, [155.5, 333.25, 401.75], "month"), 5, supp="supp", level="level")
 
 
+@query("relevel_by_field", f"""WITH {X.SALES}, {X.QUANTITY}, k AS (SELECT supp, month, sa.v AS v, qu.v AS z FROM sa JOIN qu USING (month, supp)), t AS (SELECT unnest([100.5, 333.5]) AS t),
+    h AS (SELECT a.supp, t, a.month, a.v + (b.v - a.v) * (t - a.z) / (b.z - a.z) AS x FROM k a JOIN k b ON a.supp = b.supp AND b.month = a.month + 1 JOIN t ON t BETWEEN least(a.z, b.z) AND greatest(a.z, b.z) AND a.z <> b.z)
+    SELECT supp, CAST(t AS DOUBLE) AS quantity, {r('min_by(x, month)', 6)} FROM h GROUP BY supp, t""")
+def relevel_by_field(spark, d):
+    """Levels that are a field: the sales at the first crossing of a quantity."""
+    sales, quantity = X.sales_and_quantity(spark, d)
+    return rows(interpolate.relevel(sales, quantity, [100.5, 333.5], "month"), 6, supp="supp", quantity="quantity")
+
+
 # Calendars and categories.
 
 
@@ -811,6 +820,14 @@ for _name, (_make, _sql) in _FORMULAS.items():
     query(_name, _LEVELS.replace("{{0}}", _sql).replace("{0}", _sql))(_formula(_make))
 
 
+@query("derived_from_field", f"WITH {X.SALES}, {X.QUANTITY} SELECT month, supp, round(1000 + qu.v / 1000 * (sa.v - 1000), 6) + 0.0 AS pressure FROM sa JOIN qu USING (month, supp)")
+def derived_from_field(spark, d):
+    """A formula whose dependencies are as large as the data."""
+    sales, quantity = X.sales_and_quantity(spark, d)
+    out = V.derive(sales, V.atmosphere_sigma(quantity / 1000.0, sales, 1000.0), "pressure")
+    return rows(sales.with_df(out.select(*sales.keys(), F.col("pressure").alias("v"))), 6, month="month", supp="supp").withColumnRenamed("v", "pressure")
+
+
 @query("derived_points", "SELECT CAST(n_nationkey AS BIGINT) AS nation, round(CAST(500 + (100000 + n_nationkey * 50) / 10 AS DOUBLE), 6) + 0.0 AS pressure FROM nation")
 def derived_points(spark, d):
     """The derived coordinate as an array over its dependencies, at the fifth level."""
@@ -862,6 +879,12 @@ def geometry_area_weights(spark, d):
     return rows(g.collapsed(["latitude", "longitude"], A.MEAN, weights=replace(share, units="1")))
 
 
+@query("geometry_validity", "SELECT * FROM (VALUES ('square', true), ('bow', false), ('line', false), ('flat', false)) t(shape, valid)")
+def geometry_validity(spark, d):
+    shapes = {"square": [(0, 0), (1, 0), (1, 1), (0, 1)], "bow": [(0, 0), (1, 1), (1, 0), (0, 1)], "line": [(0, 0), (1, 1)], "flat": [(0, 0), (1, 1), (2, 2)]}
+    return local_table(spark, [(n, subset.polygon_problem(p) is None) for n, p in shapes.items()], "shape string, valid boolean")
+
+
 @query("discontiguities", "SELECT CAST(10 * k - 85 AS DOUBLE) AS latitude, k = 9 AS gap FROM (SELECT unnest(range(0, 18)) AS k)")
 def discontiguities(spark, d):
     y = X.world(spark, d).coord("latitude")

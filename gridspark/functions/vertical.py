@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Coord, Grid, GridError, join_table
+from ..frame import Coord, Grid, GridError, join_table, sized
 
 
 @dataclass(frozen=True)
@@ -18,18 +18,25 @@ class Derived:
 
     name: str
     units: str
-    roles: dict[str, str | float | None]
+    roles: dict[str, str | float | Grid | None]
     formula: Callable
 
 
 def derive(grid: Grid, factory: Derived, column: str = "derived") -> DataFrame:
-    """The grid's cells with the derived value as a column; a missing optional dependency is 0."""
+    """The grid's cells with the derived value as a column; a missing optional dependency is 0.
+
+    A dependency is a coordinate's name, a number, or a field of its own where
+    it is as large as the data.
+    """
     out, cols = grid.df, {}
     for role, name in factory.roles.items():
         if name is None:
             cols[role] = F.lit(0.0)
         elif isinstance(name, (int, float)):
             cols[role] = F.lit(float(name))
+        elif isinstance(name, Grid):
+            out = out.join(sized(name.df.withColumnRenamed("v", f"_{role}"), name.size), name.keys())
+            cols[role] = F.col(f"_{role}")
         else:
             c = grid.coord(name)
             out = join_table(out, grid, c, f"_{role}")

@@ -223,18 +223,25 @@ def along_trajectory(grid: Grid, samples: dict[str, Sequence[float]], method: st
     return replace(grid, df=df, dims={**left, "index": n}, coords=tuple(coords))
 
 
-def relevel(grid: Grid, levels: Coord | str, targets: Sequence[float], dim: str) -> Grid:
+def relevel(grid: Grid, levels: Coord | Grid | str, targets: Sequence[float], dim: str) -> Grid:
     """Each column linearly interpolated from the field of its own levels to target levels.
 
     A target lies between two neighbouring levels that both have a value, a
     masked level and an absent one being the same; the first such pair
     counts, and a target without any is masked. Every cell goes to the pair
     above it and the pair below, so one partial aggregate joins them and no
-    column has to meet in one task.
+    column has to meet in one task. Levels that vary over as many cells as
+    the field come as a field themselves.
     """
     levels = grid.coord(levels) if isinstance(levels, str) else levels
     others, col = grid.keys([dim]), index(dim)
-    df = join_table(grid.df.where("v is not null"), grid, levels, "_z").select(*others, col, F.struct(F.col("_z").cast("double").alias("z"), "v").alias("c"))
+    cells = grid.df.where("v is not null")
+    if isinstance(levels, Grid):
+        cells = cells.join(sized(levels.df.where("v is not null").withColumnRenamed("v", "_z"), levels.size), levels.keys())
+        levels = Coord(standard_name=levels.standard_name, long_name=levels.long_name, units=levels.units, points=np.zeros(0), dims=(dim,))
+    else:
+        cells = join_table(cells, grid, levels, "_z")
+    df = cells.select(*others, col, F.struct(F.col("_z").cast("double").alias("z"), "v").alias("c"))
     ends = F.explode(F.array(F.struct(F.col(col).alias("k"), F.col("c").alias("low"), F.lit(None).cast("struct<z:double,v:double>").alias("high")), F.struct((F.col(col) - 1).alias("k"), F.lit(None).cast("struct<z:double,v:double>").alias("low"), F.col("c").alias("high"))))
     pairs = df.select(*others, ends.alias("e")).groupBy(*others, F.col("e.k").alias("_k")).agg(F.max("e.low").alias("low"), F.max("e.high").alias("high")).where("low is not null and high is not null")
     wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("t")) for k, t in enumerate(targets)])
