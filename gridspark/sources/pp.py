@@ -176,9 +176,10 @@ def field_table(spark: SparkSession, path: str, reader=pp_records) -> DataFrame:
     return with_file(spark, path, rows, ", ".join(["path string", "record long", *(f"{n} long" for n in WORDS), *(f"{n} double" for n in REALS)]))
 
 
-def _time(x: Record, at: int, calendar: str) -> float:
-    y, m, d, h, mi = x.ints[at : at + 5]
-    return float(days_from_civil(y, m, d, calendar)) * 24 + h + mi / 60
+def _times(own: list[Record], at: int, calendar: str) -> list[float]:
+    """Hours since 1970 of the dates from header word ``at`` on."""
+    y, m, d, h, mi = np.array([x.ints[at : at + 5] for x in own]).T
+    return (days_from_civil(y, m, d, calendar) * 24.0 + h + mi / 60).tolist()
 
 
 def _same_field(x: Record) -> tuple:
@@ -212,7 +213,7 @@ def _collated(spark: SparkSession, path: str, own: list[Record], members: list[i
     if odd:
         raise GridError(f"records of packing {sorted(odd)} aren't read")
     calendar, kind = CALENDARS.get(x.lbtim % 10, "standard"), x.lbtim // 10 % 10
-    first, second = [_time(r, WORDS["lbyr"], calendar) for r in own], [_time(r, WORDS["lbyrd"], calendar) for r in own]
+    first, second = _times(own, WORDS["lbyr"], calendar), _times(own, WORDS["lbyrd"], calendar)
     times = [((a + b) / 2, a, b) if kind in (2, 3) else (a, a, a) for a, b in zip(first, second)]
     levels = [(float(r.lblev) if x.lbvc in (9, 65, 6) else r.blev, r.blev, r.bhlev, r.brlev, r.bhrlev) for r in own]
     at_time, at_level = ({v: n for n, v in enumerate(sorted(set(values)))} for values in (times, levels))
