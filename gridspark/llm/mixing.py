@@ -35,7 +35,7 @@ BLOCK_ROWS = 32
 TICKETS = 1024
 #: Up to so many sources the schedule is a broadcast table of arrays; beyond, a table of blocks that is joined.
 BROADCAST_SOURCES = 500
-ROWS_PER_BUCKET, MAX_BUCKETS = 4096, 1 << 16
+ROWS_PER_BUCKET, MAX_BUCKETS = 1024, 1 << 16
 PRIME, STEP, SHIFT = 2_147_483_647, 1_103_515_245, 12_345
 
 PHASE = "struct<phase:int,lo:long,hi:long,start:long,row_start:long,w:long,total:long,slots:array<int>>"

@@ -323,8 +323,12 @@ def test_pipeline_end_to_end(spark):
     fps = [plain_fingerprint(t) for t in clean.text]
     root = dict(zip(sorted(set(fps)), plain_components(sorted(set(fps)))))
     first = clean.assign(root=[root[f] for f in fps]).sort_values("doc_id").drop_duplicates("root")
-    ids = bpe.Coder(bpe.vocabulary_path())
-    want = {i: [int(x) for x in np.frombuffer(ids.encode([pii.redacted(t, pii.find(t))])[0][0], "<u4")] for i, t in zip(first.doc_id, first.text)}
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    want = {i: library.encode_ordinary(pii.redacted(t, pii.find(t))) for i, t in zip(first.doc_id, first.text)}
     got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want
 
