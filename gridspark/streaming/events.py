@@ -58,8 +58,10 @@ def longest_runs(stream: DataFrame, key: str, time: str, passes: Column) -> Data
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; below the warehouse where it names none."""
+    """The folder all executors share, as the session names it; below the warehouse where a single machine names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_streams").rstrip("/")
 
 
