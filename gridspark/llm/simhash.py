@@ -184,6 +184,7 @@ def _component_ids(classes: DataFrame, first: str) -> DataFrame:
     held = found.withColumnRenamed("node", "fp").join(classes, "fp").withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int"))
     parts = held.groupBy("root", "part").agg(F.min(first).alias("least"))
     least = parts.groupBy("root").agg(F.min("least").alias("least"), F.collect_list("part").alias("part")).select("root", "least", F.explode("part").alias("part"))
+    least = least.repartition("root", "part")  # else, where the other side is broadcast, a component stays in its root's task
     named = held.join(least, ["root", "part"]).select("fp", "least")
     return classes.join(named, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col(first)).otherwise(F.col("least")).alias("least"))
 
