@@ -4,8 +4,10 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from gridspark import fixtures
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -57,3 +59,25 @@ def test_streams_read_a_table_of_part_files(spark, duck, tmp_path, name):
     spark.read.parquet(f"{SF}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     got, want = _sorted(__spark_entry__.queries()[name](spark, str(tmp_path)).toPandas()), _sorted(duck.execute(ORACLES[name]).df())
     assert len(got) == len(want) > 0 and got["n"].sum() == want["n"].sum() and np.array_equal(got["start_s"], want["start_s"])
+
+
+def test_fingerprint_of_sums_that_differ_when_computed_again(spark, duck, monkeypatch):
+    """As on a cluster, where parts of a sum arrive in any order."""
+    sales = fixtures.sales
+
+    def noisy(spark, d):
+        import random
+
+        g = sales(spark, d)
+        again = F.udf(lambda v: v * (1 + 1e-14 * random.SystemRandom().random()), "double").asNondeterministic()
+        return g.with_df(g.df.withColumn("v", again("v")))
+
+    monkeypatch.setattr(fixtures, "sales", noisy)
+    got = __spark_entry__.queries()["fingerprint_equality"](spark, SF).toPandas()
+    assert got.to_dict("records") == duck.execute(ORACLES["fingerprint_equality"]).df().to_dict("records")
+
+
+def test_fingerprint_changes_a_cell_that_is_there(spark, tmp_path):
+    spark.read.parquet(f"{SF}/lineitem.parquet").where("l_suppkey < 2").write.parquet(f"{tmp_path}/lineitem.parquet")
+    (row,) = __spark_entry__.queries()["fingerprint_equality"](spark, str(tmp_path)).collect()
+    assert row.n > 0 and row.equal and not row.changed_equal
