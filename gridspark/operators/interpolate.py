@@ -223,7 +223,7 @@ def along_trajectory(grid: Grid, samples: dict[str, Sequence[float]], method: st
     return replace(grid, df=df, dims={**left, "index": n}, coords=tuple(coords))
 
 
-def relevel(grid: Grid, levels: Coord | Grid | str, targets: Sequence[float], dim: str) -> Grid:
+def relevel(grid: Grid, levels: Coord | Grid | str, targets: Sequence[float], dim: str, across_gaps: bool = False) -> Grid:
     """Each column linearly interpolated from the field of its own levels to target levels.
 
     A target lies between two neighbouring levels that both have a value, a
@@ -232,6 +232,10 @@ def relevel(grid: Grid, levels: Coord | Grid | str, targets: Sequence[float], di
     above it and the pair below, so one partial aggregate joins them and no
     column has to meet in one task. Levels that vary over as many cells as
     the field come as a field themselves.
+
+    ``across_gaps`` takes each level with a value and the next one that has
+    a value for neighbours, however many are masked between; then a window
+    brings a column together, which is as long as the dimension at most.
     """
     levels = grid.coord(levels) if isinstance(levels, str) else levels
     others, col = grid.keys([dim]), index(dim)
@@ -242,8 +246,11 @@ def relevel(grid: Grid, levels: Coord | Grid | str, targets: Sequence[float], di
     else:
         cells = join_table(cells, grid, levels, "_z")
     df = cells.select(*others, col, F.struct(F.col("_z").cast("double").alias("z"), "v").alias("c"))
-    ends = F.explode(F.array(F.struct(F.col(col).alias("k"), F.col("c").alias("low"), F.lit(None).cast("struct<z:double,v:double>").alias("high")), F.struct((F.col(col) - 1).alias("k"), F.lit(None).cast("struct<z:double,v:double>").alias("low"), F.col("c").alias("high"))))
-    pairs = df.select(*others, ends.alias("e")).groupBy(*others, F.col("e.k").alias("_k")).agg(F.max("e.low").alias("low"), F.max("e.high").alias("high")).where("low is not null and high is not null")
+    if across_gaps:
+        pairs = df.select(*others, F.col(col).alias("_k"), F.col("c").alias("low"), F.lead("c").over(Window.partitionBy(*others).orderBy(col)).alias("high")).where("high is not null")
+    else:
+        ends = F.explode(F.array(F.struct(F.col(col).alias("k"), F.col("c").alias("low"), F.lit(None).cast("struct<z:double,v:double>").alias("high")), F.struct((F.col(col) - 1).alias("k"), F.lit(None).cast("struct<z:double,v:double>").alias("low"), F.col("c").alias("high"))))
+        pairs = df.select(*others, ends.alias("e")).groupBy(*others, F.col("e.k").alias("_k")).agg(F.max("e.low").alias("low"), F.max("e.high").alias("high")).where("low is not null and high is not null")
     wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("t")) for k, t in enumerate(targets)])
     z0, z1 = F.col("low.z"), F.col("high.z")
     inside: Column = F.filter(wanted, lambda s: (s["t"] >= F.least(z0, z1)) & (s["t"] <= F.greatest(z0, z1)) & (z0 != z1))

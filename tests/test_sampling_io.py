@@ -50,6 +50,23 @@ def test_trajectories_and_levels(spark):
     assert got.shape == (2, 3) and got[0, :2].tolist() == pytest.approx([13, 24]) and got.mask[0, 2] and got.mask[1].all()
 
 
+def test_relevel_across_gaps(spark):
+    levels = axis("z", [0.0, 10, 20, 30])
+    for gaps in ([0, 1, 1, 0], [0, 1, 0, 0], [1, 0, 1, 0]):
+        g = field(spark, np.ma.masked_array([1.0, 2, 3, 7], gaps), ["z"], [levels])
+        there = np.flatnonzero(np.logical_not(gaps))
+        lo, hi = there[0], there[1]
+        z, v = levels.points, [1.0, 2, 3, 7]
+        t = (z[lo] + z[hi]) / 2 + 1
+        for sparse in (g, g.with_df(g.df.where("v is not null"))):
+            got = values(I.relevel(sparse, "z", [t, 40.0], "z", across_gaps=True))
+            assert got[0] == pytest.approx(v[lo] + (v[hi] - v[lo]) * (t - z[lo]) / (z[hi] - z[lo])) and got.mask.tolist() == [False, True]
+            assert values(I.relevel(sparse, "z", [t], "z")).mask.all()
+    falling = field(spark, np.ma.masked_array([[1.0, 2, 3], [4, 5, 6]], [[0, 1, 0], [0, 0, 0]]), ["x", "y"], [axis("x", [0.0, 1]), axis("y", [0.0, 1, 2])])
+    down = Coord(long_name="h", points=np.array([30.0, 20, 10]), dims=("y",))
+    assert values(I.relevel(falling, down, [15.0], "y", across_gaps=True))[:, 0].tolist() == pytest.approx([2.5, 5.5])
+
+
 def test_area_weighted(spark):
     g = simple_2d(spark)
     names = {"bar": "y", "foo": "x"}
